@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
         at, total = 0, np.cumsum(sizes)
         while at < batch.num_rows:
             base = total[at - 1] if at else 0
