@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["language"]
+MODULES = ["chat", "url_rules", "language"]
 
 
 def _all(attribute: str) -> dict:
