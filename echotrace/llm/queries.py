@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["chat", "url_rules", "language"]
+MODULES = ["decontaminate", "token_files", "language_model", "mixing", "chat", "url_rules", "quality", "spotsigs", "language", "shingle_join"]
 
 
 def _all(attribute: str) -> dict:
