@@ -6,10 +6,10 @@ sets of a band (or of it and the next) that reach the threshold must agree on on
 than that also stands for its empty ones.)  A *tile* is all classes of a band that agree on a segment; a shared passage fills no
 segment of its own, so tiles hold hardly anything but near copies.
 
-Round 1 links every class of a tile to the tile's least class where the sets allow it.  Round 2 takes only the tiles whose classes are still in
-several components: it cuts large ones into blocks, and in each pair of blocks compares hashed bitmaps (the bits in which two
-bitmaps differ bound the overlap from above), then sorted arrays, and skips what its own links already join.  So no link that matters to a component is
-missed, groups of thousands of near copies cost a star each, and pairs are never written out as such.
+Round 1 compares every class of a tile with two leaders of the tile, exactly, on sorted arrays: groups of thousands of near copies cost a
+star or two.  Round 2 takes only the tiles whose classes are still in several components.  Large ones are cut into blocks; in each pair of blocks
+the bits in which two hashed bitmaps differ bound the overlap from above, and the pairs of different components that the bound leaves are compared
+exactly.  No link that matters to a component is missed, and pairs inside what is joined already are never written out.
 
 Documents without words (or text) have the empty set, link with nothing and keep their own id.  Rows with the same id are judged
 separately; equal rows are one class; an empty table gives no rows; other columns aren't read.  Hashes have 64 bits.
@@ -31,7 +31,8 @@ from echotrace.llm.common import U64, distinct_by_row, mix, pieces, read_table,
 from echotrace.llm.components import components
 
 RATIO = 1.4
-BLOCK_SHINGLES = 1 << 20
+BLOCK_CLASSES = 4096
+BROADCAST_CLASSES = 1_000_000
 SEEN_CLASSES = 1 << 20
 
 
@@ -104,34 +105,46 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
     return shared * threshold.denominator >= threshold.numerator * (len(a) + len(b) - shared)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A hashed bitmap of each set, as rows of 64-bit words, wide enough for the largest: about two bits an element."""
-    words = 1 << max(2, int(np.ceil(np.log2(max(len(s) for s in sets) / 32))))
-    out = np.zeros((len(sets), words), U64)
-    for k, s in enumerate(sets):
-        bit = (s.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - 6 - (words.bit_length() - 1))
-        np.bitwise_or.at(out[k], (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """A hashed bitmap of a set as 64-bit words, a power of two of them: two to four bits an element."""
+    words = 1 << max(2, int(np.ceil(np.log2(max(len(values), 1) / 32))))
+    out = np.zeros(words, U64)
+    bit = (values * U64(0x9E3779B97F4A7C15)) >> U64(64 - 6 - (words.bit_length() - 1))
+    np.bitwise_or.at(out, (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
     return out
 
 
-def tile_links(ids: list[int], groups: list[int], sets: list[np.ndarray], split: int, threshold: Fraction) -> list[tuple[int, int]]:
-    """Links that join the groups of a tile; with ``split`` > 0, only between the first ``split`` members and the others."""
-    bits, sizes = bitmaps(sets), np.array([len(s) for s in sets])
-    group = np.unique(groups, return_inverse=True)[1]
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that a set would have with fewer words: bits are taken from the top of the hash, so neighbours fall together."""
+    while len(bits) > words:
+        pairs = bits.reshape(-1, 2)
+        half = []
+        for part in (pairs[:, 0], pairs[:, 1]):
+            part = (part | (part >> U64(1))) & U64(0x5555555555555555)
+            for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+                part = (part | (part >> U64(shift))) & U64(mask)
+            half.append(part)
+        bits = half[0] | (half[1] << U64(32))
+    return bits
+
+
+def tile_candidates(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, bits: list[bytes], split: int, threshold: Fraction) -> list[tuple[int, int]]:
+    """Pairs of different groups whose bitmaps leave room for a link; with ``split`` > 0, only between the first ``split`` members and the others."""
+    maps = [np.frombuffer(b, U64) for b in bits]
+    words = min(map(len, maps))
+    maps = np.stack([fold(m, words) for m in maps])
     out = []
     for i in range(split or len(ids)):
         others = np.arange(split, len(ids)) if split else np.arange(i + 1, len(ids))
-        others = others[group[others] != group[i]]
+        others = others[groups[others] != groups[i]]
         if not len(others):
             continue
         # |A xor B| is at least the bits that differ, so |A and B| is at most half of what sizes and those bits leave
-        apart = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
+        apart = np.bitwise_count(maps[others] ^ maps[i]).sum(1, dtype=np.int64)
         total = sizes[others] + sizes[i]
-        most = (total - apart) // 2
-        for j in others[most * threshold.denominator >= threshold.numerator * (total - most)]:
-            if group[j] != group[i] and linked(sets[i], sets[j], threshold):
-                out.append((ids[i], ids[j]))
-                group[group == group[j]] = group[i]
+        most = np.minimum((total - apart) // 2, np.minimum(sizes[others], sizes[i]))
+        near = others[most * threshold.denominator >= threshold.numerator * (total - most)]
+        out.extend((int(min(ids[i], x)), int(max(ids[i], x))) for x in ids[near])
     return out
 
 
@@ -198,75 +211,109 @@ def _tiles(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(class, shingles array<long>) of the wanted (doc_id, class), from their texts."""
+    """(class, leaders, shingles array<long>) of the wanted (doc_id, class, leaders), from their texts."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # equal rows with the same id meet in one task, so this is no more than its share of classes
         for batch in pieces(batches):
-            values, first = document_sets(batch.column(1), words)
-            same = class_of(values, first) == batch.column(0).to_numpy()
+            values, first = document_sets(batch.column(2), words)
+            names = class_of(values, first)
+            keep = [int(x) == y and y not in seen and not seen.add(y) for x, y in zip(names, batch.column(0).to_pylist(), strict=True)]
             arrays = pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(values.astype(np.int64))).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), arrays], names=["class", "shingles"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), arrays], names=["class", "leaders", "shingles"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.join(wanted, "doc_id").select("class", "text")
-    return texts.mapInArrow(take, "class long, shingles array<long>").dropDuplicates(["class"])
+    if wanted.count() <= BROADCAST_CLASSES:
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, "doc_id").select("class", "leaders", "text").mapInArrow(take, "class long, leaders array<long>, shingles array<long>")
 
 
-def link_classes(docs: DataFrame, named: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """(node, root): components of the classes that link with another class.  ``docs`` has doc_id and text, ``named`` doc_id and class."""
-    tiles = save(_tiles(docs.select("text"), words, threshold), "tiles")
-    reps = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = save(_sets_of(reps.join(tiles.select("class").distinct(), "class"), docs, words), "tile-sets")
+def _linked_with_leaders(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links (a, b) of classes b with their leaders a; ``sets`` has leader, class and shingles, each leader once as its own class."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own = None, None
+        for batch in batches:
+            out = []
+            arrays = batch.column(2)
+            for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if a == b:
+                    leader, own = a, arrays[k].values.to_numpy().view(U64).copy()
+                elif leader == a and linked(own, arrays[k].values.to_numpy().view(U64), threshold):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    dealt = sets.select("leader", "class", "shingles").repartition("leader").sortWithinPartitions("leader", F.col("class") != F.col("leader"), "class")
+    return dealt.mapInArrow(check, "a long, b long").distinct()
+
+
+def _bitmaps_of(sets: DataFrame) -> DataFrame:
+    """(class, n, bits binary): two bits and more an element, as many for all sets of a size band."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = [linked(x.values.to_numpy().view(U64), y.values.to_numpy().view(U64), threshold) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            arrays = [x.values.to_numpy().view(U64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in arrays], pa.int64()), pa.array([bitmap(x).tobytes() for x in arrays], pa.binary())], names=["class", "n", "bits"])
 
-    pairs = tiles.filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
-    pairs = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
-    stars = save(pairs.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "star-links")
+    return sets.select("class", "shingles").mapInArrow(draw, "class long, n long, bits binary")
+
+
+def link_classes(docs: DataFrame, named: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """(node, root): components of the classes that link with another class.  ``docs`` has doc_id and text, ``named`` doc_id and class."""
+    tiles = save(_tiles(docs.select("text"), words, threshold), "tiles")
+    # each tile has two leaders: its least class, and the first in an order that differs from tile to tile
+    order = F.xxhash64("class", F.pmod("tile", F.lit(2)))
+    other = tiles.groupBy("tile").agg(F.min_by("class", order).alias("other"))
+    leaders = tiles.select("class", F.col("least").alias("leader")).union(tiles.join(other, "tile").select("class", "other")).groupBy("class").agg(F.collect_set("leader").alias("leaders"))
+    # a class has no more leaders than tiles; each leader is its own leader too
+    leaders = leaders.select("class", F.array_union("leaders", F.array("class")).alias("leaders"))
+    reps = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    sets = save(_sets_of(save(reps.join(leaders, "class"), "tile-classes"), docs, words), "tile-sets")
+    stars = save(_linked_with_leaders(sets.select(F.explode("leaders").alias("leader"), "class", "shingles"), threshold), "star-links")
     first = components(stars, "stars")
 
-    grouped = tiles.select("tile", "class").join(first.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    sized = grouped.join(sets.select("class", F.size("shingles").alias("n")), "class")
-    open_ = sized.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("n")).filter("lo <> hi")
-    # tiles with the same members would give the same links: hardly any are left, so all are compared
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
-    members = save(sized.select("tile", "class", "root").join(open_.select("tile", blocks.alias("blocks")), "tile"), "open-tiles")
+    rooted = tiles.select("tile", "class").join(first.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    open_ = rooted.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    blocks = F.ceil(F.col("n") / BLOCK_CLASSES).cast("int")
+    members = save(rooted.join(open_.select("tile", blocks.alias("blocks")), "tile"), "open-tiles")
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = members.withColumn("block", block).withColumn("other", F.explode(others)).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    dealt = dealt.select("tile", "x", "y", "block", "class", "root").join(sets, "class").repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y", "block", "class")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    drawn = save(_bitmaps_of(sets.join(members.select("class").distinct(), "class", "left_semi")), "bitmaps")
+    dealt = members.withColumn("block", block).withColumn("other", others).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    dealt = dealt.join(drawn, "class").select("tile", "x", "y", "block", "class", "root", "n", "bits").repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y", "block", "class")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        out: list[tuple[int, int]] = []
-
-        def close() -> None:
-            if len(held) > 1:
-                x, y = held[0][0][1:]
-                split = sum(h[1] == x for h in held) if x != y else 0
-                if x == y or 0 < split < len(held):
-                    out.extend(tile_links([h[2] for h in held], [h[3] for h in held], [h[4] for h in held], split, threshold))
+        seen: set[tuple[int, int]] = set()  # pairs of this task; the same pair meets in many tiles
+
+        def close() -> list[tuple[int, int]]:
+            x, y = held[0][0][1:]
+            split = sum(h[1] == x for h in held) if x != y else 0
+            if len(held) < 2 or (x != y and split in (0, len(held))):
+                return []
+            pairs = set(tile_candidates(np.array([h[2] for h in held]), np.array([h[3] for h in held]), np.array([h[4] for h in held]), [h[5] for h in held], split, threshold)) - seen
+            if len(seen) > SEEN_CLASSES:
+                seen.clear()
+            seen.update(pairs)
+            return sorted(pairs)
 
         for batch in batches:
-            tile, x, y, block, name, root = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("tile", "x", "y", "block", "class", "root"))
-            arrays = batch.column(batch.schema.get_field_index("shingles"))
-            for k in range(batch.num_rows):
-                at = tile[k], x[k], y[k]
+            out = []
+            for tile, x, y, block, name, root, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = tile, x, y
                 if held and held[0][0] != at:
-                    close()
+                    out.extend(close())
                     held.clear()
-                held.append((at, block[k], name[k], root[k], arrays[k].values.to_numpy().view(U64)))
+                held.append((at, block, name, root, n, bits))
+            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
+        if held:
+            out = close()
             yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
-            out.clear()
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
-    more = save(dealt.select("tile", "x", "y", "block", "class", "root", "shingles").mapInArrow(compare, "a long, b long"), "tile-links")
-    if more.isEmpty():
+    pairs = save(dealt.mapInArrow(compare, "a long, b long").distinct(), "open-pairs")
+    if pairs.isEmpty():
         return first
+    asked = pairs.select(F.col("b").alias("class"), F.col("a").alias("leader")).union(pairs.select(F.col("a"), F.col("a")).distinct())
+    more = save(_linked_with_leaders(sets.select("class", "shingles").join(asked, "class"), threshold), "more-links")
     return components(stars.union(more), "links")
 
 
