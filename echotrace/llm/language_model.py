@@ -265,7 +265,7 @@ def score_documents(docs: DataFrame, training: DataFrame, *, key: str = "doc_id"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, logs = shared.value
         row = TaskContext.get().partitionId() << 33
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "_text", 2 << 20):
             token, kind, first = _read(batch.column(batch.schema.get_field_index("_text")))
             n = np.diff(first)
             of = np.repeat(np.arange(len(n)), n)

@@ -106,8 +106,8 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of a set as 64-bit words, a power of two of them: two to four bits an element."""
-    words = 1 << max(2, int(np.ceil(np.log2(max(len(values), 1) / 32))))
+    """A hashed bitmap of a set as 64-bit words, a power of two of them: 16 to 32 bits an element, so that few elements share a bit."""
+    words = 1 << max(2, int(np.ceil(np.log2(max(len(values), 1) / 4))))
     out = np.zeros(words, U64)
     bit = (values * U64(0x9E3779B97F4A7C15)) >> U64(64 - 6 - (words.bit_length() - 1))
     np.bitwise_or.at(out, (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
@@ -247,7 +247,7 @@ def _linked_with_leaders(sets: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def _bitmaps_of(sets: DataFrame) -> DataFrame:
-    """(class, n, bits binary): two bits and more an element, as many for all sets of a size band."""
+    """(class, n, bits binary): the size and the hashed bitmap of each set."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
