@@ -2,10 +2,192 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from echotrace.functions import text as X
+from echotrace.functions.urls import fingerprint, normalised
+from echotrace.operators import context, repeats, search, similar
+
+DAY = repeats.DAY
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def repeat_verdict(spark, d):
+    events = table(spark, d, "events").select("event_id", "event_type", "props", "user_id", "ts")
+    return repeats.repeat_verdicts(events, key=["event_type", "props"], order="event_id", ts="ts", sender="user_id", cooldown_s=DAY)
+
+
+def repeat_first_seen(spark, d):
+    return repeats.first_seen(table(spark, d, "events"), key=["event_type", "props"], order="event_id", ts="ts")
+
+
+def text_exact_groups(spark, d):
+    docs = table(spark, d, "documents").select("lang", "source", "doc_id", F.sha2(X.squeeze(F.col("text")), 256).alias("text_hash"))
+    return repeats.equal_groups(docs, key=["lang", "text_hash"], sender="source", order="doc_id")
+
+
+def url_exact_groups(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    mark = F.when(F.col("url").contains("?"), "&").otherwise("?")
+    base = F.substring_index("url", "#", 1)
+    shared = pages.select((F.col("page_id") + 1_000_000).alias("page_id"), F.concat(base, mark, F.lit("utm_medium=app&fbclid=1#x")).alias("url"))
+    both = pages.unionByName(shared).select((F.col("page_id") % 7).alias("sender"), "page_id", fingerprint(normalised(F.col("url"))).alias("url_hash"))
+    return repeats.equal_groups(both.filter("url_hash is not null"), key=["url_hash"], sender="sender", order="page_id").drop("url_hash")
+
+
+def forward_first_match(spark, d):
+    events = table(spark, d, "events").select("event_id", "event_type", "props", F.concat_ws("-", "user_id", "props").alias("by_user"), F.round("value", 2).cast("string").alias("by_value"))
+    return repeats.any_key_match(events, group="event_type", keys=["by_value", "by_user"], order="event_id")
+
+
+def semantic_best_match(spark, d):
+    return similar.best_cosine(table(spark, d, "embeddings"), order="vec_id", vector="embedding", threshold=0.45)
+
+
+def semantic_unique_senders(spark, d):
+    return similar.senders_by_cosine(table(spark, d, "embeddings"), order="vec_id", vector="embedding", sender="label", threshold=0.40)
+
+
+def dhash_pairs(spark, d):
+    bit = lambda x, k: F.when(F.element_at(x, k + 1) > F.element_at(x, k + 2), 1 << (62 - k)).otherwise(0).cast("bigint")
+    rows = table(spark, d, "embeddings").select("vec_id", sum((bit(F.col("embedding"), k) for k in range(63)), F.lit(0).cast("bigint")).alias("h"))
+    return similar.hamming_pairs(rows, key="vec_id", bits="h", width=63, most=18).withColumn("distance", F.col("distance").cast("long"))
+
+
+def longest_run(spark, d):
+    return repeats.longest_runs(table(spark, d, "events"), group="event_type", value="user_id", order=["ts", "event_id"])
+
+
+def context_around(spark, d):
+    events = table(spark, d, "events").select("event_id", "event_type", "ts")
+    return context.context_around(events, events.filter("event_id % 100 = 0"), group="event_type", order=["ts", "event_id"], mark="event_id", before=6, after=5)
+
+
+def judge_context_stats(spark, d):
+    return context.repeat_stats(table(spark, d, "events"), group=["event_type", "props"], ts="ts", sender="user_id", window_s=DAY, order="event_id")
+
+
+def recent_last_n(spark, d):
+    return context.last_n(table(spark, d, "conversations").select("conv_id", "turn", "role"), group="conv_id", order=["turn"], n=2)
+
+
+def ranked_search(spark, d):
+    docs = table(spark, d, "documents").filter("lang = 'en'")
+    return search.ranked(docs, "the by", text="text", order="doc_id", recency="n_chars").select("doc_id", "match_type", "hits", "occurrences")
+
+
+def group_status(spark, d):
+    has = lambda c: F.count_if(c).alias
+    return table(spark, d, "events").groupBy("event_type").agg(
+        F.count("*").alias("messages"), F.countDistinct("user_id").alias("senders"), has(F.col("value") > 100)("large"), has(F.col("value") <= 0)("none"), F.countDistinct("props").alias("contents"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"),
+    )
+
+
+def day_shard_counts(spark, d):
+    return table(spark, d, "events").groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("messages"))
+
+
+def retention_window(spark, d):
+    from echotrace.sources.messages import retained
+
+    return retained(table(spark, d, "events"), ts="ts", now="2024-01-20 00:00:00", days=7).groupBy("event_type").agg(F.count("*").alias("messages"))
+
+
+def filter_short_text(spark, d):
+    return table(spark, d, "documents").filter(F.length("text") >= 200).select("doc_id", F.length("text").cast("long").alias("chars"))
+
+
+def filter_commands(spark, d):
+    turns = table(spark, d, "conversations")
+    return turns.filter(~X.is_command(F.col("text"), ["the", "le", "of"])).select("conv_id", "turn")
+
+
+def filter_regex(spark, d):
+    return table(spark, d, "pages").filter(~X.fully_matches(F.col("url"), [r"https?://m\..*", "("])).select("page_id")
+
+
+def filter_blocklist(spark, d):
+    return table(spark, d, "documents").filter(~F.col("source").isin("src0", "src3")).select("doc_id", "source")
+
+
+def reminder_summary(spark, d):
+    events = table(spark, d, "events")
+    return events.select("event_id", X.summary(F.col("user_id").cast("string"), F.col("ts").cast("timestamp"), F.lit("2024-02-01 00:00:00").cast("timestamp"), F.col("props")).alias("summary"))
+
+
+def metadata_hash(spark, d):
+    part = table(spark, d, "part")
+    return part.select("p_partkey", F.sha2(F.concat(F.lower("p_name"), F.lit("\n"), F.col("p_size").cast("string")), 256).alias("hash"))
+
+
+_EARLIER = "(b.ts < a.ts or (b.ts = a.ts and b.event_id <= a.event_id))"
+_NORMAL = r"trim(regexp_replace(text, '[\x09-\x0D\x20]+', ' ', 'g'))"
+_COMMAND = r"(?i)^[/!#.。]?(the|le|of)($|[\x09-\x0D\x20][^\n]*$)"
+SQL = {
+    "repeat_verdict": f"""
+with p as (select a.event_id, a.user_id, a.ts, b.event_id mid, b.user_id mu, b.ts mts from events a join events b on a.event_type = b.event_type and a.props = b.props and {_EARLIER} and b.ts > a.ts - interval '7' day),
+g as (select event_id, count(distinct mu) senders from p group by event_id),
+f as (select * from (select p.*, row_number() over (partition by event_id order by mts, mid) rn from p where mid <> event_id) z where rn = 1)
+select g.event_id, f.mid matched_id, g.senders unique_senders, case when f.mid is null then 'no_match' when f.mu = f.user_id then 'same_sender' when g.senders < 3 then 'few_senders' when f.ts < f.mts + interval '1' day then 'cooldown' else 'remind' end verdict
+from g left join f on g.event_id = f.event_id""",
+    "repeat_first_seen": "select event_type, props, arg_min(event_id, (ts, event_id)) event_id, count(*) times from events group by event_type, props",
+    "text_exact_groups": f"select lang, sha256({_NORMAL}) text_hash, count(*) times, count(distinct source) senders, min(doc_id) first_id from documents group by all having count(*) > 1",
+    "url_exact_groups": """
+with u as (select page_id, split_part(url, '#', 1) u from pages),
+n as (select page_id, split_part(u, '?', 1) || array_to_string(list_sort([x for x in string_split(split_part(u, '?', 2), '&') if not (starts_with(x, 'utm_') or x = '')]), '&') n from u),
+both_ as (select * from n union all select page_id + 1000000, n from n)
+select count(*) times, count(distinct page_id % 7) senders, min(page_id) first_id from both_ group by n""",
+    "forward_first_match": """
+with e as (select event_id, event_type, user_id || '-' || props by_user, round(value, 2)::varchar by_value from events),
+v as (select a.event_id, min(b.event_id) m from e a join e b on a.event_type = b.event_type and a.by_value = b.by_value and b.event_id < a.event_id group by 1),
+u as (select a.event_id, min(b.event_id) m from e a join e b on a.event_type = b.event_type and a.by_user = b.by_user and b.event_id < a.event_id group by 1)
+select event_id, least(v.m, u.m) matched_id, case when v.m is not null and (u.m is null or v.m <= u.m) then 'by_value' else 'by_user' end match_type from v full join u using (event_id)""",
+    "semantic_best_match": """
+with e as (select vec_id, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings),
+p as (select a.vec_id, b.vec_id m, round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-9), 9) s from e a join e b on b.vec_id < a.vec_id)
+select vec_id, m matched_id, s similarity, s >= 0.45 matched from (select *, row_number() over (partition by vec_id order by s desc, m) r from p where s > 0) z where r = 1""",
+    "semantic_unique_senders": """
+with e as (select vec_id, label, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings)
+select a.vec_id, count(distinct b.label) unique_senders from e a join e b on b.vec_id <= a.vec_id and round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-9), 9) >= 0.40 group by 1""",
+    "dhash_pairs": """
+with e as (select vec_id, list_sum([case when embedding[k] > embedding[k + 1] then 1::bigint << (63 - k)::bigint else 0 end for k in range(1, 64)])::bigint h from embeddings)
+select a.vec_id a, b.vec_id b, bit_count(xor(a.h, b.h))::bigint distance from e a join e b on a.vec_id < b.vec_id where bit_count(xor(a.h, b.h)) <= 18""",
+    "longest_run": """
+with r as (select *, row_number() over (partition by event_type order by ts, event_id) n from events),
+i as (select *, n - row_number() over (partition by event_type, user_id order by n) island from r)
+select event_type, max(c) longest_run from (select event_type, count(*) c from i group by event_type, user_id, island) z group by event_type""",
+    "context_around": """
+with r as (select event_id, event_type, row_number() over (partition by event_type order by ts, event_id) n from events)
+select a.event_id center, b.event_id row_id, b.n - a.n "offset" from r a join r b on a.event_type = b.event_type and b.n between a.n - 6 and a.n + 5 where a.event_id % 100 = 0""",
+    "judge_context_stats": """
+with e as (select *, floor(epoch(ts))::bigint s from events)
+select a.event_id, count(*) repeats, count(distinct b.user_id) senders, max(b.s) - min(b.s) span_s from e a join e b on a.event_type = b.event_type and a.props = b.props and b.s between a.s - 86400 and a.s group by 1""",
+    "recent_last_n": "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) n from conversations) z where n <= 2",
+    "ranked_search": f"""
+with d as (select doc_id, lower({_NORMAL}) t from documents where lang = 'en')
+select doc_id, case when contains(t, 'the by') then 'phrase' else 'keywords' end match_type, 2::bigint hits, ((length(t) - length(replace(t, 'the', ''))) // 3 + (length(t) - length(replace(t, 'by', ''))) // 2)::bigint occurrences from d where contains(t, 'the') and contains(t, 'by')""",
+    "group_status": 'select event_type, count(*) messages, count(distinct user_id) senders, count(*) filter (value > 100) large, count(*) filter (value <= 0) "none", count(distinct props) contents, min(event_id) first_id, max(event_id) last_id from events group by 1',
+    "day_shard_counts": "select event_type, ts::date::varchar as day, count(*) messages from events group by all",
+    "retention_window": "select event_type, count(*) messages from events where ts > timestamp '2024-01-13 00:00:00' group by 1",
+    "filter_short_text": "select doc_id, length(text)::bigint chars from documents where length(text) >= 200",
+    "filter_commands": f"select conv_id, turn from conversations where not regexp_matches(trim(text), '{_COMMAND}')",
+    "filter_regex": r"select page_id from pages where not regexp_full_match(url, 'https?://m\..*')",
+    "filter_blocklist": "select doc_id, source from documents where source not in ('src0', 'src3')",
+    "reminder_summary": """
+with e as (select event_id, user_id, ts, props, floor(epoch(timestamp '2024-02-01 00:00:00'))::bigint - floor(epoch(ts))::bigint s from events)
+select event_id, user_id || ' · ' || strftime(ts, '%m-%d %H:%M:%S') || '（' || case when s < 60 then s || '秒前' when s < 3600 then s // 60 || '分钟前' when s < 86400 then s // 3600 || '小时前' else s // 86400 || '天前' end || '）' || chr(10) || props summary from e""",
+    "metadata_hash": "select p_partkey, sha256(lower(p_name) || chr(10) || p_size::varchar) hash from part",
+}
+QUERIES = {name: globals()[name] for name in SQL}
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
