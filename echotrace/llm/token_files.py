@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from echotrace.llm.common import new_path, pieces, read_table, save
 
-FRAME_IDS, SHARD_IDS = 1 << 18, 1 << 24
-CACHED_WORDS = 300_000
+FRAME_IDS, SHARD_IDS = 1 << 18, 1 << 22
+CACHED_WORDS = 200_000
 END_ID = 2
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _INDEX = struct.Struct("<4sHHQ")
@@ -169,7 +169,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, folder: str | None = None,
                 out.write(writer.close())
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, shard, f"{folder}/{name}", len(writer.counts), writer.ids), schema, strict=True)], schema=schema)
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=1 << 20):
             texts = batch.column(1).to_pylist()
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in texts]), strict=True):
                 writer.add(doc_id, np.append(ids, np.uint32(end_id)))
