@@ -6,8 +6,8 @@ sets of a band (or of it and the next) that reach the threshold must agree on on
 than that also stands for its empty ones.)  A *tile* is all classes of a band that agree on a segment; a shared passage fills no
 segment of its own, so tiles hold hardly anything but near copies.
 
-Round 1 compares every class of a tile with two leaders of the tile, exactly, on sorted arrays: groups of thousands of near copies cost a
-star or two.  Round 2 takes only the tiles whose classes are still in several components.  Large ones are cut into blocks; in each pair of blocks
+Round 1 compares every class with the least few of its tiles' least classes, exactly, on sorted arrays: groups of thousands of near copies
+cost a few stars.  Round 2 takes only the tiles whose classes are still in several components.  Large ones are cut into blocks; in each pair of blocks
 the bits in which two hashed bitmaps differ bound the overlap from above, and the pairs of different components that the bound leaves are compared
 exactly.  No link that matters to a component is missed, and pairs inside what is joined already are never written out.
 
@@ -32,6 +32,7 @@ from echotrace.llm.components import components
 
 RATIO = 1.4
 BLOCK_CLASSES = 4096
+LEADERS = 3
 BROADCAST_CLASSES = 1_000_000
 SEEN_CLASSES = 1 << 20
 
@@ -260,11 +261,9 @@ def _bitmaps_of(sets: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, named: DataFrame, words: int, threshold: Fraction) -> DataFrame:
     """(node, root): components of the classes that link with another class.  ``docs`` has doc_id and text, ``named`` doc_id and class."""
     tiles = save(_tiles(docs.select("text"), words, threshold), "tiles")
-    # each tile has two leaders: its least class, and the first in an order that differs from tile to tile
-    order = F.xxhash64("class", F.pmod("tile", F.lit(2)))
-    other = tiles.groupBy("tile").agg(F.min_by("class", order).alias("other"))
-    leaders = tiles.select("class", F.col("least").alias("leader")).union(tiles.join(other, "tile").select("class", "other")).groupBy("class").agg(F.collect_set("leader").alias("leaders"))
-    # a class has no more leaders than tiles; each leader is its own leader too
+    # the least class of a tile leads it; near copies meet in many tiles with different members, and so under several leaders
+    leaders = tiles.select("class", F.col("least").alias("leader")).groupBy("class").agg(F.slice(F.sort_array(F.collect_set("leader")), 1, LEADERS).alias("leaders"))
+    # the least few of them get its array now, and round 2 sees to whatever they leave apart; each leader is its own leader too
     leaders = leaders.select("class", F.array_union("leaders", F.array("class")).alias("leaders"))
     reps = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     sets = save(_sets_of(save(reps.join(leaders, "class"), "tile-classes"), docs, words), "tile-sets")
@@ -333,12 +332,18 @@ def shingle_components(docs: DataFrame, *, words: int, threshold: Fraction, key:
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """One row of every component: the one with the least doc_id.  Rows without words all stay."""
-    found = shingle_components(docs, words=words, threshold=threshold)
-    leaders = found.filter("leader and class is not null").select(F.col("doc_id").alias("_id"), F.col("class").alias("_class")).distinct()
+    """One row of every component: the one with the least doc_id.  Rows without words all stay.
+
+    What goes is looked up, by broadcast up to BROADCAST_CLASSES rows and by a shuffle beyond; texts move only then, or where equal rows share an id."""
+    found = save(shingle_components(docs, words=words, threshold=threshold).filter("class is not null").select(F.col("doc_id").alias("_id"), F.col("class").alias("_class"), "leader"), "near-copies")
+    goes = found.filter("not leader").select("_id", "_class").distinct()
+    if found.filter("not leader").count() <= BROADCAST_CLASSES:
+        goes = F.broadcast(goes)
     named = with_class(docs, words)
-    full = named.filter("class is not null").join(leaders, F.col("class").eqNullSafe(F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["class"])
-    return full.unionByName(named.filter("class is null")).select(*docs.columns)
+    stays = named.join(goes, F.col("class").eqNullSafe(F.col("_class")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    if not found.filter("leader").groupBy("_id", "_class").count().filter("count > 1").isEmpty():
+        stays = stays.filter("class is not null").dropDuplicates(["class"]).unionByName(stays.filter("class is null"))
+    return stays.select(*docs.columns)
 
 
 def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
