@@ -6,8 +6,8 @@ sets of a band (or of it and the next) that reach the threshold must agree on on
 than that also stands for its empty ones.)  A *tile* is all classes of a band that agree on a segment; a shared passage fills no
 segment of its own, so tiles hold hardly anything but near copies.
 
-Round 1 compares every class with the least few of its tiles' least classes, exactly, on sorted arrays: groups of thousands of near copies
-cost a few stars.  Round 2 takes only the tiles whose classes are still in several components.  Large ones are cut into blocks; in each pair of blocks
+Round 1 compares every class with a few leaders of its tiles (the classes in most tiles), exactly, on sorted arrays: groups of
+thousands of near copies cost a few stars.  Round 2 takes only the tiles whose classes are still in several components.  Large ones are cut into blocks; in each pair of blocks
 the bits in which two hashed bitmaps differ bound the overlap from above, and the pairs of different components that the bound leaves are compared
 exactly.  No link that matters to a component is missed, and pairs inside what is joined already are never written out.
 
@@ -261,10 +261,13 @@ def _bitmaps_of(sets: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, named: DataFrame, words: int, threshold: Fraction) -> DataFrame:
     """(node, root): components of the classes that link with another class.  ``docs`` has doc_id and text, ``named`` doc_id and class."""
     tiles = save(_tiles(docs.select("text"), words, threshold), "tiles")
-    # the least class of a tile leads it; near copies meet in many tiles with different members, and so under several leaders
-    leaders = tiles.select("class", F.col("least").alias("leader")).groupBy("class").agg(F.slice(F.sort_array(F.collect_set("leader")), 1, LEADERS).alias("leaders"))
-    # the least few of them get its array now, and round 2 sees to whatever they leave apart; each leader is its own leader too
-    leaders = leaders.select("class", F.array_union("leaders", F.array("class")).alias("leaders"))
+    # a tile is led by the class that is in most tiles: the copy that the others have most in common with.  A class goes with the leaders it
+    # shares most tiles with; whatever they leave apart is seen to in round 2.  Each leader is its own leader too
+    weighed = tiles.join(tiles.groupBy("class").agg(F.count("*").alias("degree")), "class").select("tile", "class", "degree")
+    leading = weighed.groupBy("tile").agg(F.max(F.struct("degree", "class"))["class"].alias("leader"))
+    shared = tiles.select("tile", "class").join(leading, "tile").groupBy("class", "leader").agg((-F.count("*")).alias("fewer"))
+    likest = F.slice(F.sort_array(F.collect_list(F.struct("fewer", "leader"))), 1, LEADERS)
+    leaders = shared.groupBy("class").agg(likest.alias("likest")).select("class", F.array_union("likest.leader", F.array("class")).alias("leaders"))
     reps = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     sets = save(_sets_of(save(reps.join(leaders, "class"), "tile-classes"), docs, words), "tile-sets")
     stars = save(_linked_with_leaders(sets.select(F.explode("leaders").alias("leader"), "class", "shingles"), threshold), "star-links")
