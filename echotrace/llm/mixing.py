@@ -31,6 +31,7 @@ from echotrace.llm.common import pieces, read_table, save, word_spans
 WEIGHTS = (3, 1, 2)
 RATIO, LIMIT, BLOCK_WORDS = 1.5, 2, 64
 CHUNK = 1 << 16
+MAX_PARTS = 4096
 MAX_SOURCES = 100_000
 BUCKET_DOCS = 4096
 getcontext().prec = 60
@@ -92,24 +93,38 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, limit: int = LI
     goal = np.array([r["target"] for r in rows], float)
     total = math.ceil(goal.sum() / block_words) if len(rows) else 0
     ends = np.cumsum(goal) / goal.sum() if total else np.zeros(0)
-    chunks = spark.range(0, -(-total // CHUNK), 1, max(1, min(-(-total // CHUNK), 4096)))
+    parts = max(1, min(-(-total // CHUNK), MAX_PARTS))
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drawn(chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        j = np.arange(chunk * CHUNK, min((chunk + 1) * CHUNK, total))
+        return j, np.minimum(np.searchsorted(ends, golden(j), "right"), len(ends) - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in batch.column(0).to_pylist():
-                j = np.arange(chunk * CHUNK, min((chunk + 1) * CHUNK, total))
-                of = np.minimum(np.searchsorted(ends, golden(j), "right"), len(ends) - 1)
+                numbers, n = np.unique(drawn(chunk)[1], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(n), chunk)), "number": pa.array(numbers.astype(np.int32)), "n": pa.array(n)})
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                j, of = drawn(row["chunk"])
+                before = np.zeros(len(ends), np.int64)
+                for x in row["sources"]:
+                    before[x["number"]] = x["before"]
                 order = np.argsort(of, kind="stable")
                 starts = np.searchsorted(of[order], np.arange(len(ends)))
-                local = np.empty(len(j), np.int64)
-                local[order] = np.arange(len(j)) - starts[of[order]]
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(j), chunk)), "slot": pa.array(j), "number": pa.array(of.astype(np.int32)), "local": pa.array(local)})
-
-    drawn = chunks.mapInArrow(slots, "chunk long, slot long, number int, local long")
-    counts = drawn.groupBy("number", "chunk").agg(F.count("*").alias("n"))
-    before = counts.select("number", "chunk", (F.sum("n").over(Window.partitionBy("number").orderBy("chunk")) - F.col("n")).alias("before"))
+                ranks = np.empty(len(j), np.int64)
+                ranks[order] = np.arange(len(j)) - starts[of[order]] + before[of[order]]
+                yield pa.RecordBatch.from_pydict({"slot": pa.array(j), "number": pa.array(of.astype(np.int32)), "rank": pa.array(ranks)})
+
+    # slots are drawn twice and never shuffled: what moves is one row a chunk and source
+    counts = spark.range(0, -(-total // CHUNK), 1, parts).mapInArrow(count, "chunk long, number int, n long")
+    before = counts.select("chunk", "number", (F.sum("n").over(Window.partitionBy("number").orderBy("chunk")) - F.col("n")).alias("before"))
+    gathered = before.repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("number", "before")).alias("sources"))
+    ranked = gathered.mapInArrow(rank, "slot long, number int, rank long")
     sizes = F.broadcast(sources.select("number", "blocks"))  # at most MAX_SOURCES rows
-    ranked = drawn.join(before, ["number", "chunk"]).withColumn("rank", F.col("before") + F.col("local")).join(sizes, "number")
+    ranked = ranked.join(sizes, "number")
     return ranked.filter(F.col("rank") < limit * F.col("blocks")).select("slot", "number", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
@@ -135,7 +150,8 @@ def mix_sources(docs: DataFrame, *, key: str = "doc_id", source: str = "source",
     # the row numbers are written with the rows: no later computation can deal them differently
     kept = save(docs.withColumn("row", F.monotonically_increasing_id()), "mixing")
     sources = plan_sources(kept, source, weights, ratio, limit, block_words)
-    times = schedule(sources, block_words, limit).groupBy("number", "block").agg(F.count("*").alias("times"))
+    # Spark takes drawn slots for as few as their chunks: without the hint it would broadcast them
+    times = schedule(sources, block_words, limit).groupBy("number", "block").agg(F.count("*").alias("times")).hint("merge")
     taken = cut_blocks(kept.select("row", key, source, "size"), sources, key=key, source=source, block_words=block_words).join(times, ["number", "block"])
     rounds = taken.groupBy("row").agg(*[F.sum(F.when(F.col("times") > e, F.col("words")).otherwise(0)).alias(f"r{e}") for e in range(limit)])
     rounds = rounds.select("row", F.array(*[f"r{e}" for e in range(limit)]).alias("rounds"))
