@@ -15,11 +15,13 @@ very long texts make long frames; an empty table makes an empty manifest.  Other
 from __future__ import annotations
 
 import io
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,31 +42,49 @@ _INDEX = struct.Struct("<4sHHQ")
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that never looks across white space, with the ids of words remembered."""
+    """Ids of whole texts by a tokenizer that never looks across white space, with the ids of words remembered as bytes.
+
+    Words are held in two generations: when the younger is full, the older goes, and what is met again moves to the younger."""
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.known = Tokenizer.from_file(path), cached, {}
+        self.tokenizer, self.cached, self.known, self.old = Tokenizer.from_file(path), cached // 2, {}, {}
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def learn(self, words: set[str]) -> None:
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > self.cached:
+            self.old, self.known, new = self.known, {}, words
+        known, old = self.known, self.old
+        unseen = []
+        for w in new:
+            if (x := old.get(w)) is None:
+                unseen.append(w)
+            else:
+                known[w] = x
+        for k in range(0, len(unseen), 4096):
+            some = unseen[k : k + 4096]
+            known.update(zip(some, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         # U+001C to U+001F are white space to str.split but not to the tokenizer
         split = [t.split() if t.isprintable() or not any(c in t for c in "\x1c\x1d\x1e\x1f") else None for t in texts]
-        new = {w for words in split if words for w in words} - self.known.keys()
-        if len(self.known) + len(new) > self.cached:
-            now = {w for words in split if words for w in words}
-            self.known = {w: x for w, x in self.known.items() if w in now}
-        if new:
-            new = list(new)
-            self.known.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        self.learn({w for words in split if words for w in words})
         get = self.known.__getitem__
         return [
-            np.fromiter(chain.from_iterable(map(get, words)), np.uint32) if words is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+            np.frombuffer(b"".join(map(get, words)), np.uint32) if words is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
             for t, words in zip(texts, split, strict=True)
         ]
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a Python worker: its tasks share the remembered words.  Spark's tasks fill the cores: no threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(path)
+
+
 class ShardWriter:
     """Frames of a shard, in memory until it is written; a shard has about SHARD_IDS ids."""
 
@@ -158,7 +178,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, folder: str | None = None,
     schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, (files, root) = WordEncoder(tokenizer), _files(folder)
+        encode, (files, root) = word_encoder(tokenizer), _files(folder)
         width = 2 if max(encode.vocabulary, end_id + 1) <= 1 << 16 else 4
         part, shard, writer = TaskContext.get().partitionId(), 0, ShardWriter(width)
 
