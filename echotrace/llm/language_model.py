@@ -3,8 +3,8 @@
 Tokens are words (A-Z lower-cased) and one end.  Spark counts the tokens of all training documents; the counts set the vocabulary
 and the base score, add-one unigrams: log10((c + 1) / (N + V + 1)) a token.
 
-The model is a GRU, trained here in numpy by backpropagation truncated to windows of ``WINDOW`` tokens on a bounded sample
-(``SAMPLE_TOKENS`` in expectation, whole documents drawn by a hash).  Its softmax has two levels.  The ``HEAD`` commonest tokens are
+The model is a GRU, trained here in numpy by backpropagation truncated to windows of ``WINDOW`` tokens.  A sample (``SAMPLE_TOKENS``
+in expectation, whole documents drawn by a hash) gives first weights; then learn_all() learns from every training document.  Its softmax has two levels.  The ``HEAD`` commonest tokens are
 dealt by frequency into ``HEAD_CLASSES`` classes with a softmax each; all other words belong to one of ``TAIL_CLASSES`` classes by their
 last two bytes and get their add-one share of it, unknown words together the share of a word never seen.  So the model is a
 distribution over the V + 1 tokens of the base (with an unknown word a class).  Documents are scored from the first token to the end, with the state carried from window to window.
@@ -17,6 +17,7 @@ columns aren't read.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ from echotrace.llm.common import held_out, pieces, read_table, save, word_hashes
 
 HEAD, HEAD_CLASSES, TAIL_CLASSES, HIDDEN = 1024, 32, 32, 32
 WINDOW, LANES, SAMPLE_TOKENS, EPOCHS, RATE = 16, 64, 600_000, 2, 0.004
+PASS_LANES, ROUNDS, SUMS = 256, 4, 16
 KNOWN = 65_536
 END = np.int64(-0x0E4D)
 
@@ -85,9 +87,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row, the logarithm of the softmax at one place; ``x`` is used up."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(1))
 
 
 class Model:
@@ -124,7 +137,11 @@ class Model:
         return np.where(x < n, x // self.words, HEAD_CLASSES + x - n)
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, u = self.p["x"][x], h @ self.p["u"]
+        return self.gates(self.p["x"][x], h)
+
+    def gates(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after ``h`` and rows ``a`` of the input weights, with what gradients need."""
+        u = h @ self.p["u"]
         rz = _sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
         r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
         n = np.tanh(a[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
@@ -133,16 +150,16 @@ class Model:
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithm of what the model says of tokens y after states h; a tail token's share of its class isn't in it."""
         c = self._class(y)
-        out = _log_softmax(h @ self.p["c"] + self.p["cb"])[np.arange(len(y)), c]
-        order = np.argsort(c, kind="stable")
+        out = _log_softmax_at(h @ self.p["c"] + self.p["cb"], c)
+        order = np.argsort(c.astype(np.uint8), kind="stable")
         edges = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
         for k in range(HEAD_CLASSES):
             own = order[edges[k] : edges[k + 1]]
             if len(own):
-                out[own] += _log_softmax(h[own] @ self.p["w"][k] + self.p["wb"][k])[np.arange(len(own)), y[own] % self.words]
+                out[own] += _log_softmax_at(h[own] @ self.p["w"][k] + self.p["wb"][k], y[own] % self.words)
         return out
 
-    def score(self, x: np.ndarray, first: np.ndarray, window: int = 32) -> np.ndarray:
+    def score(self, x: np.ndarray, first: np.ndarray, window: int = 1 << 14) -> np.ndarray:
         """log10 probability of each row's tokens, without tail tokens' shares.  Rows run side by side, longest first; states carry over."""
         n = np.diff(first)
         order = np.argsort(-n, kind="stable")
@@ -150,93 +167,165 @@ class Model:
         end = self.encode(np.array([END]), np.array([0]))[0]
         total, h = np.zeros(len(n)), np.zeros((len(n), HIDDEN), np.float32)
         last = np.full(len(n), end)
-        for t0 in range(0, int(length.max(initial=0)), window):
-            states, targets, rows = [], [], []
-            for t in range(t0, min(t0 + window, int(length[0]))):
-                live = int(np.searchsorted(-length, -t, "left"))  # rows longer than t
-                h[:live] = self.step(last[:live], h[:live])[0]
-                last[:live] = x[start[:live] + t]
-                states.append(h[:live].copy())
-                targets.append(last[:live].copy())
-                rows.append(np.arange(live))
-            targets, rows, states = np.concatenate(targets), np.concatenate(rows), np.concatenate(states)
-            for k in range(0, len(rows), 1 << 15):
-                part = slice(k, k + (1 << 15))
-                total += np.bincount(rows[part], self.log_probs(states[part], targets[part]), len(total))
+        states, targets, held = [], [], 0
+        for t in range(int(length.max(initial=0))):
+            live = int(np.searchsorted(-length, -t, "left"))  # rows longer than t
+            h[:live] = self.step(last[:live], h[:live])[0]
+            last[:live] = x[start[:live] + t]
+            states.append(h[:live].copy())
+            targets.append(last[:live].copy())
+            held += live
+            if held >= window or t + 1 == length[0]:
+                rows = np.concatenate([np.arange(len(y)) for y in targets])
+                total += np.bincount(rows, self.log_probs(np.concatenate(states), np.concatenate(targets)), len(total))
+                states, targets, held = [], [], 0
         out = np.empty(len(n))
         out[order] = total / np.log(10)
         return out
 
     def train(self, x: np.ndarray, first: np.ndarray) -> None:
-        """Adam over windows of WINDOW tokens in LANES lanes; gradients stop at a window's beginning, states don't."""
-        if len(x) < 4 * LANES * WINDOW:
+        """Learn EPOCHS times from a few documents."""
+        adam = Adam(self.p)
+        for _ in range(EPOCHS):
+            self.learn(x, first, adam, LANES)
+
+    def learn(self, x: np.ndarray, first: np.ndarray, adam: Adam, lanes: int) -> None:
+        """A step for each window of WINDOW tokens in all lanes, over all tokens; gradients stop at a window's beginning, states don't."""
+        if not len(x):
             return
         end = self.encode(np.array([END]), np.array([0]))[0]
         fresh = np.zeros(len(x), bool)
         fresh[first[:-1]] = True
         came = np.concatenate([[end], x[:-1]])  # the token before; at a document's beginning that is an end
-        steps = len(x) // LANES
-        cut = lambda a: a[: steps * LANES].reshape(LANES, steps).T
-        came, x, fresh = cut(came), cut(x), cut(fresh)
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        count = 0
-        for _ in range(EPOCHS):
-            h = np.zeros((LANES, HIDDEN), np.float32)
-            for t in range(0, steps - WINDOW + 1, WINDOW):
-                grads, h = self._gradients(came[t : t + WINDOW], x[t : t + WINDOW], fresh[t : t + WINDOW], h)
-                norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
-                count += 1
-                for k, g in grads.items():
-                    g = g * min(1.0, 1.0 / (norm + 1e-9))
-                    m, v = moment[k]
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    self.p[k] -= (RATE * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.999**count)) + 1e-8)).astype(np.float32)
-
-    def _gradients(self, came: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
-        p, kept = self.p, []
+        lanes = max(1, min(lanes, len(x) // (64 * WINDOW)))  # few tokens still make some steps
+        steps = -(-len(x) // (lanes * WINDOW)) * WINDOW
+        cut = lambda a: np.pad(a, (0, steps * lanes - len(a))).reshape(lanes, steps).T
+        came, live, x, fresh = cut(came), cut(np.ones(len(x), bool)), cut(x), cut(fresh)
+        h = np.zeros((lanes, HIDDEN), np.float32)
+        for t in range(0, steps, WINDOW):
+            part = slice(t, t + WINDOW)
+            grads, h = self._gradients(came[part], x[part], fresh[part], h, live[part])
+            adam.step(self.p, grads)
+
+    def _gradients(self, came: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
+        """Of the mean loss of the tokens that are ``live`` (all if None), and the states to go on with."""
+        p, kept, states, lanes = self.p, [], [], came.shape[1]
+        inputs = p["x"][came]
         for t in range(len(came)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            new, r, z, n, un = self.step(came[t], h)
+            if fresh[t].any():
+                h = np.where(fresh[t][:, None], np.float32(0), h)
+            new, r, z, n, un = self.gates(inputs[t], h)
             kept.append((h, r, z, n, un))
+            states.append(new)
             h = new
-        states = np.concatenate([kept[t + 1][0] if t + 1 < len(kept) else h for t in range(len(kept))])
-        # a state that was cut to 0 for the next step still predicts its own token
-        for t in range(len(kept) - 1):
-            cut = fresh[t + 1]
-            if cut.any():
-                hp, _, z, n, _ = kept[t]
-                states[t * LANES : (t + 1) * LANES][cut] = (n + z * (hp - n))[cut]
+        states = np.concatenate(states)
         flat = y.ravel()
         scale = np.float32(1 / len(flat))
+        if live is not None and not live.all():
+            scale = (live.ravel() / np.float32(max(live.sum(), 1))).astype(np.float32)[:, None]
         c = self._class(flat)
-        d = np.exp(_log_softmax(states @ p["c"] + p["cb"]))
+        d = _softmax(states @ p["c"] + p["cb"])
         d[np.arange(len(flat)), c] -= 1
         d *= scale
-        g = {"c": states.T @ d, "cb": d.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"]), "x": np.zeros_like(p["x"]), "u": np.zeros_like(p["u"])}
+        g = {"c": states.T @ d, "cb": d.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"]), "x": np.zeros_like(p["x"])}
         dh = d @ p["c"].T
-        for k in np.unique(c[c < HEAD_CLASSES]):
-            own = np.flatnonzero(c == k)
-            e = np.exp(_log_softmax(states[own] @ p["w"][k] + p["wb"][k]))
-            e[np.arange(len(own)), flat[own] % self.words] -= 1
-            e *= scale
-            g["w"][k], g["wb"][k] = states[own].T @ e, e.sum(0)
-            dh[own] += e @ p["w"][k].T
-        after = np.zeros((LANES, HIDDEN), np.float32)
+        order = np.argsort(c.astype(np.uint8), kind="stable")
+        edges = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
+        for k in range(HEAD_CLASSES):
+            own = order[edges[k] : edges[k + 1]]
+            if len(own):
+                mine = states[own]
+                e = _softmax(mine @ p["w"][k] + p["wb"][k])
+                e[np.arange(len(own)), flat[own] % self.words] -= 1
+                e *= scale if np.ndim(scale) == 0 else scale[own]
+                g["w"][k], g["wb"][k] = mine.T @ e, e.sum(0)
+                dh[own] += e @ p["w"][k].T
+        after = np.zeros((lanes, HIDDEN), p["u"].dtype)
+        da, du = np.empty(inputs.shape, p["u"].dtype), np.empty(inputs.shape, p["u"].dtype)
         for t in range(len(kept) - 1, -1, -1):
             hp, r, z, n, un = kept[t]
-            dt = dh[t * LANES : (t + 1) * LANES] + after
+            dt = dh[t * lanes : (t + 1) * lanes] + after
             dn = dt * (1 - z) * (1 - n * n)
-            dz = dt * (hp - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            da = np.concatenate([dr, dz, dn], 1)
-            du = np.concatenate([dr, dz, dn * r], 1)
-            np.add.at(g["x"], came[t], da)
-            g["u"] += hp.T @ du
-            after = (dt * z + du @ p["u"].T) * ~fresh[t][:, None]
+            da[t, :, :HIDDEN] = du[t, :, :HIDDEN] = dn * un * r * (1 - r)
+            da[t, :, HIDDEN : 2 * HIDDEN] = du[t, :, HIDDEN : 2 * HIDDEN] = dt * (hp - n) * z * (1 - z)
+            da[t, :, 2 * HIDDEN :] = dn
+            du[t, :, 2 * HIDDEN :] = dn * r
+            after = dt * z + du[t] @ p["u"].T
+            if fresh[t].any():
+                after *= ~fresh[t][:, None]
+        g["u"] = np.concatenate([x[0] for x in kept]).T @ du.reshape(-1, 3 * HIDDEN)
+        order = np.argsort(came.ravel().astype(np.uint16), kind="stable")
+        tokens, at = np.unique(came.ravel()[order], return_index=True)
+        g["x"][tokens] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], at, axis=0)
         return g, h
 
 
+class Adam:
+    """Moments of all weights; a step with gradients cut to norm 1."""
+
+    def __init__(self, p: dict):
+        self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+        self.count, self.rate = 0, RATE
+
+    def step(self, p: dict, grads: dict) -> None:
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+        self.count += 1
+        fit, first, second = np.float32(min(1.0, 1.0 / (norm + 1e-9))), np.float32(self.rate / (1 - 0.9**self.count)), np.float32(1 / (1 - 0.999**self.count))
+        for k, g in grads.items():
+            g = g * fit
+            m, v = self.moment[k]
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.001) * (g * g - v)
+            p[k] -= first * m / (np.sqrt(v * second) + np.float32(1e-8))
+
+
+def learn_all(model: Model, adam: Adam, training: DataFrame, *, key: str = "doc_id", text: str = "text") -> int:
+    """Learn once from every row of ``training``, in ROUNDS rounds: rows are dealt to rounds by a hash of the key; a task starts
+    with the shared weights, learns from its own rows and sends the change of its weights; changes are summed by groups of tasks,
+    then on the driver, as means weighted by tokens.  Gives the number of tokens learnt from."""
+    spark, names, seen = training.sparkSession, sorted(model.p), 0
+    rows = training.select(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(ROUNDS)).alias("round"), F.col(text).alias("text"))
+    for k in range(ROUNDS):
+        adam.rate = RATE / (k + 1)
+        shared = spark.sparkContext.broadcast((model, adam))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            model, adam = copy.deepcopy(shared.value)
+            n = 0
+            for batch in pieces(batches):
+                token, kind, first = _read(batch.column(0))
+                model.learn(model.encode(token, kind), first, adam, PASS_LANES)
+                n += len(token)
+            if n:
+                change = np.concatenate([(model.p[x] - shared.value[0].p[x]).ravel() for x in names]).astype(np.float64) * n
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n], pa.int64()), pa.array([change.tobytes()], pa.binary())], names=["part", "n", "change"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, n, total = None, 0, None
+            for batch in batches:
+                for i, m, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    part, n = i if part is None else part, n + m
+                    change = np.frombuffer(change)
+                    total = change.copy() if total is None else total + change
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "n", "change"])
+
+        kinds = "part long, n long, change binary"
+        changes = rows.filter(F.col("round") == k).select("text").mapInArrow(run, kinds)
+        sums = changes.repartition(SUMS, "part").sortWithinPartitions("part").mapInArrow(add, kinds).collect()  # SUMS rows at most
+        n = sum(r["n"] for r in sums)
+        if n:
+            change = sum(np.frombuffer(r["change"]) for r in sorted(sums, key=lambda r: r["part"])) / n
+            at = 0
+            for x in names:
+                own = model.p[x]
+                own += change[at : at + own.size].reshape(own.shape).astype(np.float32)
+                at += own.size
+        seen += n
+        shared.unpersist()
+    return seen
+
+
 def score_documents(docs: DataFrame, training: DataFrame, *, key: str = "doc_id", text: str = "text", passed: tuple[str, ...] = ()) -> DataFrame:
     """(key, *passed, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``, learning from ``training``."""
     spark = docs.sparkSession
@@ -257,6 +346,7 @@ def score_documents(docs: DataFrame, training: DataFrame, *, key: str = "doc_id"
     sample = [r[0] for r in training.filter(draw < SAMPLE_TOKENS / max(n_all, 1)).orderBy(F.xxhash64(F.col(key), F.lit(5)), F.col(text)).select(text).collect()]
     token, kind, first = _read(pa.array(sample, pa.string()))
     model.train(model.encode(token, kind), first)
+    learn_all(model, Adam(model.p), training, key=key, text=text)
     order = np.argsort(known)
     shared = spark.sparkContext.broadcast((model, known[order], np.log10(known_n[order] + 1.0)))
     columns = [F.col(c) for c in (key, *passed)]
@@ -265,7 +355,7 @@ def score_documents(docs: DataFrame, training: DataFrame, *, key: str = "doc_id"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, logs = shared.value
         row = TaskContext.get().partitionId() << 33
-        for batch in pieces(batches, "_text", 2 << 20):
+        for batch in pieces(batches, "_text", 4 << 20):
             token, kind, first = _read(batch.column(batch.schema.get_field_index("_text")))
             n = np.diff(first)
             of = np.repeat(np.arange(len(n)), n)

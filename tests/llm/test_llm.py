@@ -153,6 +153,20 @@ def test_language_model_is_a_distribution_and_learns():
     assert model.score(x, first).sum() > before / 2
 
 
+def test_language_model_learns_from_all_training_documents(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(language_model, "SAMPLE_TOKENS", 0)
+    turn = "red green blue black white grey pink brown " * 60
+    rows = [(k, turn[: 2000 + k], "en", "s") for k in range(400)] + [(None, turn, "en", "s"), (401, None, "en", "s"), (402, "", "en", "s")]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    scored = language_model.score_documents(table, table).filter("n_tokens > 9").collect()
+    assert sum(r["score"] for r in scored) > 0.5 * sum(r["base_score"] for r in scored)
+    token = np.array([5, 7, int(language_model.END)])
+    for known, n in ((table, sum(len((r[1] or "").split()) + 1 for r in rows)), (docs, sum(len(r[0].split()) + 1 for r in docs.select("text").collect())), (none, 0)):
+        model = language_model.Model(token, np.array([3.0, 2, 2]), np.full(language_model.TAIL_CLASSES, 4.0), np.full(language_model.TAIL_CLASSES, 3.0))
+        assert language_model.learn_all(model, language_model.Adam(model.p), known) == n
+        assert all(np.isfinite(x).all() for x in model.p.values())
+
+
 def test_gradients_match_differences():
     model = language_model.Model(np.array([5, 7, int(language_model.END)]), np.array([3.0, 2, 2]), np.full(language_model.TAIL_CLASSES, 4.0), np.full(language_model.TAIL_CLASSES, 3.0))
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
