@@ -124,12 +124,17 @@ def word_spans(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (A-Z lower-cased) and, for each row, where its words begin."""
     data, starts, ends, first = word_spans(text)
+    return span_hashes(data, starts, ends), first
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of ``data[s:e]`` for each s in starts and e in ends."""
     if not len(starts):
-        return np.zeros(0, U64), first
+        return np.zeros(0, U64)
     up, down = _power(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64)), first
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

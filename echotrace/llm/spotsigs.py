@@ -1,8 +1,10 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
 A *spot signature* is an anchor (a common word, or the beginning of the text) with the next ``CHAIN`` content words after it (words
-that are no anchors; fewer at the end).  A document's fingerprint is the set of its signatures as sorted 32-bit hashes, in
-hexadecimal; likeness is the Jaccard resemblance of two sets.  Boilerplate without anchors hardly shows; moved or added passages
+that are no common words; fewer at the end).  Common words are told by what is left without ASCII punctuation at their edges.  A stretch
+of more than ``GAP`` content words without an anchor gets further ones: words whose hash is 0 mod ``SPARSE``, and where that leaves such
+a stretch, every word of it; so does a text without common words that is no longer than that.  So no text is cut to its beginning.  A document's fingerprint is the set of its signatures as sorted 32-bit hashes, in
+hexadecimal; likeness is the Jaccard resemblance of two sets.  Moved or added passages
 change only their own signatures.
 
 matches() compares fingerprints: partitioned by set length, and within a partition by shared rarest signatures, with the bound on
@@ -23,9 +25,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import U64, mix, pieces, read_table, word_hashes
+from echotrace.llm.common import U64, mix, pieces, read_table, span_hashes, word_hashes, word_spans
 
-CHAIN = 2
+CHAIN, GAP, SPARSE = 2, 4, 4
 ANCHORS = "the a an of to and in is that it on for was with as be this by at are from der die das und von zu den ein nicht le la les de des et un une du que el los las y en por".split()
 _START = U64(0x5107)
 _FIRST = -(1 << 63)
@@ -36,21 +38,45 @@ def _anchor_hashes() -> np.ndarray:
 
 
 _anchors = _anchor_hashes()
+_LETTER = np.arange(256) > 127
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def _bare_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words without punctuation at their edges; a word of punctuation alone stays as it is."""
+    letters = np.append(np.flatnonzero(_LETTER[data]), len(data))
+    at = np.searchsorted(letters, starts)
+    to = np.searchsorted(letters, ends)
+    some = to > at
+    return span_hashes(data, np.where(some, letters[np.minimum(at, len(letters) - 1)], starts), np.where(some, letters[np.maximum(to - 1, 0)] + 1, ends))
+
+
+def _runs(anchor: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many words without an anchor between them each word stands among, in its row; 0 for anchors."""
+    begins = anchor.copy()
+    begins[first[:-1][np.diff(first) > 0]] = True
+    group = np.cumsum(begins)
+    return np.where(anchor, 0, np.bincount(group, ~anchor, int(group[-1]) + 1)[group]) if len(anchor) else np.zeros(0)
 
 
 def spot_sets(texts: list[str], chain: int = CHAIN) -> list[np.ndarray]:
     """Each text's distinct signatures, sorted."""
-    words, first = word_hashes(pa.array(texts, pa.string()))
+    data, starts, ends, first = word_spans(pa.array(texts, pa.string()))
+    words, bare = span_hashes(data, starts, ends), _bare_hashes(data, starts, ends)
     n = len(texts)
-    at = np.minimum(np.searchsorted(_anchors, words), len(_anchors) - 1)
-    anchor = _anchors[at] == words
+    at = np.minimum(np.searchsorted(_anchors, bare), len(_anchors) - 1)
+    anchor = _anchors[at] == bare
     content = np.flatnonzero(~anchor)
     full = np.flatnonzero(np.diff(first) > 0)
-    places = np.flatnonzero(anchor)
+    counts = np.diff(first)
+    lacking = np.repeat((np.bincount(np.repeat(np.arange(n), counts), anchor, n) == 0) & (counts <= GAP), counts)
+    more = (_runs(anchor, first) > GAP) & (words % U64(SPARSE) == 0)
+    more |= (_runs(anchor | more, first) > GAP) | lacking
+    places = np.flatnonzero(anchor | more)
     row = np.concatenate([full, np.searchsorted(first, places, "right") - 1])
     after = np.concatenate([first[full], places + 1])
     with np.errstate(over="ignore"):
-        h = np.concatenate([np.full(len(full), _START), words[places]]) * U64(0x9E3779B97F4A7C15)
+        h = np.concatenate([np.full(len(full), _START), np.where(anchor, bare, words)[places]]) * U64(0x9E3779B97F4A7C15)
         k = np.searchsorted(content, after)
         for j in range(chain):
             there = k + j < len(content)

@@ -286,6 +286,21 @@ def test_spotsigs(spark, docs, odd, none):
     assert {(r["a"], r["b"]) for r in spotsigs.matches(spotsigs.fingerprints(docs)).collect()} == want
 
 
+def test_spotsigs_cover_texts_without_bare_common_words():
+    draw = np.random.default_rng(4)
+    made = [" | ".join(f"c{x}" for x in draw.integers(0, 900, 200)), " ".join(f"{w}&&& j{x}%%%" for w, x in zip(["the", "de"] * 100, draw.integers(0, 900, 200))), " ".join(f"THE.!! W{x}!!" for x in draw.integers(0, 900, 200))]
+    made.append(" ".join("".join(chr(0x430 + y) for y in draw.integers(0, 32, 6)) for _ in range(300)))
+    for text in made:
+        words = text.split()
+        other = words[: len(words) // 2] + [f"{w}q" for w in words[len(words) // 2 :]]
+        a, b, c = spotsigs.spot_sets([text, " ".join(other), " ".join(words[:-3] + ["q1", "q2", "q3"])])
+        assert len(a) >= len(words) / 8
+        assert 0.2 < spotsigs.likeness(a, b) < 0.5 and 0.9 < spotsigs.likeness(a, c) < 1
+    sets = spotsigs.spot_sets(["x y z", "x y w", "", "x", "%% !", "the"])
+    assert sets[0].tolist() != sets[1].tolist() and [len(x) > 0 for x in sets] == [True, True, False, True, True, True]
+    assert [x.tolist() for x in sets] == [spotsigs.spot_sets([t])[0].tolist() for t in ["x y z", "x y w", "", "x", "%% !", "the"]]
+
+
 def test_language(spark, odd, none):
     big = "/root/testdata/sf0.01"
     held = language.op9_language_id(spark, big).filter("held_out").join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
