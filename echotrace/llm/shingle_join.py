@@ -212,7 +212,8 @@ def _tiles(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(class, leaders, shingles array<long>) of the wanted (doc_id, class, leaders), from their texts."""
+    """(class, leaders, shingles array<long>) of the wanted (doc_id, class, leaders), from their texts; a class that only rows without an
+    id hold is found by its name."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal rows with the same id meet in one task, so this is no more than its share of classes
@@ -223,9 +224,13 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
             arrays = pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(values.astype(np.int64))).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), arrays], names=["class", "leaders", "shingles"]).filter(pa.array(keep, pa.bool_()))
 
-    if wanted.count() <= BROADCAST_CLASSES:
-        wanted = F.broadcast(wanted)
-    return docs.join(wanted, "doc_id").select("class", "leaders", "text").mapInArrow(take, "class long, leaders array<long>, shingles array<long>")
+    nameless = wanted.filter("doc_id is null").select("class", "leaders")
+    wanted = wanted.filter("doc_id is not null")
+    some, few = not nameless.isEmpty(), wanted.count() <= BROADCAST_CLASSES
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("class", "leaders", "text")
+    if some:
+        texts = texts.unionByName(with_class(docs.filter("doc_id is null"), words).join(nameless, "class").select("class", "leaders", "text").dropDuplicates(["class"]))
+    return texts.mapInArrow(take, "class long, leaders array<long>, shingles array<long>")
 
 
 def _linked_with_leaders(sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -327,7 +332,7 @@ def shingle_components(docs: DataFrame, *, words: int, threshold: Fraction, key:
     linked_ = link_classes(docs, named, words, threshold)
     classes = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(linked_.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    best = rooted.groupBy("root").agg(F.min(F.struct("least", "class")).alias("best"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "class")).alias("best"))  # an id before none
     found = rooted.join(best, "root").select("class", F.col("best.least").alias("component_id"), F.col("best.class").alias("best"))
     full = named.filter("class is not null").join(found, "class").select("doc_id", "n_shingles", "class", "component_id", ((F.col("class") == F.col("best")) & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("leader"))
     empty = named.filter("class is null").select("doc_id", "n_shingles", "class", F.col("doc_id").alias("component_id"), F.lit(True).alias("leader"))

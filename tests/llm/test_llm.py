@@ -368,6 +368,18 @@ def test_shingle_join(spark, docs, odd, none):
     assert shingle_join.keep_one(none).count() == 0
 
 
+def test_shingle_join_links_rows_without_an_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    change = lambda *at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(base))
+    bridge = [(None, change(0, 1)), (1, change()), (2, change(0, 1, 58, 59))]  # 1 and 2 link through the row without an id alone
+    apart = [(None, " ".join(f"y{k}" for k in range(50))), (None, " ".join(f"y{k}" for k in range(51))), (None, " ".join(f"y{k}" for k in range(51)))]
+    table = spark.createDataFrame([*bridge, *apart], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in shingle_join.shingle_components(table, words=3, threshold=Fraction(9, 10)).collect()), key=str)
+    assert got == [(1, 1), (2, 1), (None, 1), (None, None), (None, None), (None, None)]
+    kept = shingle_join.keep_one(table, words=3, threshold=Fraction(9, 10)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "None"]
+
+
 def test_bitmaps_bound_from_above():
     draw = np.random.default_rng(6)
     for n in (3, 40, 700):
