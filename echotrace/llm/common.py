@@ -42,6 +42,42 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run under a folder of its own; those that later ones supersede are dropped, so that disk holds no more than a step needs."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, new_path(spark, name), {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """As save(); another table of this name stays until it is dropped."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str, but_last: bool = False) -> None:
+        """Delete the tables of these names (all but the newest one, if asked); Spark then deletes the shuffle files of plans that nothing holds any more."""
+        context = self.spark.sparkContext
+        for name in names:
+            paths = self.paths.get(name, [])
+            gone, self.paths[name] = (paths[:-1], paths[-1:]) if but_last else (paths, [])
+            for path in gone:
+                at = context._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        context._jvm.System.gc()
+
+
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """``needed`` columns, and all others as the struct ``_rest``, so that an operator's own names can't clash with them."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*[F.col(f"`{c}`") for c in needed], F.struct(*(rest or [F.lit(True).alias("none")])).alias("_rest"))
+
+
+def unpacked(columns: list[str], *needed: str) -> list[Column]:
+    """What to select to have ``columns`` again."""
+    return [F.col(f"`{c}`") if c in needed else F.col("_rest").getField(c).alias(c) for c in columns]
+
+
 def held_out(key: Column | str, modulus: int, rest: int) -> Column:
     """Whether the crc32 of the key as text leaves ``rest``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")).cast("string").cast("binary")) % modulus == rest
@@ -78,6 +114,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
+_EXACT = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -127,13 +164,13 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, starts, ends), first
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of ``data[s:e]`` for each s in starts and e in ends."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, exact: bool = False) -> np.ndarray:
+    """The hash of ``data[s:e]`` for each s in starts and e in ends; A-Z are lower-cased unless ``exact``."""
     if not len(starts):
         return np.zeros(0, U64)
     up, down = _power(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    np.cumsum((_EXACT if exact else _BYTE)[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 

@@ -15,11 +15,11 @@ very long texts make long frames; an empty table makes an empty manifest.  Other
 from __future__ import annotations
 
 import io
+import json
 import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,50 +32,173 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import new_path, pieces, read_table, save
+from echotrace.llm.common import U64, new_path, pieces, read_table, save, span_hashes, word_spans
 
 FRAME_IDS, SHARD_IDS = 1 << 18, 1 << 22
-CACHED_WORDS = 200_000
+CACHED_WORDS = 1_000_000
 END_ID = 2
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _INDEX = struct.Struct("<4sHHQ")
 
 
+class Pool:
+    """A growing array."""
+
+    def __init__(self, kind: type):
+        self.data, self.n = np.empty(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.empty(self.n + len(values), self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+def stretches(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places at[0], at[0] + 1, ... (n[0] of them), at[1], ..."""
+    ends = np.cumsum(n)
+    return np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(n) else 0)
+
+
+#: Fixed values, from the tokenizer's file: how it cuts a text; other tokenizers get whole words
+CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_LETTER, _DIGIT, _SIGN, _ODD = 1, 2, 3, 4
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[:128] = _SIGN
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER  # 0xC3: the letters from U+00C0 to U+00FF, but for two signs
+_KIND[48:58] = _DIGIT
+_KIND[39] = _ODD  # an apostrophe may join what follows
+#: the characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: chr(b) if b in _PRINTABLE else chr(0x100 + b - sum(x < b for x in _PRINTABLE)) for b in range(256)}
+
+
+def cut_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cut words into runs of letters, single digits and runs of signs, as ``CUT`` does: the bytes with letters lower-cased, where pieces start
+    and end, and whether each is plain.  Words with an apostrophe, a special token's ``<|`` or other than ASCII and Latin letters stay whole, as they are."""
+    kind, low = _KIND[data], data.copy()
+    low[(data >= 65) & (data <= 90)] += 32
+    second = np.zeros(len(data), bool)
+    second[1:] = data[:-1] == 0xC3
+    at = np.flatnonzero(second)
+    sign = (data[at] == 0x97) | (data[at] == 0xB7)
+    kind[at] = np.where(sign, _ODD, _LETTER)
+    high = at[(data[at] < 0x9F) & ~sign]
+    low[high] += 32
+    odd = kind == _ODD
+    odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+    whole = np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1)
+    new = np.zeros(len(data), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    inside = stretches(starts[whole], ends[whole] - starts[whole])
+    new[inside], low[inside] = False, data[inside]
+    solid = np.zeros(len(data), bool)
+    solid[stretches(starts, ends - starts)] = True
+    new &= solid
+    new[starts] = True
+    first = np.flatnonzero(new)
+    last = np.empty(len(first), np.int64)
+    last[:-1] = first[1:]
+    closes = np.searchsorted(first, starts)  # each word's first piece; the piece before it ends with its word
+    last[closes[1:] - 1] = ends[:-1]
+    if len(ends):
+        last[-1] = ends[-1]
+    plain = np.ones(len(first), bool)
+    plain[closes[whole]] = False
+    return low, first, last, plain
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that never looks across white space, with the ids of words remembered as bytes.
+    """Ids of whole texts by a tokenizer that never looks across white space: it sees a piece of a word once, later ones take its ids by numpy.
 
-    Words are held in two generations: when the younger is full, the older goes, and what is met again moves to the younger."""
+    Known pieces are found by a 64-bit hash in a sorted array and then compared byte by byte; a text with a piece of the same hash as
+    another is encoded as a whole.  Plain pieces go right to the tokenizer's model, other words through all of it.  Beyond ``cached``
+    pieces, those go that were met longest ago."""
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.known, self.old = Tokenizer.from_file(path), cached // 2, {}, {}
+        self.tokenizer, self.cached, self.turn = Tokenizer.from_file(path), cached, 0
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-
-    def learn(self, words: set[str]) -> None:
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > self.cached:
-            self.old, self.known, new = self.known, {}, words
-        known, old = self.known, self.old
-        unseen = []
-        for w in new:
-            if (x := old.get(w)) is None:
-                unseen.append(w)
-            else:
-                known[w] = x
-        for k in range(0, len(unseen), 4096):
-            some = unseen[k : k + 4096]
-            known.update(zip(some, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        # U+001C to U+001F are white space to str.split but not to the tokenizer
-        split = [t.split() if t.isprintable() or not any(c in t for c in "\x1c\x1d\x1e\x1f") else None for t in texts]
-        self.learn({w for words in split if words for w in words})
-        get = self.known.__getitem__
-        return [
-            np.frombuffer(b"".join(map(get, words)), np.uint32) if words is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-            for t, words in zip(texts, split, strict=True)
-        ]
+        made = json.loads(self.tokenizer.to_str())
+        steps = lambda x, many: [s["type"] for s in (made[x] or {}).get(many, [])]
+        self.cuts = (
+            steps("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and steps("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"] and made["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": CUT}
+            and all(t["content"].startswith("<|") for t in made["added_tokens"])
+        )
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.slots = np.zeros(0, U64), np.zeros(0, np.int32)  # sorted by hash
+        self.at, self.id_at, self.length, self.id_n, self.met = (Pool(kind) for kind in (np.int64, np.int64, np.int32, np.int32, np.int32))  # by slot
+        self.bytes, self.ids = Pool(np.uint8), Pool(np.uint32)
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for k in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)]
+
+    def _tokenize(self, words: list[bytes], plain: np.ndarray) -> list[list[int]]:
+        tokenize = self.tokenizer.model.tokenize
+        odd = iter(self._whole([w.decode() for w, p in zip(words, plain, strict=True) if not p]))
+        return [[t.id for t in tokenize(w.decode() if w.isascii() and w.decode().isprintable() else w.decode("latin1").translate(_SHOWN))] if p else next(odd) for w, p in zip(words, plain.tolist(), strict=True)]
+
+    def _add(self, hashes: np.ndarray, text: np.ndarray, length: np.ndarray, ids: np.ndarray, id_n: np.ndarray, met: np.ndarray) -> None:
+        slots = self.at.n + np.arange(len(hashes))
+        self.at.add(self.bytes.n + np.cumsum(length) - length)
+        self.id_at.add(self.ids.n + np.cumsum(id_n) - id_n)
+        for pool, values in ((self.bytes, text), (self.length, length), (self.ids, ids), (self.id_n, id_n), (self.met, met)):
+            pool.add(values)
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.slots = np.insert(self.hashes, place, hashes), np.insert(self.slots, place, slots)
+
+    def _keep_newest(self) -> None:
+        met = self.met.data[self.slots]
+        keep = met > np.partition(met, len(met) // 2)[len(met) // 2]
+        hashes, s = self.hashes[keep], self.slots[keep]
+        length, id_n, met = (x.data[s].astype(np.int64) for x in (self.length, self.id_n, self.met))
+        text, ids = self.bytes.data[stretches(self.at.data[s], length)], self.ids.data[stretches(self.id_at.data[s], id_n)]
+        self._forget()
+        self._add(hashes, text, length, ids, id_n, met)
+
+    def _slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """The slot of each piece, new ones after they were learnt."""
+        if len(self.hashes) > self.cached or self.bytes.n > 64 * self.cached:
+            self._keep_newest()
+        self.turn += 1
+        u, at, inverse = np.unique(span_hashes(data, starts, ends, exact=True), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, u)
+        known = place < len(self.hashes)
+        known[known] = self.hashes[place[known]] == u[known]
+        if not known.all():
+            new = at[~known]
+            ids = self._tokenize([data[s:e].tobytes() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], plain[new])
+            length, id_n = ends[new] - starts[new], np.array(list(map(len, ids)), np.int64)
+            self._add(u[~known], data[stretches(starts[new], length)], length, np.array([x for own in ids for x in own], np.uint32), id_n, np.full(len(new), self.turn))
+            place = np.searchsorted(self.hashes, u)
+        slots = self.slots[place]
+        self.met.data[slots] = self.turn
+        return slots[inverse]
+
+    def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none), and where each text's begin."""
+        data, starts, ends, first = word_spans(text)
+        rows_at = np.append(starts, len(data))[first]
+        plain = np.zeros(len(starts), bool)
+        if self.cuts:
+            data, starts, ends, plain = cut_words(data, starts, ends)
+        slots = self._slots(data, starts, ends, plain)
+        length, id_n = ends - starts, self.id_n.data[slots]
+        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(id_n)])[np.searchsorted(starts, rows_at)]
+        out = self.ids.data[stretches(self.id_at.data[slots], id_n)]
+        wrong = length != self.length.data[slots]
+        like = np.flatnonzero(~wrong)
+        differ = np.flatnonzero(self.bytes.data[stretches(self.at.data[slots[like]], length[like])] != data[stretches(starts[like], length[like])])
+        wrong[like[np.searchsorted(np.cumsum(length[like]), differ, "right")]] = True
+        if not wrong.any():
+            return out, at
+        parts = [out[a:b] for a, b in zip(at, at[1:])]
+        for k in np.unique(np.searchsorted(np.searchsorted(starts, rows_at), np.flatnonzero(wrong), "right") - 1).tolist():
+            parts[k] = np.array(self._whole([text[k].as_py()])[0], np.uint32)
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
 @lru_cache(maxsize=1)
@@ -190,9 +313,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, folder: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, shard, f"{folder}/{name}", len(writer.counts), writer.ids), schema, strict=True)], schema=schema)
 
         for batch in pieces(batches, limit=1 << 20):
-            texts = batch.column(1).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in texts]), strict=True):
-                writer.add(doc_id, np.append(ids, np.uint32(end_id)))
+            ids, at = encode(batch.column(1))
+            for k, doc_id in enumerate(batch.column(0).to_pylist()):
+                writer.add(doc_id, np.append(ids[at[k] : at[k + 1]], np.uint32(end_id)))
                 if writer.ids >= SHARD_IDS:
                     yield close()
                     shard, writer = shard + 1, ShardWriter(width)

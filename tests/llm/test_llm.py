@@ -118,7 +118,20 @@ def test_words_encode_like_whole_texts(text):
     if not hasattr(test_words_encode_like_whole_texts, "encoder"):
         test_words_encode_like_whole_texts.encoder = token_files.WordEncoder(_tokenizer())
     encoder = test_words_encode_like_whole_texts.encoder
-    assert encoder([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder(pa.array([text]))[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_forgets_and_tells_words_of_one_hash_apart(monkeypatch):
+    draw = np.random.default_rng(8)
+    texts = [" ".join(f"W{x}é" for x in draw.integers(0, 400, n)) for n in draw.integers(0, 300, 60)] + [None, "", "<|endoftext|> <|ENDOFTEXT|>"]
+    for bits in (64, 6):
+        monkeypatch.setattr(token_files, "span_hashes", lambda *a, **k: common.span_hashes(*a, **k) >> np.uint64(64 - bits))  # noqa: B023
+        encoder = token_files.WordEncoder(_tokenizer(), cached=100)
+        for k in range(0, len(texts), 7):
+            some = texts[k : k + 7]
+            ids, at = encoder(pa.array(some, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert len(encoder.hashes) <= 100 + 7 * 300
 
 
 def test_language_model(spark, docs, odd, none):
