@@ -1,39 +1,194 @@
-"""Best earlier matches by vector or by perceptual hash."""
+"""Best earlier matches by vector or by perceptual hash, within a group.
+
+All pairs of a group are asked for, so they are compared in blocks: a group's rows are dealt by a hash into blocks of about ``BLOCK`` rows, each
+pair of blocks is one Arrow batch of bounded size, and only what may win leaves it.  Hashes that must be near to match go by
+bands instead where that leaves few pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echotrace.functions.similarity import cosine, norm
+from echotrace.functions.similarity import EPSILON
+
+BLOCK = 2048
+
+
+def block_pairs(rows: DataFrame, group: str, by: str, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *, size: int = BLOCK) -> DataFrame:
+    """``kernel(left, right)`` of every pair of blocks of a group, also of a block and itself; both orders of two blocks are left to the kernel."""
+    blocks = rows.groupBy(F.col(group).alias("_group")).agg(F.ceil(F.count("*") / size).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")
+    dealt = rows.join(blocks, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumns({"_x": F.least("_own", "_other"), "_y": F.greatest("_own", "_other")}).drop("_other", "_blocks")
+
+    def meet(table: pa.Table) -> pa.Table:
+        x, own = table.column("_x")[0], table.column("_own").to_numpy()
+        first = pa.array(own == x.as_py())
+        left = table.filter(first)
+        return kernel(left, left if table.column("_y")[0] == x else table.filter(pa.array(own != x.as_py())))
+
+    return dealt.groupBy("_group", "_x", "_y").applyInArrow(meet, schema)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks()
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+
+
+def _cosines(a: pa.Table, b: pa.Table, digits: int) -> np.ndarray:
+    """Rounded cosines of all rows; rows come with ``_size``, and vectors of other lengths have none."""
+    out = np.zeros((a.num_rows, b.num_rows))
+    sizes = [t.column("_size").to_numpy() for t in (a, b)]
+    for n in np.intersect1d(*sizes):
+        rows = [np.flatnonzero(s == n) for s in sizes]
+        if n > 0:
+            x, y = (_matrix(t.column("_vector").take(pa.array(r))) for t, r in zip((a, b), rows, strict=True))
+            norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None]
+            out[np.ix_(*rows)] = np.round(x @ y.T / (norms + EPSILON), digits)
+    return np.nan_to_num(out, nan=0.0)
+
+
+def _vectors(rows: DataFrame, group: str | None, order: str, vector: str, *more: str) -> DataFrame:
+    own = F.col(vector).cast("array<double>")
+    return rows.select((F.col(group) if group else F.lit(0)).alias("_g"), F.col(order).cast("long").alias("_id"), own.alias("_vector"), F.coalesce(F.size(own), F.lit(0)).alias("_size"), *[F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate(more)])
+
+
+def _best(scores: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows a: their best score among the b before them, above 0, and the least id that has it."""
+    open_ = np.where(b[None] < a[:, None], scores, 0.0)
+    top = open_.max(1, initial=0.0)
+    least = np.where(open_ == top[:, None], b[None], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
+    keep = top > 0
+    return a[keep], least[keep], top[keep]
+
+
+def _best_of(pairs: DataFrame, order: str, threshold: float) -> DataFrame:
+    best = pairs.groupBy("id").agg(F.max(F.struct("s", (-F.col("m")).alias("back"))).alias("best"))
+    return best.select(F.col("id").alias(order), (-F.col("best.back")).alias("matched_id"), F.col("best.s").alias("similarity"), (F.col("best.s") >= threshold).alias("matched"))
+
+
+def _each_way(score: Callable[[pa.Table, pa.Table], np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best earlier row of each row of both blocks."""
+
+    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+        s, ids = score(a, b), [t.column("_id").to_numpy() for t in (a, b)]
+        found = [_best(s, *ids)] if a is b else [_best(s, *ids), _best(s.T, *ids[::-1])]
+        return pa.table({"id": pa.array(np.concatenate([x[0] for x in found])), "m": pa.array(np.concatenate([x[1] for x in found])), "s": pa.array(np.concatenate([x[2] for x in found]))})
+
+    return kernel
+
+
+def _senders_each_way(near: Callable[[pa.Table, pa.Table], np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """(id, sender) of both blocks: the senders of near rows at or before each row; a sender is sent once for a row."""
+
+    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+        hits, ids, out = near(a, b), [t.column("_id").to_numpy() for t in (a, b)], []
+        for h, x, y, t in ((hits, *ids, b), (hits.T, *ids[::-1], a))[: 1 if a is b else 2]:
+            names = t.column("_0").combine_chunks().dictionary_encode()
+            codes = names.indices.fill_null(-1).to_numpy()
+            i, j = np.nonzero(h & (y[None] <= x[:, None]))
+            pair = np.unique(np.stack([i, codes[j]]), axis=1)
+            pair = pair[:, pair[1] >= 0]
+            out.append(pa.table({"id": pa.array(x[pair[0]], pa.int64()), "sender": names.dictionary.take(pa.array(pair[1], pa.int64())).cast(pa.string())}))
+        return pa.concat_tables(out)
+
+    return kernel
+
+
+def _count_senders(pairs: DataFrame, rows: DataFrame, order: str) -> DataFrame:
+    counts = pairs.filter("sender <> ''").distinct().groupBy("id").agg(F.count("*").alias("unique_senders"))
+    return rows.select(F.col(order).cast("long").alias("id")).join(counts, "id", "left").fillna(0, ["unique_senders"]).withColumnRenamed("id", order)
+
+
+def best_cosine(rows: DataFrame, *, order: str, vector: str, group: str | None = None, threshold: float, digits: int = 9, size: int = BLOCK) -> DataFrame:
+    """(order, matched_id, similarity, matched): the most similar earlier row of the group; ties go to the earliest, and nothing at or under 0 wins.
+    Similarities are rounded before they are ranked; null and empty vectors match nothing."""
+    return _best_of(block_pairs(_vectors(rows, group, order, vector), "_g", "_id", _each_way(lambda a, b: _cosines(a, b, digits)), "id long, m long, s double", size=size), order, threshold)
+
+
+def senders_by_cosine(rows: DataFrame, *, order: str, vector: str, sender: str, group: str | None = None, threshold: float, digits: int = 9, size: int = BLOCK) -> DataFrame:
+    """(order, unique_senders): distinct senders, null and empty ones left out, of rows at or before this one that are similar enough, itself included."""
+    pairs = block_pairs(_vectors(rows, group, order, vector, sender), "_g", "_id", _senders_each_way(lambda a, b: _cosines(a, b, digits) >= threshold), "id long, sender string", size=size)
+    return _count_senders(pairs, rows, order)
+
+
+def bits_of(hexadecimal: Column) -> Column:
+    """A hexadecimal hash as binary, null unless all of it is hexadecimal digits in pairs."""
+    return F.when(hexadecimal.rlike(r"\A(?:[0-9a-fA-F]{2})+\z"), F.unhex(hexadecimal))
+
+
+def _distances(a: pa.Table, b: pa.Table) -> np.ndarray:
+    """Hamming distances of all rows; -1 for hashes of other lengths."""
+    out = np.full((a.num_rows, b.num_rows), -1)
+    sizes = [t.column("_size").to_numpy() for t in (a, b)]
+    for n in np.intersect1d(*sizes):
+        rows = [np.flatnonzero(s == n) for s in sizes]
+        if n > 0:
+            x, y = (np.frombuffer(b"".join(t.column("_bits").take(pa.array(r)).to_pylist()), np.uint8).reshape(len(r), n) for t, r in zip((a, b), rows, strict=True))
+            out[np.ix_(*rows)] = sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(int) for k in range(n))
+    return out
+
+
+def _hashes(rows: DataFrame, group: str | None, order: str, bits: str, *more: str) -> DataFrame:
+    return rows.filter(F.col(bits).isNotNull()).select((F.col(group) if group else F.lit(0)).alias("_g"), F.col(order).cast("long").alias("_id"), F.col(bits).alias("_bits"), F.octet_length(bits).alias("_size"), *[F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate(more)])
+
+
+def _alike(a: pa.Table, b: pa.Table) -> np.ndarray:
+    d = _distances(a, b)
+    return np.where(d < 0, 0.0, 1 - d / (8.0 * np.maximum(a.column("_size").to_numpy(), 1))[:, None])
+
+
+def best_hash(rows: DataFrame, *, order: str, bits: str, group: str | None = None, threshold: float, size: int = BLOCK) -> DataFrame:
+    """As best_cosine, by the share of equal bits of binary hashes."""
+    return _best_of(block_pairs(_hashes(rows, group, order, bits), "_g", "_id", _each_way(_alike), "id long, m long, s double", size=size), order, threshold)
+
 
+def senders_by_hash(rows: DataFrame, *, order: str, bits: str, sender: str, group: str | None = None, threshold: float, size: int = BLOCK) -> DataFrame:
+    """As senders_by_cosine, by the share of equal bits of binary hashes."""
+    pairs = block_pairs(_hashes(rows, group, order, bits, sender), "_g", "_id", _senders_each_way(lambda a, b: _alike(a, b) >= threshold), "id long, sender string", size=size)
+    return _count_senders(pairs, rows, order)
 
-def best_cosine(rows: DataFrame, *, order: str, vector: str, group: str | None = None, threshold: float, digits: int = 9) -> DataFrame:
-    """(order, matched_id, similarity, matched): the most similar earlier row; ties go to the earliest, and nothing at or under 0 wins.
 
-    Similarities are rounded before they are ranked.  All earlier rows of the group are compared: that is what the operator asks for."""
-    own = rows.select(order, F.col(group).alias("_g") if group else F.lit(0).alias("_g"), F.col(vector).cast("array<double>").alias("v")).withColumn("n", norm(F.col("v")))
-    past = own.select(F.col(order).alias("_id"), "_g", F.col("v").alias("w"), F.col("n").alias("m"))
-    pairs = own.join(past, "_g").filter(F.col("_id") < F.col(order)).withColumn("s", F.round(cosine(F.col("v"), F.col("w"), F.col("n"), F.col("m")), digits))
-    best = pairs.filter((F.col("s") > 0) & ~F.isnan("s")).groupBy(order).agg(F.max(F.struct(F.col("s"), (-F.col("_id")).alias("back"))).alias("best"))
-    return best.select(order, (-F.col("best.back")).alias("matched_id"), F.col("best.s").alias("similarity"), (F.col("best.s") >= threshold).alias("matched"))
+def bands_for(width: int, most: int) -> int | None:
+    """How many bands to cut hashes into so that hashes ``most`` bits apart differ by one bit at most in some band; None where a band
+    would leave over a hundredth of all pairs, so that comparing blocks is cheaper."""
+    n = most // 2 + 1
+    bits = width // n
+    return n if bits >= 1 and n * (bits + 1) < 2.0**bits / 100 else None
 
 
-def senders_by_cosine(rows: DataFrame, *, order: str, vector: str, sender: str, threshold: float, digits: int = 9) -> DataFrame:
-    """(order, unique_senders): distinct senders of rows at or before this one that are similar enough, itself included."""
-    own = rows.select(order, sender, F.col(vector).cast("array<double>").alias("v"), F.lit(0).alias("_g")).withColumn("n", norm(F.col("v")))
-    past = own.select(F.col(order).alias("_id"), F.col(sender).alias("_s"), F.col("v").alias("w"), F.col("n").alias("m"), "_g")
-    near = F.round(cosine(F.col("v"), F.col("w"), F.col("n"), F.col("m")), digits) >= threshold
-    return own.join(past, "_g").filter((F.col("_id") <= F.col(order)) & near).groupBy(order).agg(F.countDistinct("_s").alias("unique_senders"))
+def near_hashes(rows: DataFrame, *, key: str, bits: str, width: int, most: int, group: str | None = None, size: int = BLOCK) -> DataFrame:
+    """(g, a, b, distance) of all pairs a < b of binary hashes of a group (``width`` bits in whole bytes, the last ones unused) at most ``most``
+    bits apart; g is xxhash64 of the group.
 
+    Hashes are cut into bands of which one differs by a bit at most: one side sends its bands, the other also each with one bit turned.
+    A pair counts in the first band that brings it together, so none comes twice."""
+    n = bands_for(width, most)
+    own = _hashes(rows.withColumn("_hashed", F.xxhash64(group) if group else F.lit(0).cast("long")), "_hashed", key, bits)
+    if n is None:
 
-def hamming_pairs(rows: DataFrame, *, key: str, bits: str, width: int, most: int) -> DataFrame:
-    """(a, b, distance) of all pairs of hashes at most ``most`` bits apart.
+        def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+            d, ids = _distances(a, b), [t.column("_id").to_numpy() for t in (a, b)]
+            i, j = np.nonzero((d >= 0) & (d <= most))
+            x, y, d = ids[0][i], ids[1][j], d[i, j]
+            keep = x < y if a is b else x != y
+            x, y, d = x[keep], y[keep], d[keep]
+            return pa.table({"g": pa.array(np.full(len(x), a.column("_g")[0].as_py(), np.int64)), "a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y)), "distance": pa.array(d.astype(np.int64))})
 
-    Cut into ``most + 1`` bands, near hashes agree on one band at least: an equi-join on bands loses nothing."""
-    n = most + 1
+        return block_pairs(own, "_g", "_id", kernel, "g long, a long, b long, distance long", size=size)
     edges = [width * k // n for k in range(n + 1)]
-    band = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col(bits), lo).bitwiseAND((1 << (hi - lo)) - 1).alias("x")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    cut = rows.select(F.col(key).alias("a"), F.col(bits).alias("h"), F.explode(F.array(*band)).alias("band"))
-    pairs = cut.join(cut.select(F.col("a").alias("b"), F.col("h").alias("g"), "band"), "band").filter("a < b").select("a", "b", F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).alias("distance"))
-    return pairs.filter(F.col("distance") <= most).distinct()
+    bit_text = F.array_join(F.transform(F.sequence(F.lit(1), F.col("_size")), lambda k: F.lpad(F.conv(F.hex(F.substring(F.col("_bits"), k, F.lit(1))), 16, 2), 8, "0")), "")
+    bands = F.array(*[F.conv(F.substring(bit_text, F.lit(lo + 1), F.lit(hi - lo)), 2, 10).cast("long") for lo, hi in zip(edges, edges[1:])])
+    own = own.select("_g", "_id", "_size", bands.alias("bands"))
+    turns = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(1 << t).cast("long") for t in range(hi - lo)]) for lo, hi in zip(edges, edges[1:])])
+    asked = F.flatten(F.transform(F.arrays_zip(F.col("bands").alias("x"), turns.alias("m"), F.sequence(F.lit(0), F.lit(n - 1)).alias("k")), lambda z: F.transform(z["m"], lambda m: F.struct(z["k"].alias("k"), z["x"].bitwiseXOR(m).alias("x")))))
+    left = own.select("_g", "_size", F.col("_id").alias("a"), F.col("bands").alias("p"), F.posexplode("bands").alias("k", "x"))
+    right = own.select("_g", "_size", F.col("_id").alias("b"), F.col("bands").alias("q"), F.inline(asked).alias("k", "x"))
+    differ = F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    met = left.join(right, ["_g", "_size", "k", "x"]).filter("a < b").select("_g", "a", "b", "k", differ.alias("differ"))
+    met = met.filter(F.array_position(F.transform("differ", lambda x: x <= 1), F.lit(True)) - 1 == F.col("k"))
+    return met.select(F.col("_g").alias("g"), "a", "b", F.aggregate("differ", F.lit(0), lambda s, x: s + x).cast("long").alias("distance")).filter(F.col("distance") <= most)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echotrace.functions import names
 from echotrace.functions import text as X
 from echotrace.functions.urls import fingerprint, normalised
-from echotrace.operators import context, repeats, search, similar
+from echotrace.operators import context, filters, forwards, judging, repeats, routing, search, similar, video
+from echotrace.operators import status as stored
 
 DAY = repeats.DAY
 
@@ -31,17 +33,43 @@ def text_exact_groups(spark, d):
 
 
 def url_exact_groups(spark, d):
+    """Each page's URL in six spellings; two of them carry a parameter of their own, escaped differently."""
     pages = table(spark, d, "pages").select("page_id", "url")
     mark = F.when(F.col("url").contains("?"), "&").otherwise("?")
     base = F.substring_index("url", "#", 1)
-    shared = pages.select((F.col("page_id") + 1_000_000).alias("page_id"), F.concat(base, mark, F.lit("utm_medium=app&fbclid=1#x")).alias("url"))
-    both = pages.unionByName(shared).select((F.col("page_id") % 7).alias("sender"), "page_id", fingerprint(normalised(F.col("url"))).alias("url_hash"))
-    return repeats.equal_groups(both.filter("url_hash is not null"), key=["url_hash"], sender="sender", order="page_id").drop("url_hash")
+    with_ = lambda text: F.concat(base, mark, F.lit(text))
+    scheme, host, rest = (F.regexp_extract(base, r"(?s)^(https?)://([^/?]*)(.*)$", k) for k in (1, 2, 3))
+    port = F.when(scheme == "https", ":443").otherwise(":80")
+    spellings = [F.col("url"), with_("utm_medium=app&fbclid=1#x"), F.concat(F.lit(" <"), F.upper(scheme), F.lit("://@"), F.upper(host), port, rest, F.lit("> ")), with_("zz=%2a%7e+%C3%A9&zy"), with_("&zy=&zz=*~%20é"), F.concat(scheme, F.lit("://me@"), host, rest)]
+    every = pages.select("page_id", F.posexplode(F.array(*spellings)).alias("k", "url"))
+    every = every.select((F.col("page_id") + F.col("k") * 1_000_000).alias("page_id"), (F.col("page_id") % 7).alias("sender"), fingerprint(normalised(F.col("url"))).alias("url_hash"))
+    return repeats.equal_groups(every.filter("url_hash is not null"), key=["url_hash"], sender="sender", order="page_id").drop("url_hash")
+
+
+def _bundles(spark, d):
+    day = F.date_format("ts", "yyyy-MM-dd")
+    keys = [F.concat_ws("-", "user_id", "props").alias("forward_id"), F.round("value", 2).cast("string").alias("forward_hash"), F.when(F.col("event_id") % 3 > 0, F.concat_ws("-", "user_id", day)).otherwise("").alias("forward_text_hash")]
+    return table(spark, d, "events").select("event_id", "event_type", F.when(F.col("user_id") % 5 > 0, F.col("user_id").cast("string")).otherwise("").alias("sender"), *keys)
 
 
 def forward_first_match(spark, d):
-    events = table(spark, d, "events").select("event_id", "event_type", "props", F.concat_ws("-", "user_id", "props").alias("by_user"), F.round("value", 2).cast("string").alias("by_value"))
-    return repeats.any_key_match(events, group="event_type", keys=["by_value", "by_user"], order="event_id")
+    return forwards.forward_matches(_bundles(spark, d), group="event_type", order="event_id")
+
+
+def forward_unique_senders(spark, d):
+    return forwards.senders_by_forward(_bundles(spark, d), group="event_type", order="event_id", sender="sender")
+
+
+def forward_canonical_hash(spark, d):
+    """Every conversation as a bundle, one more around it."""
+    turns = table(spark, d, "conversations")
+    node = F.struct(F.struct(F.col("role").alias("user_id"), F.upper("role").alias("nickname")).alias("sender"), F.array(F.struct(F.lit("text").alias("type"), F.struct("text").alias("data"))).alias("message"))
+    inner = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", node.alias("node")))), lambda x: x["node"]).alias("messages"))
+    inner = inner.select(F.concat(F.lit("c"), "conv_id").alias("id"), F.to_json(F.struct(F.struct("messages").alias("data"))).alias("payload"), F.lit(False).alias("unavailable"))
+    outer = turns.select("conv_id").distinct().select(F.concat(F.lit("o"), "conv_id").alias("id"), F.format_string('[{"user_id": 1, "name": " a  b ", "content": {"type": "forward", "data": {"id": "c%d"}}}]', "conv_id").alias("payload"), F.lit(False).alias("unavailable"))
+    payloads = inner.unionByName(outer)
+    out = forwards.expand_forwards(payloads.select(F.col("id").alias("forward_id")), payloads)
+    return out.select("forward_id", "forward_hash", "forward_text_hash", "forward_node_count", "forward_truncated")
 
 
 def semantic_best_match(spark, d):
@@ -52,10 +80,79 @@ def semantic_unique_senders(spark, d):
     return similar.senders_by_cosine(table(spark, d, "embeddings"), order="vec_id", vector="embedding", sender="label", threshold=0.40)
 
 
-def dhash_pairs(spark, d):
+def _hashes(spark, d):
     bit = lambda x, k: F.when(F.element_at(x, k + 1) > F.element_at(x, k + 2), 1 << (62 - k)).otherwise(0).cast("bigint")
-    rows = table(spark, d, "embeddings").select("vec_id", sum((bit(F.col("embedding"), k) for k in range(63)), F.lit(0).cast("bigint")).alias("h"))
-    return similar.hamming_pairs(rows, key="vec_id", bits="h", width=63, most=18).withColumn("distance", F.col("distance").cast("long"))
+    h = sum((bit(F.col("embedding"), k) for k in range(63)), F.lit(0).cast("bigint"))
+    return table(spark, d, "embeddings").select("vec_id", "label", similar.bits_of(F.lpad(F.hex(h), 16, "0")).alias("h"))
+
+
+def dhash_pairs(spark, d):
+    return similar.near_hashes(_hashes(spark, d), key="vec_id", bits="h", width=64, most=18).drop("g")
+
+
+def image_best_match(spark, d):
+    return similar.best_hash(_hashes(spark, d), order="vec_id", bits="h", group="label", threshold=0.70)
+
+
+def image_unique_senders(spark, d):
+    return similar.senders_by_hash(_hashes(spark, d).withColumn("sender", F.col("vec_id") % 11), order="vec_id", bits="h", sender="sender", group="label", threshold=0.65)
+
+
+def _videos(spark, d):
+    """Messages with a video or two: copies of forty films, by file, by frames that differ in some digits, by metadata."""
+    v = F.col("vec_id")
+    own = F.when(v % 3 == 0, 14).otherwise(5)
+    digits = lambda name, n: F.sha2(F.concat(F.lit(name), n.cast("string"), F.lit("-"), F.lit("%d")), 256)
+    frame = lambda k: F.concat(F.substr(F.sha2(F.concat(F.lit("v"), v.cast("string"), F.lit(f"-{k}")), 256), F.lit(1), own), F.substr(F.sha2(F.concat(F.lit("b"), (v % 40).cast("string"), F.lit(f"-{k}")), 256), own + 1))
+    del digits
+    analysis = F.when(v % 5 == 0, "metadata").when(v % 5 == 1, "sha256").otherwise("perceptual")
+    one = F.struct(F.when(v % 5 > 0, F.concat(F.lit("f"), (v % 60).cast("string"))).alias("sha256"), F.when(v % 5 > 1, F.array(*[frame(k) for k in range(5)])).otherwise(F.array().cast("array<string>")).alias("frame_hashes"), (10_000 + v % 4 * 400).alias("duration_ms"), names.metadata_hash(F.concat(F.lit("n"), (v % 30).cast("string")), v % 9).alias("metadata_hash"), analysis.alias("analysis"))
+    return table(spark, d, "embeddings").select("vec_id", (F.col("label") % 3).alias("label"), F.when(v % 7 > 0, (v % 7).cast("string")).otherwise("").alias("sender"), F.array(one).alias("videos"))
+
+
+def video_tiered_match(spark, d):
+    return video.video_matches(_videos(spark, d), group="label", order="vec_id")
+
+
+def video_unique_senders(spark, d):
+    return video.senders_by_video(_videos(spark, d), group="label", order="vec_id", sender="sender")
+
+
+def size_diagnostics(spark, d):
+    sizes = video.size_diagnostics(F.when(F.col("p_size") % 10 > 0, F.col("p_size") * 100), F.when(F.col("p_size") % 7 > 0, F.col("p_size") * 100 + (F.col("p_partkey") % 3 - 1) * 7))
+    return table(spark, d, "part").select("p_partkey", sizes.alias("s")).select("p_partkey", "s.*")
+
+
+def filename_normalise(spark, d):
+    url = F.col("url")
+    ways = F.array(url, F.concat(url, F.lit("/My%20Video+1.MP4?token=x")), F.concat(F.lit("C:\\dir\\A"), F.col("page_id").cast("string"), F.lit(".Mp4 ")), F.lit("data:video/mp4;base64,AAAA"), F.concat(F.lit("a/"), F.repeat(F.lit("x"), F.lit(600))))
+    return table(spark, d, "pages").select("page_id", F.posexplode(F.transform(ways, names.file_name)).alias("way", "name"))
+
+
+def modality_routing(spark, d):
+    return routed(spark, d).select("page_id", "modality", "content", "image_source", "url_only", "url_hash", "has_video", "embedding_content")
+
+
+def routed(spark, d):
+    """Pages as messages of ten kinds."""
+    k, n = F.col("page_id") % 10, F.col("page_id").cast("string")
+    part = lambda type_, id_=None, path=None, url=None, file=None, readable=False: F.struct(F.lit(type_).alias("type"), _or_null(id_).alias("id"), _or_null(path).alias("path"), _or_null(url).alias("url"), _or_null(file).alias("file"), F.lit(readable).alias("readable"))
+    _or_null = lambda c: c if c is not None else F.lit(None).cast("string")
+    image = lambda name: part("Image", url=F.concat(F.lit(name), n))
+    clip = part("Video", url=F.concat(F.lit("http://v/"), n))
+    bundle = lambda id_: part("Forward", id_)
+    kinds = [(2, [image("i"), image("j")]), (3, [image("s")]), (4, [image("s")]), (5, [clip, image("i")]), (6, [clip, bundle(F.concat(F.lit(" f"), n))]), (7, [bundle(F.lit(" "))]), (8, [bundle(F.repeat(F.lit("x"), F.lit(600)))])]
+    components = F.lit(None).cast("array<struct<type:string,id:string,path:string,url:string,file:string,readable:boolean>>")
+    for kind, parts in kinds:
+        components = F.when(k == kind, F.array(*parts)).otherwise(components)
+    raw = F.when(k == 5, F.array(F.struct(F.lit("video").alias("type"), F.create_map(F.lit("file"), F.concat(F.lit("A%20"), n, F.lit(".MP4")), F.lit("file_size"), n).alias("data"))))
+    text = F.when(k.isin(0, 3, 4, 9), F.col("url")).when(k.isin(7, 8), F.lit("")).otherwise(F.concat(F.lit("　text "), n))
+    text = F.when((k == 4) | (k == 8), F.lit("")).when(k == 9, F.concat(F.lit("see "), F.col("url"))).when(k == 7, F.concat(F.lit("t"), n)).otherwise(text)
+    described = F.create_map(F.concat(F.lit("j"), n), F.concat(F.lit("cat "), n))
+    expanded = [F.when(k == 6, F.concat(F.lit("[合并转发]\nx"), n)).alias("forward_content"), *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in forwards.EXPANDED.split(", ")) if c != "forward_content"]]
+    messages = table(spark, d, "pages").select("page_id", (k % 3).cast("string").alias("group_id"), F.lit("u").alias("sender_id"), text.alias("text"), components.alias("components"), raw.alias("raw"), described.alias("described"), *expanded)
+    out = routing.route(messages)
+    return out.withColumn("embedding_content", routing.embedding_content(out))
 
 
 def longest_run(spark, d):
@@ -71,6 +168,48 @@ def judge_context_stats(spark, d):
     return context.repeat_stats(table(spark, d, "events"), group=["event_type", "props"], ts="ts", sender="user_id", window_s=DAY, order="event_id")
 
 
+def judge_window_stats(spark, d):
+    stats = judging.judge_statistics(table(spark, d, "events"), group="event_type", order="event_id", ts="ts", sender="user_id", content="props", window_s=DAY)
+    return stats.select("event_id", "messages_in_window", "exact_repeat_count", "exact_unique_senders", "exact_span_seconds", "longest_consecutive_exact")
+
+
+def judge_contexts(spark, d):
+    events = table(spark, d, "events").select("event_id", "event_type", "user_id", "ts")
+    first = repeats.any_key_match(events, group="event_type", keys=["user_id"], order="event_id").filter("event_id % 50 = 0").drop("match_type")
+    return judging.judge_contexts(events, first, group="event_type", order="event_id", ts="ts", window_s=DAY).drop("place")
+
+
+def never_seen_before(spark, d):
+    events = table(spark, d, "events").select("event_id", "event_type", "user_id", "ts")
+    cut = F.lit("2024-01-20").cast("timestamp")
+    return repeats.never_seen_before(events.filter(F.col("ts") >= cut), events.filter(F.col("ts") < cut), key=["event_type", "user_id"]).select("event_id")
+
+
+def store_status(spark, d):
+    """Events as stored messages with up to two videos."""
+    n, some = F.col("event_id"), lambda m, x: F.when(n % m == 0, x)
+    clip = lambda m: F.struct(some(m, F.lit("s")).alias("sha256"), F.when(n % m == 1, F.array(F.lit("0"))).otherwise(F.array().cast("array<string>")).alias("frame_hashes"), F.when(n % m == 2, "metadata").otherwise("sha256").alias("analysis"))
+    messages = table(spark, d, "events").select(
+        F.col("event_type").alias("group_id"), some(2, F.array(F.lit(0.5))).alias("embedding"), (n % 3 == 0).alias("has_image"), some(6, F.lit("h")).alias("image_hash"), (n % 4 == 0).alias("has_video"), some(4, F.array(clip(8), clip(3))).alias("videos"),
+        some(5, F.lit("f")).alias("forward_id"), some(10, F.lit("x")).alias("forward_hash"), some(15, F.lit("")).alias("forward_text_hash"), F.when(n % 20 == 0, True).alias("forward_partial"), (n % 7 == 0).alias("url_only"), some(14, F.lit("u")).alias("url_hash"),
+    )
+    return stored.status(messages)
+
+
+def search_command(spark, d):
+    turns = table(spark, d, "conversations")
+    asked = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" /搜图　"), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("搜图"), "text")).otherwise(F.lit("搜图"))
+    return turns.select("conv_id", "turn", X.search_query(asked).alias("query"))
+
+
+def hybrid_search(spark, d):
+    """Documents with vectors, by keywords, vector and letters: the first hundred."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "n_chars").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    asked = [1.0 if k % 3 == 0 else -0.5 for k in range(64)]
+    found = search.ranked(docs.withColumn("text", F.substr("text", F.lit(1), F.lit(120))), "information about the", text="text", order="doc_id", recency="n_chars", fuzzy_from=0.65, vector="embedding", asked=asked, semantic_from=0.2, top=100)
+    return found.select("doc_id", "match_type", F.round("semantic", 9).alias("semantic"), F.round("fuzzy", 9).alias("fuzzy"), "hits", "occurrences")
+
+
 def recent_last_n(spark, d):
     return context.last_n(table(spark, d, "conversations").select("conv_id", "turn", "role"), group="conv_id", order=["turn"], n=2)
 
@@ -98,7 +237,7 @@ def retention_window(spark, d):
 
 
 def filter_short_text(spark, d):
-    return table(spark, d, "documents").filter(F.length("text") >= 200).select("doc_id", F.length("text").cast("long").alias("chars"))
+    return table(spark, d, "documents").filter(filters.long_enough(F.col("text"), 200)).select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
 def filter_commands(spark, d):
@@ -111,7 +250,7 @@ def filter_regex(spark, d):
 
 
 def filter_blocklist(spark, d):
-    return table(spark, d, "documents").filter(~F.col("source").isin("src0", "src3")).select("doc_id", "source")
+    return filters.without_blocked(table(spark, d, "documents"), "source", ["src0", "src3"]).select("doc_id", "source")
 
 
 def reminder_summary(spark, d):
@@ -121,12 +260,24 @@ def reminder_summary(spark, d):
 
 def metadata_hash(spark, d):
     part = table(spark, d, "part")
-    return part.select("p_partkey", F.sha2(F.concat(F.lower("p_name"), F.lit("\n"), F.col("p_size").cast("string")), 256).alias("hash"))
+    return part.select("p_partkey", names.metadata_hash(names.file_name(F.concat(F.lit("/tmp/"), "p_name")), F.col("p_size")).alias("hash"))
 
 
 _EARLIER = "(b.ts < a.ts or (b.ts = a.ts and b.event_id <= a.event_id))"
 _NORMAL = r"trim(regexp_replace(text, '[\x09-\x0D\x20]+', ' ', 'g'))"
 _COMMAND = r"(?i)^[/!#.。]?(the|le|of)($|[\x09-\x0D\x20][^\n]*$)"
+_BUNDLES = "select event_id, event_type, case when user_id % 5 > 0 then user_id::varchar else '' end sender, user_id || '-' || props forward_id, round(value, 2)::varchar forward_hash, case when event_id % 3 > 0 then user_id || '-' || strftime(ts, '%Y-%m-%d') else '' end forward_text_hash from events"
+_HASHES = "select vec_id, label, list_sum([case when embedding[k] > embedding[k + 1] then 1::bigint << (63 - k)::bigint else 0 end for k in range(1, 64)])::bigint h from embeddings"
+_VIDEOS = """
+select vec_id, label % 3 label, case when vec_id % 7 > 0 then (vec_id % 7)::varchar else '' end sender, case when vec_id % 5 > 0 then 'f' || vec_id % 60 end sha, 10000 + vec_id % 4 * 400 ms, vec_id % 5 kind,
+  case when vec_id % 9 > 0 then sha256('n' || vec_id % 30 || chr(10) || vec_id % 9) end meta,
+  [substr(sha256('v' || vec_id || '-' || k), 1, case when vec_id % 3 = 0 then 14 else 5 end) || substr(sha256('b' || vec_id % 40 || '-' || k), case when vec_id % 3 = 0 then 15 else 6 end) for k in range(5)] f from embeddings"""
+_SIMILAR = "[1 - list_sum([bit_count(xor(('0x' || substr(a.f[k], j * 8 + 1, 8))::bigint, ('0x' || substr(b.f[k], j * 8 + 1, 8))::bigint)) for j in range(8)]) / 256 for k in range(1, 6)]"
+_VIDEO_PAIRS = f"""
+with v as ({_VIDEOS}),
+s as (select a.vec_id a, b.vec_id b, b.sender, coalesce(a.sha = b.sha, false) t0, a.kind = 0 and coalesce(a.meta = b.meta, false) t2, a.kind > 1 and b.kind > 1 and abs(a.ms - b.ms) <= greatest(1000, floor(greatest(a.ms, b.ms) * 0.03)) near, {_SIMILAR} x
+  from v a join v b on a.label = b.label and b.vec_id <= a.vec_id),
+p as (select *, near and x[1] + x[2] + x[3] + x[4] + x[5] >= 4.5 - 1e-9 and len([y for y in x if y >= 0.85]) >= 4 t1 from s)"""
 SQL = {
     "repeat_verdict": f"""
 with p as (select a.event_id, a.user_id, a.ts, b.event_id mid, b.user_id mu, b.ts mts from events a join events b on a.event_type = b.event_type and a.props = b.props and {_EARLIER} and b.ts > a.ts - interval '7' day),
@@ -138,14 +289,28 @@ from g left join f on g.event_id = f.event_id""",
     "text_exact_groups": f"select lang, sha256({_NORMAL}) text_hash, count(*) times, count(distinct source) senders, min(doc_id) first_id from documents group by all having count(*) > 1",
     "url_exact_groups": """
 with u as (select page_id, split_part(url, '#', 1) u from pages),
-n as (select page_id, split_part(u, '?', 1) || array_to_string(list_sort([x for x in string_split(split_part(u, '?', 2), '&') if not (starts_with(x, 'utm_') or x = '')]), '&') n from u),
-both_ as (select * from n union all select page_id + 1000000, n from n)
-select count(*) times, count(distinct page_id % 7) senders, min(page_id) first_id from both_ group by n""",
-    "forward_first_match": """
-with e as (select event_id, event_type, user_id || '-' || props by_user, round(value, 2)::varchar by_value from events),
-v as (select a.event_id, min(b.event_id) m from e a join e b on a.event_type = b.event_type and a.by_value = b.by_value and b.event_id < a.event_id group by 1),
-u as (select a.event_id, min(b.event_id) m from e a join e b on a.event_type = b.event_type and a.by_user = b.by_user and b.event_id < a.event_id group by 1)
-select event_id, least(v.m, u.m) matched_id, case when v.m is not null and (u.m is null or v.m <= u.m) then 'by_value' else 'by_user' end match_type from v full join u using (event_id)""",
+n as (select page_id, split_part(u, '?', 1) h, list_sort([x for x in string_split(split_part(u, '?', 2), '&') if not (starts_with(x, 'utm_') or x = '')]) q from u),
+both_ as (select page_id, unnest([0, 1, 2]) k, h || array_to_string(q, '&') n from n union all select page_id, unnest([3, 4]) k, h || array_to_string(list_concat(q, ['zy=', 'zz=%2A~+%C3%A9']), '&') from n)
+select count(*) times, count(distinct page_id % 7) senders, min(page_id + k * 1000000) first_id from both_ group by n""",
+    "forward_first_match": f"""
+with e as ({_BUNDLES}),
+p as (select event_id, 0 r, min(event_id) over (partition by event_type, forward_id) m from e union all select event_id, 1, min(event_id) over (partition by event_type, forward_hash) from e
+  union all select event_id, 2, min(event_id) over (partition by event_type, forward_text_hash) from e where forward_text_hash <> ''),
+h as (select event_id, arg_min(r, (m, r)) r, min(m) m from p where m < event_id group by 1)
+select event_id, m matched_id, case r when 0 then 'forward_id' when 1 then 'forward_hash' else 'forward_text_hash' end match_type from h""",
+    "forward_unique_senders": f"""
+with e as ({_BUNDLES}),
+p as (select a.event_id, b.sender from e a join e b on a.event_type = b.event_type and a.forward_id = b.forward_id and b.event_id <= a.event_id
+  union all select a.event_id, b.sender from e a join e b on a.event_type = b.event_type and a.forward_hash = b.forward_hash and b.event_id <= a.event_id
+  union all select a.event_id, b.sender from e a join e b on a.event_type = b.event_type and a.forward_text_hash = b.forward_text_hash and b.event_id <= a.event_id where a.forward_text_hash <> '')
+select event_id, count(distinct sender) filter (sender <> '') unique_senders from p group by 1""",
+    "forward_canonical_hash": """
+with t as (select conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) t from conversations),
+c as (select conv_id, count(*) n, sum(length(role) * 2 + length(t)) chars, sum(length(t)) visible, count(*) filter (t <> '') said,
+  '[' || string_agg('{"segments":[{"text":' || to_json(t)::varchar || ',"type":"text"}],"sender_id":"' || role || '","sender_name":"' || upper(role) || '"}', ',' order by turn) || ']' nodes,
+  '[' || string_agg('{"sender_id":"' || role || '","texts":[' || case when t = '' then '' else to_json(t)::varchar end || ']}', ',' order by turn) || ']' texts from t group by conv_id)
+select 'c' || conv_id forward_id, sha256(nodes) forward_hash, case when visible >= 20 and said >= 2 then sha256(texts) end forward_text_hash, n forward_node_count, false forward_truncated from c
+union all select 'o' || conv_id, sha256('[{"segments":[{"nodes":' || nodes || ',"type":"forward"}],"sender_id":"1","sender_name":"a b"}]'), null, n + 1, false from c""",
     "semantic_best_match": """
 with e as (select vec_id, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings),
 p as (select a.vec_id, b.vec_id m, round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-9), 9) s from e a join e b on b.vec_id < a.vec_id)
@@ -153,9 +318,34 @@ select vec_id, m matched_id, s similarity, s >= 0.45 matched from (select *, row
     "semantic_unique_senders": """
 with e as (select vec_id, label, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings)
 select a.vec_id, count(distinct b.label) unique_senders from e a join e b on b.vec_id <= a.vec_id and round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-9), 9) >= 0.40 group by 1""",
-    "dhash_pairs": """
-with e as (select vec_id, list_sum([case when embedding[k] > embedding[k + 1] then 1::bigint << (63 - k)::bigint else 0 end for k in range(1, 64)])::bigint h from embeddings)
+    "dhash_pairs": f"""
+with e as ({_HASHES})
 select a.vec_id a, b.vec_id b, bit_count(xor(a.h, b.h))::bigint distance from e a join e b on a.vec_id < b.vec_id where bit_count(xor(a.h, b.h)) <= 18""",
+    "image_best_match": f"""
+with e as ({_HASHES}),
+p as (select a.vec_id, b.vec_id m, 1 - bit_count(xor(a.h, b.h)) / 64 s from e a join e b on a.label = b.label and b.vec_id < a.vec_id)
+select vec_id, m matched_id, s similarity, s >= 0.70 matched from (select *, row_number() over (partition by vec_id order by s desc, m) r from p where s > 0) z where r = 1""",
+    "image_unique_senders": f"""
+with e as ({_HASHES})
+select a.vec_id, count(distinct b.vec_id % 11) unique_senders from e a join e b on a.label = b.label and b.vec_id <= a.vec_id and 1 - bit_count(xor(a.h, b.h)) / 64 >= 0.65 group by 1""",
+    "video_tiered_match": f"""{_VIDEO_PAIRS},
+h as (select a, arg_min(b, (t, b)) m, min(t) t from (select a, b, case when t0 then 0 when t1 then 1 when t2 then 2 end t from p where b < a) z where t is not null group by a)
+select a vec_id, m matched_id, ['video_sha256', 'video_frame_hash', 'video_metadata'][t + 1] match_type from h""",
+    "video_unique_senders": f"""{_VIDEO_PAIRS}
+select a vec_id, count(distinct sender) filter (sender <> '' and (t0 or t1 or t2)) unique_senders from p group by a""",
+    "size_diagnostics": """
+with p as (select p_partkey, case when p_size % 10 > 0 then p_size * 100 end d, case when p_size % 7 > 0 then p_size * 100 + (p_partkey % 3 - 1) * 7 end a from part)
+select p_partkey, coalesce(d <> a, false) size_mismatch, a - d size_delta_bytes, round(a / d, 6) size_ratio from p""",
+    "filename_normalise": r"""
+with n as (select page_id, unnest(range(5)) way, lower(regexp_extract(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '[^/]*$')) f, url from pages)
+select page_id, way::int way, case way when 0 then f when 1 then case when contains(url, '?') or contains(url, '#') then f else 'my video+1.mp4' end when 2 then 'a' || page_id || '.mp4' when 3 then '' else 'sha256-' || sha256(repeat('x', 600)) end as name from n""",
+    "modality_routing": """
+with b as (select page_id, page_id % 10 k, page_id::varchar n, trim(url) url, split_part(trim(url), '#', 1) u from pages),
+q as (select *, list_sort([x for x in string_split(split_part(u, '?', 2), '&') if not (starts_with(x, 'utm_') or x = '')]) q from b),
+m as (select *, case when k in (0, 1, 3, 7, 9) then 'text' when k = 2 then 'image' when k = 5 then 'video' when k = 6 then 'forward' end modality,
+  case when k in (0, 3) then url when k = 1 then 'text ' || n when k = 7 then 't' || n when k = 9 then 'see ' || url when k = 2 then 'text ' || n || ' [图片内容: cat ' || n || ']' when k = 5 then 'text ' || n || ' [视频] a ' || n || '.mp4' when k = 6 then 'text ' || n || chr(10) || '[合并转发]' || chr(10) || 'x' || n end as content from q)
+select page_id, modality, content, case when k = 2 then 'j' || n end image_source, k = 0 url_only, case when k = 0 then sha256(split_part(u, '?', 1) || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end) end url_hash,
+  k = 5 has_video, case when k in (0, 6) then null when k = 5 then 'text ' || n else content end embedding_content from m""",
     "longest_run": """
 with r as (select *, row_number() over (partition by event_type order by ts, event_id) n from events),
 i as (select *, n - row_number() over (partition by event_type, user_id order by n) island from r)
@@ -163,9 +353,26 @@ select event_type, max(c) longest_run from (select event_type, count(*) c from i
     "context_around": """
 with r as (select event_id, event_type, row_number() over (partition by event_type order by ts, event_id) n from events)
 select a.event_id center, b.event_id row_id, b.n - a.n "offset" from r a join r b on a.event_type = b.event_type and b.n between a.n - 6 and a.n + 5 where a.event_id % 100 = 0""",
-    "judge_context_stats": """
-with e as (select *, floor(epoch(ts))::bigint s from events)
-select a.event_id, count(*) repeats, count(distinct b.user_id) senders, max(b.s) - min(b.s) span_s from e a join e b on a.event_type = b.event_type and a.props = b.props and b.s between a.s - 86400 and a.s group by 1""",
+    "judge_context_stats": f"""
+select a.event_id, count(*) repeats, count(distinct b.user_id) senders, date_diff('microsecond', min(b.ts), any_value(a.ts)) // 1000000 span_s
+from events a join events b on a.event_type = b.event_type and a.props = b.props and {_EARLIER} and b.ts >= a.ts - interval '1' day group by 1""",
+    "judge_window_stats": f"""
+with p as (select a.event_id, b.event_id bid, a.ts ats, b.ts, b.user_id, b.props = a.props same from events a join events b on a.event_type = b.event_type and {_EARLIER} and b.ts >= a.ts - interval '1' day),
+i as (select *, row_number() over (partition by event_id order by ts, bid) - row_number() over (partition by event_id, same order by ts, bid) island from p),
+r as (select event_id, max(c) longest from (select event_id, count(*) c from i where same group by event_id, island) z group by 1)
+select event_id, count(*) messages_in_window, count(*) filter (same) exact_repeat_count, count(distinct user_id) filter (same) exact_unique_senders, date_diff('microsecond', min(ts) filter (same), any_value(ats)) // 1000000 exact_span_seconds, any_value(longest) longest_consecutive_exact from p join r using (event_id) group by 1""",
+    "judge_contexts": """
+with e as (select *, row_number() over (partition by event_type order by ts, event_id) n from events),
+m as (select event_id, event_type, ts, n, min(event_id) over (partition by event_type, user_id) matched_id from e),
+k as (select m.*, f.n fn, (select min(x.n) from e x where x.event_type = m.event_type and x.ts >= m.ts - interval '1' day) w from m join e f on f.event_id = m.matched_id where m.event_id % 50 = 0 and m.matched_id < m.event_id)
+select k.event_id mark, 'recent' part, e.event_id row_id from k join e using (event_type) where e.n between greatest(k.w, k.n - 12) and k.n - 1
+union all select k.event_id, 'history', e.event_id from k join e using (event_type) where k.fn < k.w and e.n between k.fn - 6 and least(k.fn + 5, k.n - 1)""",
+    "never_seen_before": "select event_id from events a where ts >= timestamp '2024-01-20' and not exists (select 1 from events b where b.ts < timestamp '2024-01-20' and a.event_type = b.event_type and a.user_id = b.user_id)",
+    "store_status": """
+select event_type group_id, count(*) messages, count(*) filter (event_id % 2 = 0) embedded, count(*) filter (event_id % 3 = 0) images, count(*) filter (event_id % 6 = 0) image_hashes, count(*) filter (event_id % 4 = 0) video_messages,
+  count(*) filter (event_id % 8 = 0) + count(*) filter (event_id % 12 = 0) video_files, count(*) filter (event_id % 4 = 0 and event_id % 3 = 1) video_frames, count(*) filter (event_id % 4 = 0 and event_id % 3 = 2) video_metadata,
+  count(*) filter (event_id % 5 = 0) forwards, count(*) filter (event_id % 10 = 0) forward_hashes, 0::bigint forward_text_hashes, count(*) filter (event_id % 20 = 0) forwards_partial, count(*) filter (event_id % 7 = 0) urls, count(*) filter (event_id % 14 = 0) url_hashes from events group by 1""",
+    "search_command": r"select conv_id, turn, case turn % 3 when 0 then regexp_replace(text, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') when 2 then '' end query from conversations",
     "recent_last_n": "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) n from conversations) z where n <= 2",
     "ranked_search": f"""
 with d as (select doc_id, lower({_NORMAL}) t from documents where lang = 'en')
@@ -182,7 +389,8 @@ with e as (select event_id, user_id, ts, props, floor(epoch(timestamp '2024-02-0
 select event_id, user_id || ' · ' || strftime(ts, '%m-%d %H:%M:%S') || '（' || case when s < 60 then s || '秒前' when s < 3600 then s // 60 || '分钟前' when s < 86400 then s // 3600 || '小时前' else s // 86400 || '天前' end || '）' || chr(10) || props summary from e""",
     "metadata_hash": "select p_partkey, sha256(lower(p_name) || chr(10) || p_size::varchar) hash from part",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+#: the letters' similarity has no SQL; tests compare it with a plain loop
+QUERIES = {name: globals()[name] for name in [*SQL, "hybrid_search"]}
 
 
 def queries() -> dict:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VIDEO = (
@@ -11,15 +13,51 @@ VIDEO = (
 )
 MESSAGE = (
     "id string, message_id string, sender_id string, sender_name string, content string, timestamp double, embedding array<double>, has_image boolean, has_video boolean, image_description string, image_hash string, "
-    f"videos array<struct<{VIDEO}>>, forward_id string, forward_hash string, forward_text_hash string, forward_content string, forward_node_count bigint, url_only boolean, url_hash string, url_host string"
+    f"videos array<struct<{VIDEO}>>, forward_id string, forward_hash string, forward_text_hash string, forward_text_hash_eligible boolean, forward_content string, forward_node_count bigint, forward_truncated boolean, "
+    "forward_partial boolean, forward_hash_version int, url_only boolean, url_hash string, url_host string"
 )
+_BROKEN = "_corrupt_record"
+_DAY = r"(\d{4}-\d{2}-\d{2})\.json"
+
+
+def event_date(ts: Column, now: Column | None = None) -> Column:
+    """The day of a message by its time, that of ``now`` without one."""
+    return F.to_date(F.coalesce(ts, now if now is not None else F.current_timestamp()))
+
+
+def _json(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("multiLine", True).option("ignoreCorruptFiles", True).option("columnNameOfCorruptRecord", _BROKEN).schema(f"{MESSAGE}, {_BROKEN} string").json(path)
+
 
+def read_shards(spark: SparkSession, path: str, *, today: str | None = None, days: int = 7) -> DataFrame:
+    """Day shards ``{group}/{YYYY-MM-DD}.json[.gz]``, each an array of messages; absent fields are null.  Given ``today``, only the shards of that
+    day and the ``days`` before.  Shards that aren't JSON are left out: broken_shards() lists them.
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Day shards ``{group}/{YYYY-MM-DD}.json[.gz]``, each an array of messages; unreadable ones are skipped, absent fields are null."""
-    rows = spark.read.option("multiLine", True).option("ignoreCorruptFiles", True).schema(MESSAGE).json(path)
+    A compressed shard is read by one task: a store that stays is better written once by write_messages()."""
     name = F.col("_metadata.file_path")
-    return rows.select("*", F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("group_id"), F.to_date(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})\.json", 1)).alias("event_date"))
+    rows = _json(spark, path).select("*", F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("group_id"), F.to_date(F.regexp_extract(name, _DAY, 1)).alias("event_date"))
+    if today is not None:
+        rows = rows.filter(F.col("event_date").between(F.date_sub(F.lit(today).cast("date"), days), F.lit(today).cast("date")))
+    return rows.filter(F.col(_BROKEN).isNull()).drop(_BROKEN)
+
+
+def broken_shards(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the shards that can't be read."""
+    return _json(spark, path).select(_BROKEN, F.col("_metadata.file_path").alias("path")).filter(F.col(_BROKEN).isNotNull()).select("path").distinct()
+
+
+def read_legacy(spark: SparkSession, path: str) -> DataFrame:
+    """Single files ``{group}_messages.json`` of the oldest stores, with group and day, as read_shards() gives them; days are of each message's time."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_messages\.json[^/]*$", 1)
+    return _json(spark, path).filter(F.col(_BROKEN).isNull()).select("*", name.alias("group_id"), event_date(F.timestamp_seconds("timestamp")).alias("event_date")).drop(_BROKEN)
+
+
+def in_order(messages: DataFrame) -> DataFrame:
+    """With seq: each message's place in its group's history, by time (none: first), then id; numbered in two steps, so that no task sees a whole group."""
+    from echotrace.operators.repeats import ranked_rows
+
+    timed = messages.withColumn("ts", F.timestamp_seconds(F.coalesce("timestamp", F.lit(0.0))))
+    return ranked_rows(timed, group="group_id", order=["ts", "id"])
 
 
 def write_messages(messages: DataFrame, path: str, *, mode: str = "append") -> None:
@@ -32,6 +70,35 @@ def retained(messages: DataFrame, *, ts: str, now: str, days: int = 7) -> DataFr
     return messages.filter(F.col(ts).cast("timestamp") > F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
 
 
-def erase(messages: DataFrame, group: str) -> DataFrame:
+def retained_days(messages: DataFrame, *, today: str, days: int = 7) -> DataFrame:
+    """Messages of the days that a store keeps, today and ``days`` before: a filter on folders."""
+    return messages.filter(F.col("event_date").between(F.date_sub(F.lit(today).cast("date"), days), F.lit(today).cast("date")))
+
+
+def without_group(messages: DataFrame, group: str) -> DataFrame:
     """Everything but one group's messages."""
     return messages.filter(~F.col("group_id").eqNullSafe(group))
+
+
+def _delete(spark: SparkSession, path: str, column: str, gone) -> int:
+    """Delete the folders ``column=value`` right under ``path`` whose value is ``gone``; how many there were."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return 0
+    found = [s.getPath() for s in files.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith(f"{column}=")]
+    found = [p for p in found if gone(unquote(p.getName().split("=", 1)[1]))]
+    for p in found:
+        files.delete(p, True)
+    return len(found)
+
+
+def erase(spark: SparkSession, path: str, group: str) -> bool:
+    """Delete a group's messages from a store that write_messages() wrote; whether there were any."""
+    return _delete(spark, path, "group_id", lambda value: value == group) > 0
+
+
+def expire(spark: SparkSession, path: str, *, before: str, column: str = "day") -> int:
+    """Delete the folders of days before ``before`` right under ``path``."""
+    return _delete(spark, path, column, lambda value: value < before)
