@@ -11,9 +11,10 @@ WIDTH, HEIGHT = 17, 16
 
 def dhash(pixels: Column) -> Column:
     """64 hexadecimal digits of a grey image's 17 x 16 values, by rows: a bit is set where a value is above its right neighbour's; null for other sizes."""
-    bit = lambda k: (F.element_at(pixels, k + F.floor(k / (WIDTH - 1)) + 1) > F.element_at(pixels, k + F.floor(k / (WIDTH - 1)) + 2)).cast("int")
-    digit = lambda k: F.lower(F.hex((bit(4 * k) * 8 + bit(4 * k + 1) * 4 + bit(4 * k + 2) * 2 + bit(4 * k + 3)).cast("bigint")))
-    made = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit((WIDTH - 1) * HEIGHT // 4 - 1).cast("bigint")), digit), "")
+    row = lambda r: F.slice(pixels, r * WIDTH + 1, WIDTH)
+    bits = lambda r: F.transform(F.sequence(F.lit(1), F.lit(WIDTH - 1)), lambda c: (F.element_at(row(r), c) > F.element_at(row(r), c + 1)).cast("int").cast("string"))
+    digits = lambda r: F.lpad(F.lower(F.conv(F.array_join(bits(r), ""), 2, 16)), (WIDTH - 1) // 4, "0")
+    made = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), digits), "")
     return F.when(F.size(pixels) == WIDTH * HEIGHT, made)
 
 

@@ -46,6 +46,11 @@ def video_components(components: Column, raw: Column) -> Column:
     return F.coalesce(F.transform(videos, made), F.transform(F.array().cast("array<string>"), lambda _: made(F.lit(None).cast("struct<type:string,id:string,path:string,url:string,file:string,readable:boolean>"), F.lit(0))))
 
 
+def _once(rows: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """With new or replaced columns, as rows of an inlined array of one: filters on them stay above, instead of repeating what they are made of."""
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in made], F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def image_sources(components: Column) -> Column:
     source = lambda c: F.coalesce(F.nullif(c["path"], F.lit("")), F.nullif(c["url"], F.lit("")), F.nullif(c["file"], F.lit("")))
     found = F.transform(F.filter(components, lambda c: F.lower(c["type"]) == "image"), source)
@@ -74,27 +79,27 @@ def route(messages: DataFrame, *, videos_on: bool = True, urls_on: bool = True,
     long leaves its text alone; images that are all stickers leave the text, without a fingerprint of its URL."""
     text = F.coalesce(strip(F.col("text")), F.lit(""))
     bundle, images = forward_id(F.col("components")), image_sources(F.col("components"))
-    rows = messages.withColumns({"_text": text, "_forward": bundle, "_images": images, "_videos": video_components(F.col("components"), F.col("raw"))})
+    rows = _once(messages, {"_text": text, "_forward": bundle, "_images": images, "_videos": video_components(F.col("components"), F.col("raw"))})
     text, images, videos = F.col("_text"), F.col("_images"), F.col("_videos")
     kept = (F.col("_forward") != "") & (F.length("_forward") <= LONGEST_NAME)
     shown = F.try_element_at(F.filter(images, lambda s: F.col("described")[s].isNotNull()), F.lit(1))
     only_text = F.when(text != "", "text")
     kind = F.when(F.col("_forward").isNotNull(), F.when(kept, "forward").otherwise(only_text))
     kind = kind.when(F.lit(videos_on) & (F.size(videos) > 0), "video").when(shown.isNotNull(), "image").otherwise(only_text)
-    rows = rows.withColumns({"modality": kind, "_shown": shown})
+    rows = _once(rows, {"modality": kind, "_shown": shown})
     is_ = lambda m: F.coalesce(F.col("modality") == m, F.lit(False))
-    normal = urls.normalised(F.when(is_("text") & F.col("_forward").isNull() & (F.size(images) == 0) & F.lit(urls_on), text), tracking)
+    rows = rows.withColumn("_url", urls.normalised(F.when(is_("text") & F.col("_forward").isNull() & (F.size(images) == 0) & F.lit(urls_on), text), tracking))
     described = F.col("described")[F.col("_shown")]
     content = F.when(is_("forward"), F.concat_ws("\n", F.nullif(text, F.lit("")), F.coalesce("forward_content", F.lit("")))).when(is_("video"), video_content(text, videos)).when(is_("image"), image_content(text, described)).when(is_("text"), text)
-    rows = rows.withColumns(
+    rows = _once(
+        rows,
         {
             "content": content, "video_text": F.when(is_("video"), text), "videos": F.when(is_("video"), videos), "image_source": F.when(is_("image"), F.col("_shown")), "image_description": F.when(is_("image"), described),
-            "forward_id": F.when(is_("forward"), F.col("_forward")), "_url": normal,
+            "forward_id": F.when(is_("forward"), F.col("_forward")), "url_only": F.col("_url").isNotNull(), "url_hash": urls.fingerprint(F.col("_url")), "url_host": F.when(F.col("_url").isNotNull(), urls.url_host(F.col("_url"))),
             "has_image": is_("image") | (is_("forward") & F.coalesce("has_image", F.lit(False))), "has_video": is_("video") | (is_("forward") & F.coalesce("has_video", F.lit(False))),
             **{c: F.when(is_("forward"), F.col(c)) for c in FORWARD_COLUMNS},
-        }
+        },
     )
-    rows = rows.withColumns({"url_only": F.col("_url").isNotNull(), "url_hash": urls.fingerprint(F.col("_url")), "url_host": F.when(F.col("_url").isNotNull(), urls.url_host(F.col("_url")))})
     return rows.drop("_text", "_forward", "_images", "_videos", "_shown", "_url")
 
 

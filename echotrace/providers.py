@@ -10,6 +10,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: how answers of vision models tell a sticker
 STICKER_WORDS = ('is_sticker": true', "表情包", "emoji", "sticker", "熊猫头", "滑稽")
@@ -58,8 +59,7 @@ def ask_column(rows: DataFrame, column: str, into: str, kind: str, provider: Cal
             out[into] = pd.Series([None if x is None or x != x else answers.get(x) for x in frame[column]], index=frame.index, dtype=object)
             yield out[names]
 
-    # simpleString cuts long structs short; the schema's DDL doesn't
-    return rows.mapInPandas(call, rows.schema.add(into, kind))
+    return rows.mapInPandas(call, T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"`{into}` {kind}").fields]))
 
 
 def embed(rows: DataFrame, content: str, provider: Embed | None, *, into: str = "embedding") -> DataFrame:

@@ -12,9 +12,14 @@ _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
 
+#: tasks that hand texts to Python and back hold several batches at once
+BATCH_BYTES = "4m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once for each application."""
+    """Send the package's sources to the executors, once for each application, and keep Arrow batches small in this session."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if context.applicationId in _shipped:
         return
     folder = Path(tempfile.mkdtemp(prefix="spark-ship-"))

@@ -7,6 +7,8 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echotrace.functions.names import unquoted
+
 VIDEO = (
     "version: int, name: string, size: bigint, declared_size: bigint, sha256: string, frame_hashes: array<string>, duration_ms: bigint, width: bigint, height: bigint, metadata_hash: string, "
     "analysis: string, source_method: string, source_conflict: boolean, size_mismatch: boolean, size_delta_bytes: bigint, size_ratio: double"
@@ -34,7 +36,7 @@ def read_shards(spark: SparkSession, path: str, *, today: str | None = None, day
     day and the ``days`` before.  Shards that aren't JSON are left out: broken_shards() lists them.
 
     A compressed shard is read by one task: a store that stays is better written once by write_messages()."""
-    name = F.col("_metadata.file_path")
+    name = unquoted(F.col("_metadata.file_path"))
     rows = _json(spark, path).select("*", F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("group_id"), F.to_date(F.regexp_extract(name, _DAY, 1)).alias("event_date"))
     if today is not None:
         rows = rows.filter(F.col("event_date").between(F.date_sub(F.lit(today).cast("date"), days), F.lit(today).cast("date")))
@@ -43,12 +45,12 @@ def read_shards(spark: SparkSession, path: str, *, today: str | None = None, day
 
 def broken_shards(spark: SparkSession, path: str) -> DataFrame:
     """(path) of the shards that can't be read."""
-    return _json(spark, path).select(_BROKEN, F.col("_metadata.file_path").alias("path")).filter(F.col(_BROKEN).isNotNull()).select("path").distinct()
+    return _json(spark, path).select(_BROKEN, "id", unquoted(F.col("_metadata.file_path")).alias("path")).filter(F.col(_BROKEN).isNotNull() & F.col("id").isNull()).select("path").distinct()
 
 
 def read_legacy(spark: SparkSession, path: str) -> DataFrame:
     """Single files ``{group}_messages.json`` of the oldest stores, with group and day, as read_shards() gives them; days are of each message's time."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_messages\.json[^/]*$", 1)
+    name = F.regexp_extract(unquoted(F.col("_metadata.file_path")), r"([^/]+)_messages\.json[^/]*$", 1)
     return _json(spark, path).filter(F.col(_BROKEN).isNull()).select("*", name.alias("group_id"), event_date(F.timestamp_seconds("timestamp")).alias("event_date")).drop(_BROKEN)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from echotrace.operators.repeats import DAY, repeat_verdicts
@@ -18,7 +19,7 @@ def stream_verdicts(stream: DataFrame, history_path: str, out_path: str, checkpo
         spark = batch.sparkSession
         day = F.to_date(F.col(ts).cast("timestamp"))
         batch.withColumns({"day": day, "batch": F.lit(number)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(history_path)
-        stored = spark.read.option("basePath", history_path).schema(batch.schema.add("day", "date").add("batch", "int")).parquet(history_path)
+        stored = spark.read.option("basePath", history_path).schema(T.StructType([*batch.schema.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.IntegerType())])).parquet(history_path)
         now = stored.filter(F.col("batch") == number)
         first = now.agg(F.min("day").alias("d")).first()["d"]
         if first is None:

@@ -1,13 +1,16 @@
 import datetime as dt
 import gzip
 import json
+import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from echotrace.functions import similarity as S
 from echotrace.functions import text as X
-from echotrace.functions.urls import normalise_url
+from echotrace.functions import urls
 from echotrace.operators import repeats, search
+from echotrace.plans import catalogue
 from echotrace.sources import messages as M
 from echotrace.streaming.repeats import stream_verdicts
 
@@ -16,12 +19,21 @@ def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
 
-def test_urls():
-    assert normalise_url(" <HTTPS://Example.COM:443/a?b=2&utm_source=x&a=1#f> ") == "https://example.com/a?a=1&b=2"
-    assert normalise_url("http://example.com") == "http://example.com/"
-    assert normalise_url("http://example.com:8080/x;p?q=~*%20") == "http://example.com:8080/x;p?q=~%2A+"
-    for bad in (None, "", "see http://example.com", "http://u@example.com/", "ftp://example.com", "http://example.com:99999/", "http://" + "a" * 9000):
-        assert normalise_url(bad) is None
+def test_urls(spark):
+    good = {
+        " <HTTPS://Example.COM:443/a?b=2&utm_source=x&a=1#f> ": "https://example.com/a?a=1&b=2", "http://example.com": "http://example.com/", "http://example.com:8080/x;p?q=~*%20": "http://example.com:8080/x;p?q=~%2A+",
+        "http://h/a;": "http://h/a", "http://h/a;b;": "http://h/a;b;", "http://@h/a": "http://h/a", "http://h:0/": "http://h/", "http://h:/?": "http://h/", "http://h?a=b=c&d": "http://h/?a=b%3Dc&d=", "HTTP://[::1]:80/x": "http://[::1]/x",
+        "http://bücher.de/ü?ü=1&=3&a": "http://xn--bcher-kva.de/ü?=3&a=&%C3%BC=1", "http://H/P?B=1&b=2&B=0&UTM_x=1": "http://h/P?B=0&B=1&b=2", "http://h/\u3000": "http://h/",
+    }
+    bad = [None, "", "see http://example.com", "http://u@example.com/", "ftp://example.com", "http://example.com:99999/", "http://" + "a" * 9000, "http://a..b/", "http://[::1/x", "<>", "http://"]
+    rows = spark.createDataFrame([(u, v) for u, v in good.items()] + [(u, None) for u in bad], "u string, v string")
+    assert [(r["u"], r["n"]) for r in rows.withColumn("n", urls.normalised(F.col("u"))).collect()] == [(r["u"], r["v"]) for r in rows.collect()]
+    r = one(spark, urls.url_host(F.lit("http://h:80/x")).alias("a"), urls.url_host(F.lit("http://[::1]/x")).alias("b"), urls.normalised(F.lit("http://h/?Aa=1&b=2"), ("a*",)).alias("c"))
+    assert (r["a"], r["b"], r["c"]) == ("h", "[::1]", "http://h/?b=2")
+    print_of = lambda u: urls.fingerprint(F.lit(u))
+    late = lambda c, only, old, **k: urls.current_fingerprint(F.lit(c), F.lit(only), F.lit(old), **k)
+    r = one(spark, (late("http://h/?utm_x=1", False, "old") == print_of("http://h/")).alias("a"), late("text", False, "old").alias("b"), late("http://h /", None, "old").alias("c"), late("http://h/", True, "old", on=False).alias("d"))
+    assert (r["a"], r["b"], r["c"], r["d"]) == (True, "old", "old", None)
 
 
 def test_text(spark):
@@ -31,6 +43,10 @@ def test_text(spark):
     assert r["a"] == "a b" and r["b"] == "未知 · 07-29 12:34:56（5分钟前）\n（无文字内容）" and r["c"] == "x" * 80 + "…" and r["d"] == 4096 and r["e"] is None
     r = one(spark, X.image_description(F.lit(""), F.lit("hi [图片内容: 一只猫]")).alias("a"), X.is_command(F.lit("/help me"), ["help"]).alias("b"), X.is_command(F.lit("记忆状态"), ["记忆状态", "help"]).alias("c"), X.fully_matches(F.lit("ab\n"), ["ab", "("]).alias("d"))
     assert (r["a"], r["b"], r["c"], r["d"]) == ("一只猫", True, False, False)
+    r = one(spark, X.is_command(F.lit("\u3000/help"), ["help"]).alias("a"), X.fully_matches(F.lit("abab"), [r"(?P<n>ab)(?P=n)", "("]).alias("b"), X.search_form(F.lit("STRASSE  ẞß")).alias("c"), X.search_query(F.lit(" /搜图 橙色 猫 ")).alias("d"), X.search_query(F.lit("搜图x")).alias("e"), X.epoch(F.lit("x")).alias("f"), X.epoch(F.lit("1.5")).alias("g"))
+    assert tuple(r) == (True, True, "strasse ssss", "橙色 猫", None, 0.0, 1.5)
+    full = X.summary(F.lit("a"), ts, now, F.lit("x"), forward=F.lit(True), nodes=F.lit(3), partial=F.lit(True), image=F.lit(True), video=F.lit(None).cast("boolean"))
+    assert one(spark, full.alias("a"))["a"] == "a · 07-29 12:34:56（5分钟前） · 转发3条 · 部分内容 · 含图片\nx"
 
 
 def test_similarity(spark):
@@ -52,6 +68,37 @@ def test_search(spark):
     rows = spark.createDataFrame([(0, "窗台上有一只橙色的猫", 1)], "id int, text string, ts int")
     r = search.ranked(rows, "橙色猫", text="text", order="id", recency="ts", fuzzy_from=0.65).first()
     assert r["match_type"] == "fuzzy" and r["fuzzy"] >= 0.65
+    assert search.ranked(rows, " ", text="text", order="id", recency="ts").count() == 0
+    rows = spark.createDataFrame([(0, "猫", 100, [1.0, 0.0]), (1, "飞机", 200, [0.0, 1.0])], "id int, text string, ts int, v array<double>")
+    assert [(r["id"], r["match_type"]) for r in search.ranked(rows, "宠物", text="text", order="id", recency="ts", vector="v", asked=[1, 0]).collect()] == [(0, "semantic")]
+    rows = spark.createDataFrame([(0, "宠物用品清单", 100, [0.0, 1.0]), (1, "猫", 200, [1.0, 0.0]), (2, None, 1, None)], "id int, text string, ts int, v array<double>")
+    found = search.ranked(rows, "宠物", text="text", order="id", recency="ts", vector="v", asked=[1, 0])
+    assert [(r["id"], r["match_type"]) for r in found.collect()] == [(0, "phrase"), (1, "semantic")]
+    r = search.best_and_count(found, recency="ts", order="id").first()
+    assert (r["id"], r["found"]) == (0, 2) and search.ranked(rows, "宠物", text="text", order="id", recency="ts", top=1).count() == 1
+
+
+def test_likest_stretch_equals_a_plain_loop():
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(draw.choice("abcd") for _ in range(draw.randint(0, n))) for n in (8, 30))
+        short, long = sorted((a, b), key=len)
+        want = 0.0
+        if short:
+            want = 1.0 if short in long else max((SequenceMatcher(None, short, long[max(m.b - m.a, 0) :][: len(short)]).ratio() for m in SequenceMatcher(None, short, long).get_matching_blocks()), default=0.0)
+        assert search.likest_stretch(a, b) == (1.0 if want >= 0.995 else want) if len(a) <= len(b) else True
+
+
+def test_hybrid_search(spark):
+    found = catalogue.hybrid_search(spark, "/root/testdata/sf0.001").collect()
+    docs = {r["doc_id"]: " ".join(r["text"][:120].casefold().split()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if (r["text"] or "").strip()}
+    asked = "information about the"
+    for r in found:
+        text = docs[r["doc_id"]]
+        assert r["hits"] == sum(w in text for w in asked.split()) and r["fuzzy"] in (0.0, round(search.likest_stretch(asked.replace(" ", ""), text.replace(" ", "")), 9))
+        assert r["match_type"] == ("phrase" if asked in text else "keywords" if r["hits"] == 3 else "semantic" if r["semantic"] >= 0.2 else "fuzzy")
+    keys = [(r["match_type"] == "phrase", r["hits"] == 3, r["semantic"], r["fuzzy"]) for r in found]
+    assert found and keys == sorted(keys, reverse=True)
 
 
 def test_verdicts_and_nulls(spark):
@@ -60,6 +107,13 @@ def test_verdicts_and_nulls(spark):
     df = spark.createDataFrame(rows, "id int, g string, k string, who string, ts timestamp")
     got = {r["id"]: (r["matched_id"], r["unique_senders"], r["verdict"]) for r in repeats.repeat_verdicts(df, key=["g", "k"], order="id", ts="ts", sender="who").collect()}
     assert got == {1: (None, 1, "no_match"), 2: (1, 2, "few_senders"), 3: (1, 3, "remind"), 4: (None, 1, "no_match"), 5: (None, 1, "no_match"), 6: (None, 1, "no_match")}
+    rows = [(k, "g", "x", who, t + dt.timedelta(hours=h)) for k, (who, h) in enumerate([("a", 0), ("b", 1), ("a", 1), (None, 2), ("c", 168), ("b", 169), ("d", 170), ("a", 400), ("a", 400), ("b", 568)])]
+    tied = spark.createDataFrame(rows, "id int, g string, k string, who string, ts timestamp")
+    week = dt.timedelta(days=7)
+    for r in repeats.look_back(tied, key=["g", "k"], order="id", ts="ts", sender="who", window_us=7 * repeats.DAY * repeats.SECOND).collect():
+        me = rows[r["id"]]
+        seen = sorted((x[4], x[0], x[3]) for x in rows if me[4] - week < x[4] and (x[4], x[0]) <= (me[4], me[0]))
+        assert (r["seen"], r["senders"], r["first"]["id"]) == (len(seen), len({x[2] for x in seen} - {None}), seen[0][1])
     assert repeats.repeat_verdicts(df.limit(0), key=["g", "k"], order="id", ts="ts", sender="who").count() == 0
 
 
@@ -69,8 +123,30 @@ def test_shards(spark, tmp_path):
         json.dump([{"id": "a", "content": "x", "timestamp": 5}, {"id": "b", "videos": [{"sha256": "s"}]}], f)
     rows = M.read_shards(spark, f"{tmp_path}/*/*.json.gz")
     assert sorted((r["id"], r["group_id"], str(r["event_date"])) for r in rows.collect()) == [("a", "g1", "2024-01-02"), ("b", "g1", "2024-01-02")]
-    M.write_messages(rows, f"{tmp_path}/out")
-    assert M.erase(spark.read.parquet(f"{tmp_path}/out"), "g1").count() == 0
+    with gzip.open(tmp_path / "g1/2024-01-03.json.gz", "wt") as f:
+        f.write("[{broken")
+    with open(tmp_path / "g1/2024-01-09.json", "w") as f:
+        json.dump([{"id": "c", "timestamp": 2.5}, {"id": "d"}], f)
+    shards = f"{tmp_path}/g1/*.json*"
+    assert sorted(r["id"] for r in M.read_shards(spark, shards).collect()) == ["a", "b", "c", "d"]
+    assert sorted(r["id"] for r in M.read_shards(spark, shards, today="2024-01-09", days=6).collect()) == ["c", "d"]
+    assert [r["path"].rsplit("/")[-1] for r in M.broken_shards(spark, shards).collect()] == ["2024-01-03.json.gz"]
+    assert [(r["id"], r["seq"]) for r in M.in_order(M.read_shards(spark, shards)).orderBy("seq").collect()] == [("b", 1), ("d", 2), ("c", 3), ("a", 4)]
+    with open(tmp_path / "g 2_messages.json", "w") as f:
+        json.dump([{"id": "e", "timestamp": 86400 * 3 + 1}, {"id": "f", "timestamp": 86400 * 3 + 2}, {"id": "h", "timestamp": 86400 * 4}], f)
+    old = M.read_legacy(spark, f"{tmp_path}/*_messages.json")
+    assert sorted((r["id"], r["group_id"], str(r["event_date"])) for r in old.collect()) == [("e", "g 2", "1970-01-04"), ("f", "g 2", "1970-01-04"), ("h", "g 2", "1970-01-05")]
+    out = f"{tmp_path}/out"
+    M.write_messages(M.read_shards(spark, shards), out)
+    M.write_messages(old, out)
+    M.write_messages(old.filter("id = 'h'"), out, mode="overwrite")  # one day alone
+    stored = lambda: sorted(r["id"] for r in spark.read.parquet(out).collect())
+    assert stored() == ["a", "b", "c", "d", "e", "f", "h"]
+    assert sorted(r["id"] for r in M.retained_days(spark.read.parquet(out), today="2024-01-09", days=6).collect()) == ["c", "d"]
+    assert M.erase(spark, out, "g 2") and not M.erase(spark, out, "g 2") and stored() == ["a", "b", "c", "d"]
+    assert M.without_group(spark.read.parquet(out), "g1").count() == 0
+    spark.range(3).selectExpr("id", "concat('2024-01-0', id + 1) as day").write.partitionBy("day").parquet(f"{tmp_path}/days")
+    assert M.expire(spark, f"{tmp_path}/days", before="2024-01-03") == 2 and [r["id"] for r in spark.read.parquet(f"{tmp_path}/days").collect()] == [2]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -84,5 +160,6 @@ def test_stream_equals_batch(spark, tmp_path):
     stream_verdicts(stream(), f"{tmp_path}/h", f"{tmp_path}/o", f"{tmp_path}/c", **options).awaitTermination()
     events.filter(F.col("ts") >= middle).coalesce(1).write.parquet(f"{source}/b")
     stream_verdicts(stream(), f"{tmp_path}/h", f"{tmp_path}/o", f"{tmp_path}/c", **options).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/h").select("day").distinct().count() > 20
     got = spark.read.parquet(f"{tmp_path}/o").drop("batch")
     assert sorted(map(str, got.collect())) == sorted(map(str, repeats.repeat_verdicts(events, **options).select(*got.columns).collect()))
