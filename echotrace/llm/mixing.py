@@ -3,7 +3,8 @@
 Each source's documents, in an order drawn by a hash, make up one long run of words that is cut into blocks of ``block_words``.
 Slot j of the mix belongs to the source whose stretch of the cumulative target weights holds the j-th golden-ratio point
 ``frac((j + 1/2) / phi)``; the slots of a source are ranked, and rank r takes block ``r mod blocks`` of it.  Every stretch of the
-schedule holds the sources close to their weights, and a source's share is off by a few blocks at most.
+schedule holds the sources close to their weights; what the points give a source more or less than its target is left out or added at
+the end, so that it takes its target to within a block, and one block at least.
 
 Targets: ``ratio`` times all words, shared by weight; a source stops at ``limit`` times its size and its excess is shared again.
 Ranks past ``limit`` rounds are left out, so no document is taken more than ``limit`` times.
@@ -22,6 +23,7 @@ from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,7 +89,7 @@ def plan_sources(sized: DataFrame, source: str = "source", weights: tuple[float,
 
 
 def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, limit: int = LIMIT) -> DataFrame:
-    """The slots in order: slot long, number int (the source's), rank long, block long."""
+    """The slots: slot long (their order), number int (the source's), rank long, block long, round long.  A source gets as many as come nearest to its target, one at least."""
     spark = sources.sparkSession
     rows = sorted(sources.collect(), key=lambda r: r["number"])
     goal = np.array([r["target"] for r in rows], float)
@@ -123,9 +125,14 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, limit: int = LI
     before = counts.select("chunk", "number", (F.sum("n").over(Window.partitionBy("number").orderBy("chunk")) - F.col("n")).alias("before"))
     gathered = before.repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("number", "before")).alias("sources"))
     ranked = gathered.mapInArrow(rank, "slot long, number int, rank long")
-    sizes = F.broadcast(sources.select("number", "blocks"))  # at most MAX_SOURCES rows
-    ranked = ranked.join(sizes, "number")
-    return ranked.filter(F.col("rank") < limit * F.col("blocks")).select("slot", "number", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+    # the points give a source a few slots more or less than its target takes: more are left out, and the last ranks get slots after the others
+    got = {r["number"]: r["n"] for r in counts.groupBy("number").agg(F.sum("n").alias("n")).collect()}  # at most MAX_SOURCES rows
+    own = [(r["number"], r["blocks"], min(max(round(r["target"] / block_words), 1), limit * r["blocks"]) if r["blocks"] else 0, got.get(r["number"], 0)) for r in rows]
+    sizes = spark.createDataFrame(own, "number int, blocks long, wanted long, got long")
+    late = sizes.filter("got < wanted").select("number", F.explode(F.sequence("got", F.col("wanted") - 1)).alias("rank"))
+    late = late.select((total + F.col("number") + F.col("rank") * len(own)).alias("slot"), "number", "rank")
+    slots = ranked.unionByName(late).join(F.broadcast(sizes.select("number", "blocks", "wanted")), "number").filter(F.col("rank") < F.col("wanted"))
+    return slots.select("slot", "number", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("round"))
 
 
 def cut_blocks(sized: DataFrame, sources: DataFrame, *, row: str = "row", key: str = "doc_id", source: str = "source", block_words: int = BLOCK_WORDS, seed: int = 4) -> DataFrame:
@@ -146,39 +153,50 @@ def cut_blocks(sized: DataFrame, sources: DataFrame, *, row: str = "row", key: s
 
 def mix_sources(docs: DataFrame, *, key: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, ratio: float = RATIO, limit: int = LIMIT, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """``docs`` must have size, as with_sizes gives it.  Returns (docs, cut off in the shared folder, with row, source_size, target,
-    rounds array<long>; sources).  ``rounds[e]`` is how many words of the document, from its first, round e takes."""
+    rounds array<long>, slots array<long>; sources).  ``rounds[e]`` is how many words of the document, from its first, round e takes, ``slots[e]`` the slot of
+    the first of them."""
     # the row numbers are written with the rows: no later computation can deal them differently
     kept = save(docs.withColumn("row", F.monotonically_increasing_id()), "mixing")
     sources = plan_sources(kept, source, weights, ratio, limit, block_words)
     # Spark takes drawn slots for as few as their chunks: without the hint it would broadcast them
-    times = schedule(sources, block_words, limit).groupBy("number", "block").agg(F.count("*").alias("times")).hint("merge")
-    taken = cut_blocks(kept.select("row", key, source, "size"), sources, key=key, source=source, block_words=block_words).join(times, ["number", "block"])
-    rounds = taken.groupBy("row").agg(*[F.sum(F.when(F.col("times") > e, F.col("words")).otherwise(0)).alias(f"r{e}") for e in range(limit)])
-    rounds = rounds.select("row", F.array(*[f"r{e}" for e in range(limit)]).alias("rounds"))
+    slots = schedule(sources, block_words, limit).select("number", "block", "round", "slot").hint("merge")
+    taken = cut_blocks(kept.select("row", key, source, "size"), sources, key=key, source=source, block_words=block_words).join(slots, ["number", "block"])
+    own = lambda e, c: F.when(F.col("round") == e, F.col(c))
+    rounds = taken.groupBy("row").agg(*[F.coalesce(F.sum(own(e, "words")), F.lit(0)).alias(f"r{e}") for e in range(limit)], *[F.min(own(e, "slot")).alias(f"s{e}") for e in range(limit)])
+    rounds = rounds.select("row", F.array(*[f"r{e}" for e in range(limit)]).alias("rounds"), F.array(*[f"s{e}" for e in range(limit)]).alias("slots"))
     named = F.broadcast(sources.select(F.col("source").alias("_source"), "source_size", "target"))
     none = F.array(*[F.lit(0).cast("long")] * limit)
-    mixed = kept.join(named, F.col(source).eqNullSafe(F.col("_source"))).drop("_source").join(rounds, "row", "left").withColumn("rounds", F.coalesce("rounds", none))
+    mixed = kept.join(named, F.col(source).eqNullSafe(F.col("_source"))).drop("_source").join(rounds, "row", "left").withColumns({"rounds": F.coalesce("rounds", none), "slots": F.coalesce("slots", F.array(*[F.lit(None).cast("long")] * limit))})
     return mixed, sources
 
 
 def take_mix(mixed: DataFrame, columns: list[str], *, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """The mix as documents: a row for each round that takes words of a document, with the text cut after the last word taken."""
-    rows = mixed.withColumn("_take", F.explode(F.filter("rounds", lambda n: n > 0)))
-    whole, part = rows.filter(F.col("_take") >= F.col("size")), rows.filter(F.col("_take") < F.col("size"))
+    """The mix as documents, in order of their slots: a row for each round that takes words of a document, with the text cut after the last
+    word taken.  Rows are range-partitioned and sorted, so files that are written of them are in that order too."""
+    rows = mixed.select("*", F.posexplode("rounds").alias("_round", "_take")).filter("_take > 0").withColumn("_slot", F.element_at("slots", F.col("_round") + 1)).select(*dict.fromkeys([*columns, text]), "size", "row", "_take", "_slot")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             place = batch.schema.get_field_index(text)
-            data, _, ends, first = word_spans(batch.column(place))
             take = batch.column(batch.schema.get_field_index("_take")).to_numpy()
-            base = np.concatenate([[0], np.cumsum([len((t or "").encode()) for t in batch.column(place).to_pylist()])])
-            texts = [data[b : ends[f + n - 1]].tobytes().decode() for b, f, n in zip(base, first, take)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+            part = np.flatnonzero(take < batch.column(batch.schema.get_field_index("size")).to_numpy())
+            texts = batch.column(place)
+            if len(part):
+                some = texts.take(pa.array(part))
+                data, _, ends, first = word_spans(some)
+                base = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(some)), dtype=np.int64)])
+                whole = texts.to_pylist()
+                for k, b, f, n in zip(part.tolist(), base, first, take[part]):
+                    whole[k] = data[b : ends[f + n - 1]].tobytes().decode()
+                texts = pa.array(whole, texts.type)
+            yield pa.RecordBatch.from_arrays([texts if k == place else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
-    part = part.mapInArrow(cut, part.schema)
     if n_chars in columns:
-        part = part.withColumn(n_chars, F.length(text).cast(rows.schema[n_chars].dataType))
-    return whole.select(*columns).unionByName(part.select(*columns))
+        length = lambda: F.when(F.col("_take") < F.col("size"), F.length(text)).otherwise(F.col(n_chars)).cast(rows.schema[n_chars].dataType)
+        rows = rows.mapInArrow(cut, rows.schema).withColumn(n_chars, length())
+    else:
+        rows = rows.mapInArrow(cut, rows.schema)
+    return rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_slot", "row").sortWithinPartitions("_slot", "row").select(*columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
