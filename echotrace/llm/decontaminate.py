@@ -16,13 +16,14 @@ find_leaks and pass through without_leaks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import U64, distinct_by_row, pieces, read_table, shingles, word_hashes
+from echotrace.llm.common import U64, distinct_by_row, pieces, read_table, save, shingles, word_hashes
 
 WORDS, THRESHOLD, BINS = 5, 0.8, 256
 SLICE_BYTES = 32 << 20
@@ -87,43 +88,50 @@ class Items:
         return out
 
 
-def _slices(items: DataFrame, item: str, text: str, words: int) -> Iterator[tuple[list, Items]]:
-    """Bounded parts of the test items: their ids and shingles."""
-    size = items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+def _slices(items: DataFrame, item: str, text: str, words: int) -> Iterator[tuple[list, Items, bool]]:
+    """Bounded parts of the test items: their ids and numbers of repeats, their shingles, and whether there are several parts.  Repeated items stand once."""
+    once = items.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).groupBy("item", "text").agg(F.count("*").alias("times"))
+    size = once.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = -(-size // SLICE_BYTES)
     for k in range(n):
-        rows = items.select(F.col(item).cast("long"), text).filter(F.pmod(F.xxhash64(item, text), F.lit(n)) == k).collect()
+        rows = once.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
         if rows:
-            yield [r[0] for r in rows], Items([r[1] for r in rows], words)
+            yield [(r["item"], r["times"]) for r in rows], Items([r["text"] for r in rows], words), n > 1
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", item: str = "item_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared, containment) for every document and test item that it contains."""
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_shared", pa.int64())])
+    """(doc_id, item_id, n_shingles, n_shared, containment) for every document and test item that it contains.
+
+    Where items fill several slices, each slice's rows are written to the shared folder and its broadcast is released before the next."""
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_shared", pa.int64()), ("times", pa.int64())])
     spark = docs.sparkSession
     found = []
-    for ids, part in _slices(items, item, text, words):
-        shared = spark.sparkContext.broadcast((ids, part))
+    for names, part, several in _slices(items, item, text, words):
+        shared = spark.sparkContext.broadcast((names, part))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, own = shared.value
             for batch in pieces(batches):
                 rows = own.leaks(batch.column(1), words, threshold)
                 keys = batch.column(0).take(pa.array([r for r, _, _ in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array([names[k] for _, k, _ in rows], pa.int64()), pa.array([int(own.sizes[k]) for _, k, _ in rows], pa.int64()), pa.array([n for _, _, n in rows], pa.int64())], schema=schema)
-
-        found.append(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, "doc_id long, item_id long, n_shingles long, n_shared long"))
+                columns = [[names[k][0] for _, k, _ in rows], [int(own.sizes[k]) for _, k, _ in rows], [n for _, _, n in rows], [names[k][1] for _, k, _ in rows]]
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, pa.int64()) for c in columns]], schema=schema)
+
+        rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(scan, "doc_id long, item_id long, n_shingles long, n_shared long, times long")
+        if several:
+            rows = save(rows, "leaks")
+            shared.destroy()
+        found.append(rows)
     if not found:
         return spark.createDataFrame([], "doc_id long, item_id long, n_shingles long, n_shared long, containment double")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    out = reduce(DataFrame.unionByName, found)
+    each = F.explode(F.array_repeat(F.lit(True), F.col("times").cast("int"))).alias("each")
+    return out.select("*", each).select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, item: str = "item_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that contain no test item."""
-    for _, part in _slices(items, item, text, words):
+    """The rows of ``docs`` that contain no test item; all columns pass as they are."""
+    for _, part, several in _slices(items, item, text, words):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -133,6 +141,9 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, item: str = "item_id", t
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        if several:
+            docs = save(docs, "without-leaks")
+            shared.destroy()
     return docs
 
 
