@@ -6,8 +6,9 @@ given the language of the lowest cross-entropy per character, and is *rejected*
 calibration texts of the language show than their ``keep`` quantile allows.
 
 Texts are lower-cased and every run of non-letters counts as one space.  Null or letterless texts: language ``und``,
-score 0, rejected.  Ties go to the language first in code-point order.  Without labelled texts, all are ``und``.
-Extra columns pass through untouched; repeated rows are judged alike.
+score 0, rejected.  Ties go to the language first in code-point order.  Without labelled texts, all are ``und`` and only letterless ones are rejected.
+A language with few calibration texts takes its spread and limit from those of all languages, widened.  Extra columns pass through
+untouched, but lang_pred, score and rejected, which are replaced; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from echotrace.llm.common import U64, held_out, mix, pieces, read_table
 ORDER = 4
 SAMPLE_CHARS = 4_000_000
 KEEP = 0.999
+FEW = 20
+CALIBRATION_CHARS = 1 << 18
 _letters: list[np.ndarray] = []
 
 
@@ -66,12 +69,12 @@ def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         frame = batch.to_pandas()
-        for lang, texts in frame.groupby("lang")["text"]:
+        for lang, texts in frame.groupby("l")["text"]:
             s, at = symbols(texts.tolist())
             places = _places(at)
             columns = [s[places + j] for j in range(ORDER)]
             _, at, n = np.unique(gram_hash(columns), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), **{f"c{j}": pa.array(c[at], pa.int64()) for j, c in enumerate(columns)}, "n": pa.array(n, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"l": pa.array(np.full(len(at), lang), pa.int32()), **{f"c{j}": pa.array(c[at], pa.int32()) for j, c in enumerate(columns)}, "n": pa.array(n, pa.int32())})
 
 
 def _places(at: np.ndarray) -> np.ndarray:
@@ -84,8 +87,9 @@ def _places(at: np.ndarray) -> np.ndarray:
 class Model:
     """For each order, sorted hashes of n-grams with log2 probabilities in every language, and of contexts with log2 weights."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique()) if len(counts) else []
+    def __init__(self, counts: pd.DataFrame, langs: list[str] | None = None):
+        """``counts`` has c0 to c3, n, and the language: its name as lang, or with ``langs`` its place among them as l."""
+        self.langs = langs if langs is not None else sorted(counts["lang"].unique()) if len(counts) else []
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
         self.limits: dict[str, tuple[float, float, float]] = {}
@@ -95,9 +99,10 @@ class Model:
         alphabet = len(np.unique(counts[f"c{ORDER - 1}"])) + 1
         self.unseen = -np.log2(alphabet)
         names = [f"c{j}" for j in range(ORDER)]
-        number = {x: k for k, x in enumerate(self.langs)}
-        # by_order[k]: types of order k+1 with counts; below the top, counts are of distinct predecessors
-        tables = [counts.assign(l=counts["lang"].map(number))[["l", *names, "n"]]]
+        if langs is None:
+            counts = counts.assign(l=counts["lang"].map({x: k for k, x in enumerate(self.langs)}))
+        # types of each order with counts; below the top, counts are of distinct predecessors
+        tables = [counts[["l", *names, "n"]]]
         for k in range(ORDER - 1, 0, -1):
             tables.append(tables[-1].groupby(["l", *names[ORDER - k :]], as_index=False).size().rename(columns={"size": "n"}))
         lower = None
@@ -169,7 +174,7 @@ class Model:
     def judge(self, texts: list[str | None]) -> pd.DataFrame:
         """Language, score and whether it is rejected."""
         if not self.langs:
-            return pd.DataFrame({"lang_pred": "und", "score": np.zeros(len(texts)), "rejected": True})
+            return pd.DataFrame({"lang_pred": "und", "score": np.zeros(len(texts)), "rejected": np.diff(symbols(texts)[1]) == ORDER - 1})
         h, n = self.entropies(texts)
         best = h.argmin(1)
         low = h.min(1)
@@ -183,7 +188,9 @@ class Model:
         """Set how sharp scores are, and how far from a language's own texts is too far."""
         if not self.langs or not texts:
             return
-        h, n = self.entropies(texts)
+        # some texts at a time bound the arrays
+        starts = np.flatnonzero(np.diff(np.concatenate([[-1], np.cumsum([len(t or "") for t in texts]) // CALIBRATION_CHARS])))
+        h, n = map(np.concatenate, zip(*(self.entropies(texts[a:b]) for a, b in zip(starts, [*starts[1:], len(texts)]))))
         number = {x: k for k, x in enumerate(self.langs)}
         true = np.array([number.get(x, -1) for x in langs])
         h, n, true = h[(n > 0) & (true >= 0)], n[(n > 0) & (true >= 0)], true[(n > 0) & (true >= 0)]
@@ -195,14 +202,17 @@ class Model:
             return float(np.mean(np.log2(np.exp2(-np.minimum(a * gap, 500)).sum(1)) + np.minimum(a * gap[np.arange(len(n)), true], 500)))
 
         self.sharpness = min(np.geomspace(0.05, 20, 30), key=loss)
+        spread_of = lambda own: float(max(0.02, 1.4826 * np.median(np.abs(own - np.median(own)))))
+        every = {k: h[true == k, k] for k in number.values()}
+        centred = np.concatenate([own - np.median(own) for own in every.values() if len(own)])
+        pooled = max([spread_of(own) for own in every.values() if len(own) >= FEW] or [spread_of(centred)])
+        typical = float(np.median(np.concatenate(list(every.values()))))
         for x, k in number.items():
-            own = h[true == k, k]
-            if len(own) < 20:
-                continue
-            middle = float(np.median(own))
-            spread = float(max(0.02, 1.4826 * np.median(np.abs(own - middle))))
+            own = every[k]
+            middle = float(np.median(own)) if len(own) else typical
+            spread = spread_of(own) if len(own) >= FEW else pooled * (1 + FEW / (len(own) + 1))
             z = (own - middle) / np.sqrt(spread**2 + 4.0 / n[true == k])
-            self.limits[x] = middle, spread, float(max(4.0, 1.25 * np.quantile(z, keep)))
+            self.limits[x] = middle, spread, float(max([4.0, *([1.25 * np.quantile(z, keep)] if len(own) else [])]))
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = SAMPLE_CHARS, keep: float = KEEP) -> Model:
@@ -213,12 +223,17 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     if len(sizes) > 1000:
         raise ValueError("over 1000 languages")
     spark = docs.sparkSession
-    shares = spark.createDataFrame([(r["lang"], min(1.0, sample_chars / max(r["chars"], 1))) for r in sizes], "lang string, share double")
+    langs = sorted(r["lang"] for r in sizes)
+    shares = spark.createDataFrame([(r["lang"], min(1.0, sample_chars / max(r["chars"], 1)), langs.index(r["lang"])) for r in sizes], "lang string, share double, l int")
     draw = F.pmod(F.xxhash64("k", F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     known = known.join(F.broadcast(shares), "lang").withColumn("draw", draw)  # at most 1000 rows
-    counts = known.filter(F.col("draw") < F.col("share") * 0.8).select("lang", "text")
-    counts = counts.mapInArrow(_count, "lang string, c0 long, c1 long, c2 long, c3 long, n long").groupBy("lang", *[f"c{j}" for j in range(ORDER)]).agg(F.sum("n").alias("n"))
-    model = Model(counts.toPandas())
+    counts = known.filter(F.col("draw") < F.col("share") * 0.8).select("l", "text")
+    grams = [f"c{j}" for j in range(ORDER)]
+    counts = counts.mapInArrow(_count, "l int, c0 int, c1 int, c2 int, c3 int, n int").groupBy("l", *grams).agg(F.sum("n").cast("int").alias("n"))
+    counts = counts.toPandas()
+    seen = sorted(counts["l"].unique().tolist())
+    model = Model(counts.assign(l=np.searchsorted(seen, counts["l"]).astype(np.int32)), [langs[k] for k in seen])
+    del counts
     calibration = known.filter((F.col("draw") >= F.col("share") * 0.8) & (F.col("draw") < F.col("share"))).select("lang", "text").toPandas()
     model.calibrate(calibration["text"].tolist(), calibration["lang"].tolist(), keep)
     return model
