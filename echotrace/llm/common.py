@@ -23,9 +23,11 @@ U64 = np.uint64
 
 
 def workdir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a local folder in local mode (tests), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
