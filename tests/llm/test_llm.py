@@ -20,7 +20,9 @@ TOKENIZER = "word_bpe_49k.json"
 ODD = [(1, None, None, None), (2, "", "en", "s"), (3, " \n\t ", "en", "s"), (4, "word", "en", "s"), (4, "word", "en", "s"), (5, "the cat sat on the mat " * 4000, "en", None), (None, "Zoë 😀 the cat sat on the mat " * 3, "fr", "t"), (6, "12 34 !!", None, "t")]
 SCHEMA = "doc_id long, text string, lang string, source string"
 #: names that the operators use inside
-CLASHING = ["size", "row", "score", "class", "statistics", "rejected", "n_shingles"]
+CLASHING = [
+    "size", "row", "score", "class", "statistics", "rejected", "n_shingles", "needs", "lang_pred", "target", "source_size", "rounds", "slots", "slot", "number", "block", "leader", "least", "root", "tile", "item_id", "times", "none", "_take", "_slot", "_round", "_rest", "_id", "_class", "bucket", "held_out", "start", "n_tokens",
+]
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +64,15 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.without_leaks(odd, items).columns == odd.columns
 
 
+def test_decontaminate_in_slices(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = sorted(tuple(r) for r in decontaminate.find_leaks(docs, items).collect())
+    kept = decontaminate.without_leaks(docs, items).count()
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 3000)
+    assert whole and sorted(tuple(r) for r in decontaminate.find_leaks(docs, items).collect()) == whole
+    assert decontaminate.without_leaks(docs, items).count() == kept == docs.count() - len({r[0] for r in whole})
+
+
 def test_decontaminate_inside_a_long_document(spark):
     draw = np.random.default_rng(1)
     words = [f"w{x}" for x in draw.integers(0, 5000, 30_000)]
@@ -93,6 +104,10 @@ def test_token_files(spark, docs, odd, none):
         got = [tuple(r) for r in token_files.read_tokens(token_files.write_tokens(table, _tokenizer())).orderBy("start").collect()]
         assert got == want
     assert token_files.read_tokens(token_files.write_tokens(none, _tokenizer())).count() == 0
+    manifest = token_files.write_tokens(docs, _tokenizer())
+    wanted = docs.select("doc_id").filter("doc_id % 9 = 0").unionByName(spark.createDataFrame([(-5,), (None,)], "doc_id long"))
+    found = {r["doc_id"]: r["ids"] for r in token_files.read_documents(manifest, wanted).collect()}
+    assert found == {r["doc_id"]: [*whole.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in docs.filter("doc_id % 9 = 0").collect()}
 
 
 def test_shards_open_only_what_is_asked_and_notice_damage():
@@ -151,6 +166,44 @@ def test_language_model(spark, docs, odd, none):
     assert language_model.score_documents(odd, none).count() == len(ODD) and language_model.score_documents(none, odd).count() == 0
 
 
+def test_scores_equal_a_loop_over_tokens():
+    """One token after the other, with whole softmaxes."""
+    L = language_model  # noqa: N806
+    draw = np.random.default_rng(11)
+    head = np.sort(draw.integers(1, 1 << 60, 40))
+    head[7] = L.END
+    model = L.Model(head, np.arange(40.0, 0, -1), np.full(L.TAIL_CLASSES, 9.0), np.full(L.TAIL_CLASSES, 5.0))
+    for w in model.p.values():
+        w += draw.standard_normal(w.shape).astype(np.float32) * 0.3
+    first = np.array([0, 0, 5, 6, 40, 41])
+    x = draw.integers(0, 40 + L.TAIL_CLASSES, 41)
+    sigmoid, softmax = (lambda v: 1 / (1 + np.exp(-v))), (lambda v: np.exp(v) / np.exp(v).sum())
+    p, n = {k: v.astype(float) for k, v in model.p.items()}, L.HIDDEN
+    end = int(model.encode(np.array([L.END]), np.array([0]))[0])
+    for row, (a, b) in enumerate(zip(first, first[1:])):
+        h, last, total = np.zeros(n), end, 0.0
+        for y in x[a:b].tolist():
+            i, u = p["x"][last], h @ p["u"]
+            r, z = sigmoid(i[:n] + u[:n]), sigmoid(i[n : 2 * n] + u[n : 2 * n])
+            new = np.tanh(i[2 * n :] + r * u[2 * n :])
+            h = (1 - z) * new + z * h
+            kind = y // model.words if y < 40 else L.HEAD_CLASSES + y - 40
+            total += np.log10(softmax(h @ p["c"] + p["cb"])[kind])
+            if y < 40:
+                total += np.log10(softmax(h @ p["w"][kind] + p["wb"][kind])[y % model.words])
+            last = y
+        assert math.isclose(model.score(x, first)[row], total, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_common_tokens(spark):
+    rows = [(k, 0, n) for k, n in enumerate([100, 90, 50, 50, 20, *[3] * 50, *[1] * 2000])]
+    counts = spark.createDataFrame(rows, "token long, kind long, n long")
+    for most in (0, 1, 4, 5, 30, 55, 500, 5000):
+        got = sorted((r["n"] for r in language_model.common_tokens(counts, most).collect()), reverse=True)
+        want = sorted((r[2] for r in rows), reverse=True)[: len(got)]
+        assert got == want and len(got) <= most and (len(got) >= min(most, 2055) - 12)
+
+
 def test_language_model_is_a_distribution_and_learns():
     model = language_model.Model(np.array([5, 7, int(language_model.END)]), np.array([3.0, 2, 2]), np.full(language_model.TAIL_CLASSES, 4.0), np.full(language_model.TAIL_CLASSES, 3.0))
     y = np.arange(3 + language_model.TAIL_CLASSES)
@@ -209,6 +262,62 @@ def test_gradients_match_differences():
             assert math.isclose((up - down) / (2 * e), g[k], rel_tol=2e-3, abs_tol=1e-7), name
 
 
+def test_mixing_equals_a_loop_over_slots(spark, docs):
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    rows = [(r["doc_id"], r["source"], len((r["text"] or "").encode().split()), r["draw"]) for r in docs.select("doc_id", "source", "text", F.xxhash64("doc_id", F.lit(4)).alias("draw")).collect()]
+    names = sorted({r[1] for r in rows}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(r[2] for r in rows if r[1] == x) for x in names]
+    goal, left, open_ = dict.fromkeys(names, 0.0), 1.5 * sum(sizes), set(names)
+    weight, size = {x: (3, 1, 2)[k % 3] for k, x in enumerate(names)}, dict(zip(names, sizes))
+    while open_ and (full := [x for x in open_ if left * weight[x] / sum(weight[y] for y in open_) > 2 * size[x]]):
+        for x in full:
+            goal[x] = 2.0 * size[x]
+            left -= goal[x]
+        open_ -= set(full)
+    for x in open_:
+        goal[x] = left * weight[x] / sum(weight[y] for y in open_)
+    n, total = mixing.BLOCK_WORDS, sum(goal.values())
+    words = {x: [r[0] for r in sorted((r for r in rows if r[1] == x and r[2]), key=lambda r: r[3]) for _ in range(r[2])] for x in names}  # each word's document
+    blocks = {x: [words[x][k : k + n] for k in range(0, len(words[x]), n)] for x in names}
+    wanted = {x: min(max(round(goal[x] / n), 1), 2 * len(blocks[x])) for x in names}
+    phi, taken, order, rank = (Decimal(5).sqrt() + 1) / 2, Counter(), [], Counter()
+    for j in range(math.ceil(total / n)):
+        point, upto = ((j + Decimal("0.5")) / phi) % 1, 0.0
+        for x in names:
+            upto += goal[x] / total
+            if point < upto or x == names[-1]:
+                break
+        if rank[x] < wanted[x]:
+            order.append(x)
+        rank[x] += 1
+    for x in names:
+        for k in range(wanted[x]):
+            taken.update(blocks[x][k % len(blocks[x])])
+    got = {r["doc_id"]: r for r in mixing.op4_mixing(spark, SF).collect()}
+    assert {i: r["taken"] for i, r in got.items() if r["taken"]} == dict(taken)
+    assert all(math.isclose(r["target"], goal[r["source"]]) and r["source_size"] == size[r["source"]] for r in got.values())
+    slots = mixing.schedule(mixing.plan_sources(mixing.with_sizes(docs))).filter(F.col("slot") < math.ceil(total / n)).orderBy("slot").collect()
+    assert [names[r["number"]] for r in slots] == order
+    assert all(abs(sum(r["taken"] for r in got.values() if r["source"] == x) - goal[x]) <= 2 * n for x in names)
+
+
+def test_mix_comes_in_order_of_the_schedule(spark, docs):
+    mixed, _ = mixing.mix_sources(mixing.with_sizes(docs))
+    want = sorted((s, r["row"], r["doc_id"]) for r in mixed.select("row", "doc_id", "rounds", "slots").collect() for n, s in zip(r["rounds"], r["slots"]) if n)
+    taken = common.save(mixing.take_mix(mixed, docs.columns), "taken")
+    assert [r["doc_id"] for r in token_files.read_tokens(token_files.write_tokens(taken, _tokenizer(), in_file_order=True)).orderBy("start").collect()] == [i for _, _, i in want]
+
+
+def test_small_sources_are_taken(spark):
+    rows = [(k, f"s{k % 300:03d}", "a b c d e f g") for k in range(600)] + [(1000, "big", "w " * 9000)]
+    mixed, _ = mixing.mix_sources(mixing.with_sizes(spark.createDataFrame(rows, "doc_id long, source string, text string")))
+    by = {r["source"]: r["taken"] for r in mixed.selectExpr("source", "rounds[0] + rounds[1] as t").groupBy("source").agg({"t": "sum"}).withColumnRenamed("sum(t)", "taken").collect()}
+    assert len(by) == 301 and all(n > 0 for n in by.values())
+
+
 def test_mixing(spark, docs, odd, none):
     rows = [r for r in mixing.op4_mixing(spark, SF).collect()]
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in mixing.op4_mixing(spark, SF).collect())
@@ -276,6 +385,34 @@ def test_quality(spark, odd, none):
     assert y.tolist() == [0, 0.5, 1] and x.tolist() == [0, 1.5, 3]
 
 
+def test_quality_equals_a_closed_form(spark, docs):
+    labels = [(r["doc_id"], float(r["quality"])) for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality is not null").collect()]
+    measured = quality.with_statistics(docs.select("doc_id", "text"))
+    scorer = quality.fit(measured, spark.createDataFrame(labels, "doc_id long, quality double"))
+    from pyspark.sql import functions as F
+
+    side = {r["doc_id"]: r["a"] for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(78)), F.lit(4)) == 0).alias("a")).collect()}
+    x = {r["doc_id"]: np.array(r["statistics"], float) for r in measured.collect()}
+    rows = np.array([x[i] for i, _ in labels if i in x])
+    y, aside = np.array([v for i, v in labels if i in x]), np.array([side[i] for i, _ in labels if i in x])
+    z = np.clip((rows - rows.mean(0)) / np.where(rows.std(0) > 1e-9, rows.std(0), 1), -6, 6)
+    features = np.array([[math.sqrt(2 / quality.FEATURES) * math.cos(sum(a * b for a, b in zip(r, scorer.frequencies[:, k])) + scorer.phases[k]) for k in range(quality.FEATURES)] + [1.0] for r in z])
+    seen = features[~aside]
+    # ridge as least squares with rows for the penalty
+    weights = np.linalg.lstsq(np.vstack([seen, math.sqrt(quality.RIDGE) * np.eye(seen.shape[1])]), np.concatenate([y[~aside], np.zeros(seen.shape[1])]), rcond=None)[0]
+    raw = features @ weights
+    assert np.allclose(raw, [scorer.raw(x[i][None])[0] for i, _ in labels if i in x], atol=1e-6)
+    assert (np.diff(scorer.steps[1]) > 0).all() and (np.diff(scorer.scores(rows[np.argsort(raw)])) >= -1e-12).all()
+
+
+def test_kernel_accuracy():
+    draw = np.random.default_rng(1)
+    scorer = quality.Scorer(np.zeros(4), np.ones(4))
+    x, y = draw.standard_normal((2, 50, 4)) * 0.5
+    near = (scorer.features(x)[:, :-1] * scorer.features(y)[:, :-1]).sum(1)
+    assert np.abs(near - np.exp(-((x - y) ** 2).sum(1) / 4)).mean() < 0.1
+
+
 def test_spotsigs(spark, docs, odd, none):
     for table in (docs.select("doc_id", "text"), odd.filter("doc_id <> 4 or doc_id is null")):
         rows = sorted(((r["doc_id"], r["text"] or "") for r in table.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
@@ -287,7 +424,8 @@ def test_spotsigs(spark, docs, odd, none):
             a, b, c = spotsigs.spot_sets([t, edited, after])
             r = got[i]
             assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), spotsigs.as_text(a), spotsigs.as_text(b))
-            assert (r["near_edited"], r["near_next"]) == (spotsigs.likeness(a, b), spotsigs.likeness(a, c))
+            jaccard = lambda p, q: len(set(p.tolist()) & set(q.tolist())) / len(set(p.tolist()) | set(q.tolist())) if len(p) or len(q) else 1.0
+            assert all(math.isclose(got_, want_, abs_tol=1e-12) for got_, want_ in ((r["near_edited"], jaccard(a, b)), (r["near_next"], jaccard(a, c)))) and spotsigs.likeness(a, b) == r["near_edited"]
     assert spotsigs.compare_with_next(odd).count() == len(ODD) and spotsigs.compare_with_next(none).count() == 0
     prints = {r["doc_id"]: set(r["spots"]) for r in spotsigs.fingerprints(docs).collect()}
     classes = {}
@@ -339,6 +477,39 @@ def test_language_models_sum_to_one(docs):
         assert math.isclose(p.sum() + rest.sum(), 1, rel_tol=1e-4)
 
 
+def test_language_models_equal_dictionaries():
+    import pandas as pd
+
+    texts = {"x": ["abc abd", "bca ab"], "y": ["abab cd"]}
+    frames = []
+    for lang, own in texts.items():
+        s, at = language.symbols(own)
+        places = language._places(at)
+        frames.append(pd.DataFrame({**{f"c{j}": s[places + j] for j in range(4)}, "lang": lang, "n": 1}).groupby(["lang", "c0", "c1", "c2", "c3"], as_index=False)["n"].sum())
+    counts = pd.concat(frames)
+    model = language.Model(counts)
+    alphabet = len(set(counts["c3"])) + 1
+    for k, lang in enumerate(model.langs):
+        tables = {4: Counter({tuple(int(r[f"c{j}"]) for j in range(4)): int(r["n"]) for _, r in counts[counts["lang"] == lang].iterrows()})}
+        for order in (3, 2, 1):  # below the top, how many different symbols came before
+            tables[order] = Counter(g[1:] for g in tables[order + 1])
+
+        def p(gram):
+            if not gram:
+                return 1 / alphabet
+            table = tables[len(gram)]
+            once, twice = (sum(c == x for c in table.values()) for x in (1, 2))
+            d = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+            own = [c for g, c in table.items() if g[:-1] == gram[:-1]]
+            if not own:
+                return p(gram[1:])
+            return max(table[gram] - d, 0) / sum(own) + d * len(own) / sum(own) * p(gram[1:])  # noqa: B023
+
+        for gram in [*tables[4], (0, 0, 0, 100), (97, 98, 99, 97), (97, 98, 0, 100), (1, 2, 3, 97), (1, 2, 97, 98)]:
+            got = 2.0 ** model._score([np.array([c]) for c in gram], 4)[0, k]
+            assert math.isclose(got, p(gram), rel_tol=1e-4), (lang, gram)
+
+
 def _components(table, words, threshold):
     rows = table.select("doc_id", "text").collect()
     sets = []
@@ -393,6 +564,36 @@ def test_shingle_join_links_rows_without_an_id(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "None"]
 
 
+def test_near_copies_without_broadcasts_and_with_blocks(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    table = docs.unionByName(docs.limit(9)).withColumn("tag", F.lit("t"))
+    known = sorted(r["doc_id"] for r in shingle_join.keep_one(table).collect())
+    monkeypatch.setattr(shingle_join, "BROADCAST_CLASSES", 0)
+    monkeypatch.setattr(shingle_join, "SEEN_CLASSES", 1)
+    monkeypatch.setattr(shingle_join, "PAIR_TILE", 1)
+    monkeypatch.setattr(shingle_join, "BLOCK_CLASSES", 2)
+    monkeypatch.setattr(shingle_join, "LEADERS", 1)
+    assert sorted(r["doc_id"] for r in shingle_join.keep_one(table).collect()) == known and len(known) < docs.count()
+
+
+def test_classes_of_a_link_are_in_as_many_tiles_as_they_need():
+    draw = np.random.default_rng(12)
+    for threshold in (Fraction(4, 5), Fraction(9, 10), Fraction(1, 2)):
+        for n in (3, 8, 20, 90, 400, 1500):
+            a = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))
+            most = int(len(a) * (1 - threshold) / (1 + threshold))
+            b = np.unique(np.concatenate([a[most:], draw.integers(0, 1 << 63, most).astype(np.uint64)]))
+            if not shingle_join.linked(a, b, threshold) or len(a) == len(np.intersect1d(a, b)):
+                continue
+            values, first = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+            rows, keys = shingle_join.segment_keys(values, first, threshold)
+            shared, mask = np.intersect1d(keys[rows == 0], keys[rows == 1]), (1 << shingle_join.BAND_BITS) - 1
+            need = [{x & mask: x >> shingle_join.BAND_BITS for x in own} for own in shingle_join.needs(values, first, threshold)]
+            band = min(max(need[0]), max(need[1]))
+            assert sum(k & mask == band for k in shared.tolist()) >= max(need[0][band], need[1][band]) >= 1
+
+
 def test_bitmaps_bound_from_above():
     draw = np.random.default_rng(6)
     for n in (3, 40, 700):
@@ -405,13 +606,41 @@ def test_bitmaps_bound_from_above():
 
 
 def test_clashing_columns(spark, odd):
+    """Columns with names that operators use inside come out of every stage as they went in."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from pyspark.sql import functions as F
 
-    table = odd.select("*", *[F.lit("extra").alias(c) for c in CLASHING if c not in ("score", "rejected", "statistics", "size", "row", "class", "n_shingles")], *[F.lit(1).cast("long").alias(c) for c in ("size", "n_shingles")])
-    assert language.identify(table, language.fit(table)).count() == len(ODD)
-    assert mixing.mix_sources(mixing.with_sizes(table))[0].count() == len(ODD)
+    named = {c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING}
+    table = odd.withColumn("n_chars", F.length("text")).select("*", *[v.alias(c) for c, v in named.items()])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, SF)
+        assert out.columns == table.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[c] == f"{c}-{'none' if r['doc_id'] is None else r['doc_id']}" for c in CLASHING), name
+    assert corpus_pipeline.STAGES[-1][1](spark, table, SF).count() == len(ODD)
     assert shingle_join.shingle_components(table, words=3, threshold=Fraction(9, 10)).count() == len(ODD)
-    assert decontaminate.without_leaks(table, spark.createDataFrame([(1, "word")], "item_id long, text string")).columns == table.columns
+    assert quality.with_statistics(table).count() == len(ODD)
+
+
+def test_rows_without_a_language_stay(spark, odd):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from pyspark.sql import functions as F
+
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.identify_language(spark, unlabelled, SF).collect()) == ["4", "4", "5", "None"]
+
+
+def test_foreign_texts_are_rejected(spark):
+    draw = np.random.default_rng(9)
+    made = lambda letters, n, size: [" ".join("".join(draw.choice(list(letters), 5)) for _ in range(size)) for _ in range(n)]
+    rows = [(k, t, "x") for k, t in enumerate(made("abcdefg", 120, 60))] + [(1000 + k, t, "y") for k, t in enumerate(made("pqrstu", 24, 60))]  # y has few texts to calibrate on
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    asked = spark.createDataFrame([(1, made("abcdefg", 1, 60)[0]), (2, made("pqrstu", 1, 60)[0]), (3, made("hijklmno", 1, 60)[0]), (4, made("жзийклмн", 1, 60)[0])], "doc_id long, text string")
+    assert [(r["doc_id"], r["rejected"]) for r in language.identify(asked, model).orderBy("doc_id").collect()] == [(1, False), (2, False), (3, True), (4, True)]
+    assert language.identify(docs, model).filter("rejected").count() <= 2
 
 
 def test_pipeline(spark, odd):
