@@ -7,10 +7,10 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echotrace.functions.payloads import HASH_VERSION, Limits, expanded, inner_ids
+from echotrace.functions.payloads import HASH_VERSION, UNAVAILABLE, Limits, expanded, inner_ids
 from echotrace.operators.repeats import any_key_match, senders_by_any_key
 
 #: keys of a match, in their order
@@ -21,6 +21,11 @@ EXPANDED = (
 )
 
 
+def is_unavailable(error: Column) -> Column:
+    """Whether a platform's error says that a bundle can't be read for good."""
+    return F.coalesce(error.rlike(UNAVAILABLE), F.lit(False))
+
+
 def _parsed(text: str | None) -> Any:
     try:
         return json.loads(text) if text else None

@@ -102,9 +102,7 @@ def _videos(spark, d):
     """Messages with a video or two: copies of forty films, by file, by frames that differ in some digits, by metadata."""
     v = F.col("vec_id")
     own = F.when(v % 3 == 0, 14).otherwise(5)
-    digits = lambda name, n: F.sha2(F.concat(F.lit(name), n.cast("string"), F.lit("-"), F.lit("%d")), 256)
     frame = lambda k: F.concat(F.substr(F.sha2(F.concat(F.lit("v"), v.cast("string"), F.lit(f"-{k}")), 256), F.lit(1), own), F.substr(F.sha2(F.concat(F.lit("b"), (v % 40).cast("string"), F.lit(f"-{k}")), 256), own + 1))
-    del digits
     analysis = F.when(v % 5 == 0, "metadata").when(v % 5 == 1, "sha256").otherwise("perceptual")
     one = F.struct(F.when(v % 5 > 0, F.concat(F.lit("f"), (v % 60).cast("string"))).alias("sha256"), F.when(v % 5 > 1, F.array(*[frame(k) for k in range(5)])).otherwise(F.array().cast("array<string>")).alias("frame_hashes"), (10_000 + v % 4 * 400).alias("duration_ms"), names.metadata_hash(F.concat(F.lit("n"), (v % 30).cast("string")), v % 9).alias("metadata_hash"), analysis.alias("analysis"))
     return table(spark, d, "embeddings").select("vec_id", (F.col("label") % 3).alias("label"), F.when(v % 7 > 0, (v % 7).cast("string")).otherwise("").alias("sender"), F.array(one).alias("videos"))

@@ -129,6 +129,7 @@ def test_bundles(spark):
     assert got["nested"]["forward_partial"] and got["nested"]["forward_hash"] and not got["nested"]["forward_truncated"] and got["nested"]["forward_node_count"] == 5 and "[内层转发：内容不可读取]" in got["nested"]["forward_content"]
     assert all(got[k]["forward_truncated"] and got[k]["forward_hash"] is None for k in ("loop", "lost", "long", "broken", "absent", "gone")) and "" not in got
     assert got["media"]["has_image"] and got["media"]["has_video"] and got["media"]["forward_hash"] and got["empty"]["forward_hash"] is None and len(got["long"]["forward_content"]) < 12100
+    assert one(spark, forwards.is_unavailable(F.lit("X Message Expired")).alias("a"), forwards.is_unavailable(F.lit("timeout")).alias("b"), forwards.is_unavailable(F.lit(None)).alias("c"))[:] == (True, False, False)
     few = {r["forward_id"]: r for r in forwards.expand_forwards(known.select(F.col("id").alias("forward_id")), known, limits=payloads.Limits(depth=1, nodes=1), sender_text=False).collect()}
     assert few["plain"]["forward_truncated"] and few["plain"]["forward_text_hash"] is None and few["nested"]["forward_node_count"] == 1
     stored = spark.createDataFrame([(2, "g", "a", "c2", 4, "h", None, True), (1, "g", "a", "c1", 4, None, None, False), (3, "g", "b", "c", 3, "h", "t", True), (4, "g", "c", "c", 4, "h", "t", True), (5, "g", "d", "c", 4, None, None, None)], "id long, g string, forward_id string, content string, forward_hash_version int, forward_hash string, forward_text_hash string, forward_text_hash_eligible boolean")
