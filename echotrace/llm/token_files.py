@@ -294,7 +294,7 @@ def _files(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def write_tokens(docs: DataFrame, tokenizer: str, *, folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = END_ID, in_file_order: bool = False) -> DataFrame:
     """Write shards under ``folder`` (default: in the shared folder) and return the committed manifest:
-    part, shard, path, docs, tokens, start (ids in all shards before), first_id and last_id (least and greatest id).
+    part, shard, path, docs, tokens, start (ids in all shards before).
 
     Documents are written by ascending id; with ``in_file_order``, in the order of the files that ``docs`` is read from (a table without files: by id)."""
     spark = docs.sparkSession
@@ -305,7 +305,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, folder: str | None = None,
         order = ["_file", "_at"]
         rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("doc_id", "text")
-    schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
+    schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, (files, root) = word_encoder(tokenizer), _files(folder)
@@ -317,8 +317,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, folder: str | None = None,
             name = f"shard-{part:06d}-{shard:04d}-{uuid.uuid4().hex[:12]}.zst"
             with files.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(writer.close())
-            ids = [x for x, null in zip(writer.doc_ids, writer.nulls) if not null]
-            row = part, shard, f"{folder}/{name}", len(writer.counts), writer.ids, min(ids, default=None), max(ids, default=None)
+            row = part, shard, f"{folder}/{name}", len(writer.counts), writer.ids
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in pieces(batches, limit=1 << 20):
@@ -331,7 +330,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, folder: str | None = None,
         if writer.counts:
             yield close()
 
-    manifest = save(rows.mapInArrow(write, "part long, shard long, path string, docs long, tokens long, first_id long, last_id long"), "token-manifest")
+    manifest = save(rows.mapInArrow(write, "part long, shard long, path string, docs long, tokens long"), "token-manifest")
     # one row a shard: a running sum that one task can hold however many documents there are
     before = F.sum("tokens").over(Window.orderBy("part", "shard")) - F.col("tokens")
     return manifest.withColumn("start", before)
@@ -358,20 +357,33 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def read_documents(manifest: DataFrame, wanted: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """(doc_id, ids array<int>) of the documents whose ids ``wanted`` has (each once; null ids aren't found), opening only their frames.
+def shard_index(manifest: DataFrame) -> DataFrame:
+    """(doc_id, path, place) of every document, from the shards' index frames alone."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                files, name = _files(path)
+                with files.open_input_file(name) as file:
+                    reader = ShardReader(file)
+                n = len(reader.doc_ids)
+                yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids, pa.int64(), mask=reader.nulls != 0), pa.array([path] * n), pa.array(np.arange(n), pa.int64())], names=["doc_id", "path", "place"])
+
+    shards = manifest.select("path").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return shards.mapInArrow(read, "doc_id long, path string, place long")
 
-    Ids go to the shards whose range of ids holds them, by a range join with the manifest, which has one row a shard; a shard is opened once
-    for all its ids.  Where ids overlap between shards (files in another order than by id), an id goes to each of them."""
-    asked = wanted.select(F.col(f"`{key}`").cast("long").alias("_id")).filter("_id is not null").distinct()
-    shards = manifest.select("path", "first_id", "last_id")
-    by_path = asked.join(shards, F.col("_id").between(F.col("first_id"), F.col("last_id"))).select("path", "_id")
-    dealt = by_path.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path", "_id")
+
+def read_documents(manifest: DataFrame, wanted: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """(doc_id, ids array<int>) of the documents whose ids ``wanted`` has (each id once, all documents of it; null ids aren't found), opening
+    only their frames.  Ids are joined with the index; a shard is opened once for all that is wanted of it."""
+    asked = wanted.select(F.col(f"`{key}`").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    found = asked.join(shard_index(manifest), "doc_id").select("path", "place")
+    dealt = found.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path", "place")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, reader, file = None, None, None
         for batch in batches:
-            names, ids = batch.column(0), batch.column(1).to_numpy()
+            names, places = batch.column(0), batch.column(1).to_numpy()
             for name in names.unique().to_pylist():
                 if name != path:
                     if file is not None:
@@ -379,9 +391,7 @@ def read_documents(manifest: DataFrame, wanted: DataFrame, *, key: str = "doc_id
                     files, at = _files(name)
                     path, file = name, files.open_input_file(at)
                     reader = ShardReader(file)
-                own = ids[np.asarray(pc.equal(names, name))]
-                places = np.flatnonzero(np.isin(reader.doc_ids, own) & (reader.nulls == 0))
-                for doc_id, tokens in reader.documents(places.tolist()):
+                for doc_id, tokens in reader.documents(places[np.asarray(pc.equal(names, name))].tolist()):
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([tokens.astype(np.int32)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
         if file is not None:
             file.close()
