@@ -7,7 +7,7 @@ a stretch, every word of it; so does a text without common words that is no long
 hexadecimal; likeness is the Jaccard resemblance of two sets.  Moved or added passages
 change only their own signatures.
 
-matches() compares fingerprints: partitioned by set length, and within a partition by shared rarest signatures, with the bound on
+matches() compares fingerprints: partitioned by set length, and within a partition by shared signatures, with the bound on
 Jaccard that lengths give checked before the sets are.
 
 Null texts count as empty and have the empty fingerprint, which is like itself (1) and like nothing else (0).  Rows with the same id
@@ -197,7 +197,7 @@ def compare_with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         if len(held) > 1:
             yield compared(held)
 
-    dealt = rows.mapInArrow(deal, "bucket long, tail boolean, id long, packed binary").repartition(n, "bucket").sortWithinPartitions("bucket", "tail", "id", "packed")
+    dealt = rows.mapInArrow(deal, "bucket long, tail boolean, id long, packed binary").repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "tail", "id", "packed")
     return dealt.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
