@@ -138,7 +138,7 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, limit: int = LI
 def cut_blocks(sized: DataFrame, sources: DataFrame, *, row: str = "row", key: str = "doc_id", source: str = "source", block_words: int = BLOCK_WORDS, seed: int = 4) -> DataFrame:
     """Pieces (row, number, block, words): each source's documents in a drawn order, end to end, cut every ``block_words`` words."""
     named = F.broadcast(sources.select("number", F.col("source").alias("_source"), F.greatest(F.col("docs") / BUCKET_DOCS, F.lit(1)).cast("long").alias("_buckets")))
-    drawn = F.xxhash64(F.col(key), F.lit(seed))
+    drawn = F.xxhash64(F.coalesce(F.col(key), F.col(row)), F.lit(seed))  # rows without an id are spread by their numbers
     docs = sized.filter(F.col("size") > 0).join(named, F.col(source).eqNullSafe(F.col("_source"))).select(row, F.col(key).alias("_key"), "size", "number", drawn.alias("_draw"), "_buckets")
     docs = docs.withColumn("_bucket", F.floor((F.shiftrightunsigned("_draw", 33) / F.lit(float(1 << 31))) * F.col("_buckets")))
     sums = docs.groupBy("number", "_bucket").agg(F.sum("size").alias("_n"))
