@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,9 @@ from echotrace.llm.common import held_out, pieces, read_table, save, word_hashes
 
 HEAD, HEAD_CLASSES, TAIL_CLASSES, HIDDEN = 1024, 32, 32, 32
 WINDOW, LANES, SAMPLE_TOKENS, EPOCHS, RATE = 16, 64, 600_000, 2, 0.004
-PASS_LANES, ROUNDS, SUMS = 256, 4, 16
+PASS_LANES, ROUNDS, SUMS = 512, 4, 16
 KNOWN = 65_536
+LONG_BYTES, SCORED_BYTES = 8192, 6 << 20
 END = np.int64(-0x0E4D)
 
 
@@ -83,24 +86,63 @@ def count_tokens(docs: DataFrame, *, text: str = "text", held: int = 1_500_000)
     return docs.select(F.col(text).alias("text")).mapInArrow(count, "token long, kind long, n long").groupBy("token").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"))
 
 
+def common_tokens(counts: DataFrame, most: int = KNOWN) -> DataFrame:
+    """The commonest of (token, kind, n), as many as ``most`` allows: by a histogram of counts in steps of a hundredth or so, and within the step where
+    it runs out by a hash of the token.  No task and not the driver sees more than those."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 64)
+    place = F.pmod(F.xxhash64("token"), F.lit(4096))
+    left, cut, share = most, None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):  # 64 steps for each doubling
+        cut = r["step"]
+        if r["n"] > left:
+            # of that step's tokens, as many hash places as hold what is left
+            places = counts.filter(step == cut).groupBy(place.alias("place")).agg(F.count("*").alias("n")).orderBy("place").collect()  # 4096 rows at most
+            for p in places:
+                if p["n"] > left:
+                    break
+                left, share = left - p["n"], p["place"] + 1
+            break
+        left -= r["n"]
+    else:
+        return counts
+    return counts.filter((step > cut) | ((step == cut) & (place < share)))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    """exp, in place; logits are small (states are within 1, biases at most 0), so that nothing need be taken off for floats' range."""
+    np.minimum(x, 80, out=x)
+    return np.exp(x, out=x)
+
+
+@lru_cache
+def _ones(n: int, kind: str) -> np.ndarray:
+    return np.ones(n, kind)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Row sums, as a product: quicker than a sum along short rows."""
+    return x @ _ones(x.shape[1], x.dtype.str) + np.finfo(x.dtype).tiny
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     """In place."""
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    _exp(x)
+    x /= _sums(x)[:, None]
     return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of each row, the logarithm of the softmax at one place; ``x`` is used up."""
-    x -= x.max(1, keepdims=True)
     own = x[np.arange(len(x)), at]
-    np.exp(x, out=x)
-    return own - np.log(x.sum(1))
+    return own - np.log(_sums(_exp(x)))
 
 
 class Model:
@@ -123,6 +165,8 @@ class Model:
                 "x": normal(n + TAIL_CLASSES, 3 * HIDDEN), "u": normal(HIDDEN, 3 * HIDDEN), "c": normal(HIDDEN, classes), "w": normal(HEAD_CLASSES, HIDDEN, self.words),
                 "cb": np.log(np.concatenate([grid.sum(1) + 1e-9, class_tokens + 1.0])).astype(np.float32), "wb": np.maximum(np.log(grid), -40).astype(np.float32),
             }
+        self.p["cb"] -= self.p["cb"].max()
+        self.p["wb"] -= self.p["wb"].max(1, keepdims=True)
 
     def encode(self, token: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Inputs: a head token's rank, or the number of heads plus the tail class."""
@@ -144,8 +188,13 @@ class Model:
         u = h @ self.p["u"]
         rz = _sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
         r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        return n + z * (h - n), r, z, n, u[:, 2 * HIDDEN :]
+        n = r * u[:, 2 * HIDDEN :]
+        n += a[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, r, z, n, u[:, 2 * HIDDEN :]
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithm of what the model says of tokens y after states h; a tail token's share of its class isn't in it."""
@@ -245,12 +294,19 @@ class Model:
         for t in range(len(kept) - 1, -1, -1):
             hp, r, z, n, un = kept[t]
             dt = dh[t * lanes : (t + 1) * lanes] + after
-            dn = dt * (1 - z) * (1 - n * n)
-            da[t, :, :HIDDEN] = du[t, :, :HIDDEN] = dn * un * r * (1 - r)
-            da[t, :, HIDDEN : 2 * HIDDEN] = du[t, :, HIDDEN : 2 * HIDDEN] = dt * (hp - n) * z * (1 - z)
-            da[t, :, 2 * HIDDEN :] = dn
-            du[t, :, 2 * HIDDEN :] = dn * r
-            after = dt * z + du[t] @ p["u"].T
+            rest = 1 - z
+            kept_on = dt * z
+            dn = n * n
+            np.subtract(1, dn, out=dn)
+            dn *= rest
+            dn *= dt
+            own = du[t]
+            own[:, 2 * HIDDEN :] = dn * r
+            own[:, :HIDDEN] = own[:, 2 * HIDDEN :] * un * (1 - r)
+            own[:, HIDDEN : 2 * HIDDEN] = kept_on * (hp - n) * rest
+            da[t, :, : 2 * HIDDEN], da[t, :, 2 * HIDDEN :] = own[:, : 2 * HIDDEN], dn
+            after = own @ p["u"].T
+            after += kept_on
             if fresh[t].any():
                 after *= ~fresh[t][:, None]
         g["u"] = np.concatenate([x[0] for x in kept]).T @ du.reshape(-1, 3 * HIDDEN)
@@ -312,7 +368,9 @@ def learn_all(model: Model, adam: Adam, training: DataFrame, *, key: str = "doc_
 
         kinds = "part long, n long, change binary"
         changes = rows.filter(F.col("round") == k).select("text").mapInArrow(run, kinds)
-        sums = changes.repartition(SUMS, "part").sortWithinPartitions("part").mapInArrow(add, kinds).collect()  # SUMS rows at most
+        # by SUMS keys, so that no more than SUMS rows come whatever the number of partitions
+        dealt = changes.withColumn("key", F.pmod("part", F.lit(SUMS))).repartition(SUMS, "key").sortWithinPartitions("key", "part").drop("key")
+        sums = dealt.mapInArrow(add, kinds).collect()
         n = sum(r["n"] for r in sums)
         if n:
             change = sum(np.frombuffer(r["change"]) for r in sorted(sums, key=lambda r: r["part"])) / n
@@ -326,13 +384,38 @@ def learn_all(model: Model, adam: Adam, training: DataFrame, *, key: str = "doc_
     return seen
 
 
+def _long_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size, long texts in batches of their own: rows of a batch are scored side by side, as many steps as the longest
+    has tokens, so a long text among short ones would run alone for most of its length."""
+    held: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
+    size = {False: 0, True: 0}
+
+    def together(long: bool) -> pa.RecordBatch:
+        out = pa.Table.from_batches(held[long]).combine_chunks().to_batches()[0]
+        held[long], size[long] = [], 0
+        return out
+
+    for batch in pieces(batches, "_text", 2 << 20):
+        bytes_ = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("_text"))), 0))
+        for long in (False, True):
+            own = (bytes_ > LONG_BYTES) == long
+            if own.any():
+                held[long].append(batch.filter(pa.array(own)))
+                size[long] += int(bytes_[own].sum())
+            if size[long] > SCORED_BYTES:
+                yield together(long)
+    for long in (False, True):
+        if held[long]:
+            yield together(long)
+
+
 def score_documents(docs: DataFrame, training: DataFrame, *, key: str = "doc_id", text: str = "text", passed: tuple[str, ...] = ()) -> DataFrame:
     """(key, *passed, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``, learning from ``training``."""
     spark = docs.sparkSession
     counts = save(count_tokens(training, text=text), "token-counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = totals["n"], totals["v"]
-    common = counts.orderBy(F.desc("n"), "token").limit(KNOWN).toPandas()
+    common = common_tokens(counts).toPandas().sort_values(["n", "token"], ascending=[False, True])  # KNOWN rows at most
     known, known_n = common["token"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
     # the end is a head token even where there is nothing to learn from
     head, head_n = known[:HEAD], known_n[:HEAD]
@@ -355,7 +438,7 @@ def score_documents(docs: DataFrame, training: DataFrame, *, key: str = "doc_id"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, logs = shared.value
         row = TaskContext.get().partitionId() << 33
-        for batch in pieces(batches, "_text", 4 << 20):
+        for batch in _long_together(batches):
             token, kind, first = _read(batch.column(batch.schema.get_field_index("_text")))
             n = np.diff(first)
             of = np.repeat(np.arange(len(n)), n)
