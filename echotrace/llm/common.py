@@ -82,7 +82,7 @@ def unpacked(columns: list[str], *needed: str) -> list[Column]:
 
 def held_out(key: Column | str, modulus: int, rest: int) -> Column:
     """Whether the crc32 of the key as text leaves ``rest``; a null key counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")).cast("string").cast("binary")) % modulus == rest
+    return F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("")).cast("binary")) % modulus == rest
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
