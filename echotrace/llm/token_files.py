@@ -179,13 +179,18 @@ class WordEncoder:
         self.met.data[slots] = self.turn
         return slots[inverse]
 
-    def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts (null: none), and where each text's begin."""
+    def cut(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes, where pieces start and end, whether each is plain, and where each text begins."""
         data, starts, ends, first = word_spans(text)
         rows_at = np.append(starts, len(data))[first]
         plain = np.zeros(len(starts), bool)
         if self.cuts:
             data, starts, ends, plain = cut_words(data, starts, ends)
+        return data, starts, ends, plain, rows_at
+
+    def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none), and where each text's begin."""
+        data, starts, ends, plain, rows_at = self.cut(text)
         slots = self._slots(data, starts, ends, plain)
         length, id_n = ends - starts, self.id_n.data[slots]
         at = np.concatenate([np.zeros(1, np.int64), np.cumsum(id_n)])[np.searchsorted(starts, rows_at)]
