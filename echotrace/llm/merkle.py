@@ -229,8 +229,9 @@ def proofs(leaves: DataFrame, scratch: Scratch | None = None, *, block_levels: i
     ``widths`` (where it stands in the run of each level, and the run's size) and ``siblings``, all others of these runs from the lowest level on."""
     spark = leaves.sparkSession
     scratch = scratch or Scratch(spark, "merkle")
+    leaves = scratch.save(leaves, "hashed")  # a range partition reads its rows twice
     blocks = scratch.save(_blocks(numbered(leaves, scratch, "leaves", "lang", "doc_id", "leaf"), block_levels), "blocks")
-    scratch.drop("leaves")
+    scratch.drop("hashed", "leaves")
     span = FAN**block_levels
     nodes = blocks.select(F.col("lang").alias("group"), F.col("block").alias("at"), F.ceil(F.col("n") / span).alias("n"), "digest")
     tops, runs = climb(nodes, scratch, "blocks")

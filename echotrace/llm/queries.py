@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "token_files", "language_model", "mixing", "chat", "url_rules", "quality", "spotsigs", "language", "shingle_join", "merkle", "packing"]
+MODULES = ["decontaminate", "token_files", "language_model", "mixing", "chat", "url_rules", "quality", "spotsigs", "language", "shingle_join", "hard_negatives", "merkle", "packing"]
 
 
 def _all(attribute: str) -> dict:
