@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 import warnings
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: texts that a summary shows
@@ -25,9 +25,11 @@ SPACE = r"(?U)[\s\x1c-\x1f]"  # white space as Python's patterns have it
 
 @lru_cache
 def _folding() -> str:
-    """A pattern for the characters that case folding changes other than lower case does."""
-    odd = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if c.casefold() != c.lower()]
-    return "[" + "".join(rf"\x{{{ord(c):x}}}" for c in odd) + "]"
+    """A pattern for the characters that case folding changes other than lower case does, as ranges."""
+    odd = [k for k in (*range(0xD800), *range(0xE000, 0x110000)) if chr(k).casefold() != chr(k).lower()]
+    starts = [k for n, k in enumerate(odd) if not n or odd[n - 1] != k - 1]
+    ends = [k for n, k in enumerate(odd) if n + 1 == len(odd) or odd[n + 1] != k + 1]
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
 
 
 def strip(text: Column) -> Column:
@@ -40,15 +42,38 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
 
 
-def folded(text: Column) -> Column:
-    """Case-folded; only texts with characters that lower case doesn't fold are sent to Python."""
-
+def _casefold(text: Column) -> Column:
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else t.casefold())
 
-    odd = text.rlike(_folding())
-    return F.when(odd, fold(F.when(odd, text))).otherwise(F.lower(text))
+    return fold(text)
+
+
+def _folds_oddly(text: Column) -> Column:
+    """Whether lower case isn't all that case folding does; ASCII texts are told by their sizes alone."""
+    return (F.octet_length(text) > F.char_length(text)) & text.rlike(_folding())
+
+
+def folded(text: Column) -> Column:
+    """Case-folded; only texts with characters that lower case doesn't fold are sent to Python.  For columns that are used once; see with_folded()."""
+    odd = _folds_oddly(text)
+    return F.when(odd, _casefold(F.when(odd, text))).otherwise(F.lower(text))
+
+
+def once(rows: DataFrame, **made: Column) -> DataFrame:
+    """With new columns, as rows of an inlined array of one: what uses them stays above, instead of repeating what they are made of."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
+def with_folded(rows: DataFrame, text: str, name: str, holding: list[str] | None = None) -> DataFrame:
+    """With ``name``, the case-folded text, made once (null: empty).  Given words ``holding``, texts whose lower case lacks one go first, but for those that fold otherwise."""
+    plain = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = once(rows, _lower=F.lower(plain), _odd=_folds_oddly(plain))
+    if holding is not None:
+        rows = rows.filter(F.col("_odd") | reduce(lambda a, w: a & F.col("_lower").contains(w), holding, F.lit(True)))
+    rows = rows.withColumn("_special", _casefold(F.when(F.col("_odd"), plain)))
+    return once(rows, **{name: F.when(F.col("_odd"), F.col("_special")).otherwise(F.col("_lower"))}).drop("_lower", "_odd", "_special")
 
 
 def search_form(text: Column) -> Column:

@@ -200,11 +200,14 @@ def search_command(spark, d):
     return turns.select("conv_id", "turn", X.search_query(asked).alias("query"))
 
 
+#: what hybrid_search asks for
+ASKED, ASKED_VECTOR = "information about the", [1.0 if k % 3 == 0 else -0.5 for k in range(64)]
+
+
 def hybrid_search(spark, d):
-    """Documents with vectors, by keywords, vector and letters: the first hundred."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "n_chars").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    asked = [1.0 if k % 3 == 0 else -0.5 for k in range(64)]
-    found = search.ranked(docs.withColumn("text", F.substr("text", F.lit(1), F.lit(120))), "information about the", text="text", order="doc_id", recency="n_chars", fuzzy_from=0.65, vector="embedding", asked=asked, semantic_from=0.2, top=100)
+    """All documents, with vectors where they have one, by keywords, vector and letters."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "n_chars").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    found = search.ranked(docs, ASKED, text="text", order="doc_id", recency="n_chars", fuzzy_from=0.65, vector="embedding", asked=ASKED_VECTOR, semantic_from=0.2)
     return found.select("doc_id", "match_type", F.round("semantic", 9).alias("semantic"), F.round("fuzzy", 9).alias("fuzzy"), "hits", "occurrences")
 
 
@@ -213,7 +216,7 @@ def recent_last_n(spark, d):
 
 
 def ranked_search(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'")
+    docs = table(spark, d, "documents").select("doc_id", "text", "n_chars")
     return search.ranked(docs, "the by", text="text", order="doc_id", recency="n_chars").select("doc_id", "match_type", "hits", "occurrences")
 
 
@@ -373,7 +376,7 @@ select event_type group_id, count(*) messages, count(*) filter (event_id % 2 = 0
     "search_command": r"select conv_id, turn, case turn % 3 when 0 then regexp_replace(text, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') when 2 then '' end query from conversations",
     "recent_last_n": "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) n from conversations) z where n <= 2",
     "ranked_search": f"""
-with d as (select doc_id, lower({_NORMAL}) t from documents where lang = 'en')
+with d as (select doc_id, lower({_NORMAL}) t from documents)
 select doc_id, case when contains(t, 'the by') then 'phrase' else 'keywords' end match_type, 2::bigint hits, ((length(t) - length(replace(t, 'the', ''))) // 3 + (length(t) - length(replace(t, 'by', ''))) // 2)::bigint occurrences from d where contains(t, 'the') and contains(t, 'by')""",
     "group_status": 'select event_type, count(*) messages, count(distinct user_id) senders, count(*) filter (value > 100) large, count(*) filter (value <= 0) "none", count(distinct props) contents, min(event_id) first_id, max(event_id) last_id from events group by 1',
     "day_shard_counts": "select event_type, ts::date::varchar as day, count(*) messages from events group by all",

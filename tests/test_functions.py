@@ -1,11 +1,14 @@
 import datetime as dt
 import gzip
 import json
+import math
 import random
-from difflib import SequenceMatcher
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from echotrace.functions import fuzzy
 from echotrace.functions import similarity as S
 from echotrace.functions import text as X
 from echotrace.functions import urls
@@ -78,27 +81,71 @@ def test_search(spark):
     assert (r["id"], r["found"]) == (0, 2) and search.ranked(rows, "宠物", text="text", order="id", recency="ts", top=1).count() == 1
 
 
-def test_likest_stretch_equals_a_plain_loop():
-    draw = random.Random(3)
-    for _ in range(300):
-        a, b = ("".join(draw.choice("abcd") for _ in range(draw.randint(0, n))) for n in (8, 30))
-        short, long = sorted((a, b), key=len)
-        want = 0.0
-        if short:
-            want = 1.0 if short in long else max((SequenceMatcher(None, short, long[max(m.b - m.a, 0) :][: len(short)]).ratio() for m in SequenceMatcher(None, short, long).get_matching_blocks()), default=0.0)
-        assert search.likest_stretch(a, b) == (1.0 if want >= 0.995 else want) if len(a) <= len(b) else True
-
-
-def test_hybrid_search(spark):
-    found = catalogue.hybrid_search(spark, "/root/testdata/sf0.001").collect()
-    docs = {r["doc_id"]: " ".join(r["text"][:120].casefold().split()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if (r["text"] or "").strip()}
-    asked = "information about the"
-    for r in found:
-        text = docs[r["doc_id"]]
-        assert r["hits"] == sum(w in text for w in asked.split()) and r["fuzzy"] in (0.0, round(search.likest_stretch(asked.replace(" ", ""), text.replace(" ", "")), 9))
-        assert r["match_type"] == ("phrase" if asked in text else "keywords" if r["hits"] == 3 else "semantic" if r["semantic"] >= 0.2 else "fuzzy")
-    keys = [(r["match_type"] == "phrase", r["hits"] == 3, r["semantic"], r["fuzzy"]) for r in found]
-    assert found and keys == sorted(keys, reverse=True)
+def least_edits(asked, text):
+    """Of any stretch of the text, by whole columns."""
+    column = list(range(len(asked) + 1))
+    best = column[-1]
+    for c in text:
+        new = [0]
+        for k, a in enumerate(asked):
+            new.append(min(column[k + 1] + 1, new[k] + 1, column[k] + (a != c)))
+        column, best = new, min(best, new[-1])
+    return best
+
+
+@pytest.mark.parametrize("n", [1, 3, 10, 63, 64, 65, 130])
+def test_letters_equal_whole_columns(n):
+    draw = random.Random(n)
+    asked = "".join(draw.choice("ab猫") for _ in range(n))
+    texts = ["", asked, f"x{asked}y", *("".join(draw.choice("ab猫d😀") for _ in range(draw.randint(0, 200))) for _ in range(60))]
+    whole = [t for t in texts if len(t) >= n]
+    assert fuzzy.fewest_edits(asked, whole).tolist() == [least_edits(asked, t) for t in whole]
+    short = [(1 - least_edits(t, asked) / len(t)) if t else 0.0 for t in texts if len(t) < n]
+    assert np.allclose(fuzzy.likeness(asked, texts), [1 - least_edits(asked, t) / n if len(t) >= n else short.pop(0) for t in texts])
+    assert fuzzy.likeness("", texts).max() == 0
+
+
+def brute_search(docs, asked, vector, fuzzy_from, semantic_from):
+    """What a search has to find, row by row."""
+    out, words = [], asked.casefold().split()
+    for doc_id, text, recency, own in docs:
+        plain = (text or "").casefold()
+        if not plain.strip():
+            continue
+        near = 0.0
+        if own is not None and len(own) == len(vector):
+            near = sum(a * b for a, b in zip(own, vector)) / (math.sqrt(sum(a * a for a in own)) * math.sqrt(sum(b * b for b in vector)) + 1e-9)
+        near = min(max(near, 0.0), 1.0)
+        short, long = sorted(("".join(asked.casefold().split()), "".join(plain.split())), key=len)
+        like = 1 - least_edits(short, long) / len(short)
+        hits = sum(w in plain for w in words)
+        squeezed = " ".join(plain.split())
+        kind = "phrase" if hits == len(words) and asked in squeezed else "keywords" if hits == len(words) else "semantic" if near >= semantic_from else "fuzzy" if like >= fuzzy_from else None
+        if kind:
+            times = sum(plain.count(w) for w in words)
+            out.append(((kind == "phrase", hits == len(words), near, like, hits, times, recency), (doc_id, kind, round(near, 9), round(like, 9), hits, times)))
+    return out
+
+
+def test_hybrid_search_finds_all(spark, tmp_path):
+    base = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{base}/documents.parquet").filter("doc_id % 3 = 0")
+    odd = spark.createDataFrame([(10**6, "INFORMATİON ABOUT THE ſea", "en", "s", 1), (10**6 + 1, None, "en", "s", 1), (10**6 + 2, " \n ", "en", "s", 1), (10**6 + 3, "informtion about the", "en", "s", 1), (10**6 + 4, "The\tabout  INFORMATION", "en", "s", 1), (10**6 + 5, "z", "en", "s", 1), (10**6 + 6, "INFORMATION\u3000about  the ﬁsh", "en", "s", 1)], docs.schema)
+    docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{base}/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    vectors = {r.vec_id: [float(x) for x in r.embedding] for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()}
+    rows = [(r.doc_id, r.text, float(r.n_chars), vectors.get(r.doc_id)) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    want = brute_search(rows, catalogue.ASKED, catalogue.ASKED_VECTOR, 0.65, 0.2)
+    found = catalogue.hybrid_search(spark, str(tmp_path)).collect()
+    assert {w[1][1] for w in want} == {"phrase", "keywords", "semantic", "fuzzy"}
+    assert sorted(tuple(r) for r in found) == sorted(w[1] for w in want)
+    place = {w[1][0]: (*w[0][:2], round(w[0][2], 6), *w[0][3:]) for w in want}
+    assert [place[r.doc_id] for r in found] == sorted(place.values(), reverse=True)
+
+
+def test_ranked_search_folds_once(spark):
+    plan = catalogue.ranked_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("{1e9e}-") <= 1 and plan.count("ArrowEvalPython [") <= 1
 
 
 def test_verdicts_and_nulls(spark):
