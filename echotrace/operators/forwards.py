@@ -75,11 +75,11 @@ def known_forwards(history: DataFrame, *, group: str, order: str, sender_text: b
     return usable.select(group, "forward_id", *[own.get(c, F.col(f"m.{c}")).alias(c) for c in columns])
 
 
-def forward_matches(messages: DataFrame, *, group: str, order: str) -> DataFrame:
-    """(order, matched_id, match_type): the earliest earlier bundle of the group with the same id, content or senders' texts."""
-    return any_key_match(messages, group=group, keys=KEYS, order=order)
+def forward_matches(messages: DataFrame, history: DataFrame | None = None, *, group: str, order: str, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
+    """(order, matched_id, match_type): the earliest earlier bundle of the group within the retention with the same id, content or senders' texts."""
+    return any_key_match(messages, history, group=group, keys=KEYS, order=order, ts=ts, retention_s=retention_s)
 
 
-def senders_by_forward(messages: DataFrame, *, group: str, order: str, sender: str) -> DataFrame:
-    """(order, unique_senders) over bundles that share any of the three keys."""
-    return senders_by_any_key(messages, group=group, keys=KEYS, order=order, sender=sender)
+def senders_by_forward(messages: DataFrame, history: DataFrame | None = None, *, group: str, order: str, sender: str, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
+    """(order, unique_senders) over bundles within the retention that share any of the three keys."""
+    return senders_by_any_key(messages, history, group=group, keys=KEYS, order=order, sender=sender, ts=ts, retention_s=retention_s)

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echotrace.operators.sliding import SECOND, meet, moment, sender_counts, with_history
+from echotrace.shared import saved
+
 DAY = 86_400
-SECOND = 1_000_000  # microseconds
 
 
 def verdict(matched: Column, same_sender: Column, senders: Column, too_soon: Column, min_senders: int, judged: Column | None = None) -> Column:
@@ -82,33 +84,32 @@ def equal_groups(messages: DataFrame, *, key: list[str], sender: str, order: str
     return messages.groupBy(*key).agg(F.count("*").alias("times"), F.countDistinct(sender).alias("senders"), F.min(order).alias("first_id")).filter("times > 1")
 
 
-def _some(c: Column) -> Column:
-    return c.isNotNull() & (c.cast("string") != "")
+def _under_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each key that a message has: _kind is the key's place among ``keys``."""
+    each = F.filter(F.array(*[F.struct(F.lit(n).alias("_kind"), F.col(k).cast("string").alias("_key")) for n, k in enumerate(keys)]), lambda x: x["_key"] != "")
+    return rows.select("_g", "_at", "_id", *[c for c in ("_sender", "_now") if c in rows.columns], F.inline(each))
 
 
-def any_key_match(messages: DataFrame, *, group: str, keys: list[str], order: str) -> DataFrame:
-    """(order, matched_id, match_type): the earliest earlier row that shares any key, and the first key, in their order, that it shares.
+def any_key_match(messages: DataFrame, history: DataFrame | None = None, *, group: str, keys: list[str], order: str, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
+    """(order, matched_id, match_type): the earliest earlier row within the retention that shares any key, and the first key, in their order, that it shares.
 
-    For each key the first row of its value, by one window, in place of an OR of equalities, which would compare all rows of a group.  Rows
-    without a value are dealt by their own place: they don't meet."""
-    lone = lambda k: F.when(~_some(F.col(k)), F.col(order))
-    first = {k: F.when(_some(F.col(k)), F.min(order).over(Window.partitionBy(group, k, lone(k)))) for k in keys}
-    hits = [F.when(first[k] < F.col(order), F.struct(first[k].alias("matched_id"), F.lit(rank).alias("rank"))) for rank, k in enumerate(keys)]
-    best = messages.select(order, F.array_min(F.array_compact(F.array(*hits))).alias("hit")).filter("hit is not null")
-    return best.select(order, F.col("hit.matched_id").alias("matched_id"), F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("hit.rank") + 1).alias("match_type"))
+    Rows of ``history`` are matched with, but match nothing themselves.  ``order`` is a whole number; null and empty keys match nothing; see operators.sliding."""
+    columns = [F.col(group).alias("_g"), moment(ts, order).alias("_at"), F.col(order).cast("long").alias("_id"), *[F.col(k) for k in keys]]
+    rows = saved(_under_keys(with_history(messages, history, columns), keys), "keys")
+    met = meet(rows.filter("_now").drop("_now"), rows.drop("_now"), retention_s=retention_s, senders=False).filter("first_id is not null")
+    best = met.groupBy("_id").agg(F.min(F.struct("first_at", "first_id", "_kind")).alias("hit"))
+    kind = messages.schema[order].dataType
+    return best.select(F.col("_id").cast(kind).alias(order), F.col("hit.first_id").cast(kind).alias("matched_id"), F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("hit._kind") + 1).alias("match_type"))
 
 
-def senders_by_any_key(messages: DataFrame, *, group: str, keys: list[str], order: str, sender: str) -> DataFrame:
-    """(order, unique_senders): distinct senders, empty ones left out, of the rows at or before each one that share any key with it.
+def senders_by_any_key(messages: DataFrame, history: DataFrame | None = None, *, group: str, keys: list[str], order: str, sender: str, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
+    """(order, unique_senders): distinct senders, empty ones left out, of the rows within the retention, at or before each one, that share any key with it.
 
-    A value's senders are told by their first row of it: one row a (value, sender).  A row meets these, not the other rows of its keys."""
-    met = None
-    for k in keys:
-        rows = messages.filter(_some(F.col(k)))
-        firsts = rows.filter(_some(F.col(sender))).groupBy(group, k, F.col(sender).alias("_sender")).agg(F.min(order).alias("_first"))
-        hit = rows.select(group, k, order).join(firsts, [group, k]).filter(F.col("_first") <= F.col(order)).select(order, "_sender")
-        met = hit if met is None else met.unionByName(hit)
-    counts = met.distinct().groupBy(order).agg(F.count("*").alias("unique_senders"))
+    A row's senders are bitmaps, one a key; no sender or row is joined with a row.  Rows of ``history`` count, but have no counts themselves."""
+    columns = [F.col(group).alias("_g"), moment(ts, order).alias("_at"), F.col(order).cast("long").alias("_id"), F.col(sender).cast("string").alias("_sender"), *[F.col(k) for k in keys]]
+    rows = saved(_under_keys(with_history(messages, history, columns), keys), "keys")
+    met = meet(rows.filter("_now").drop("_now", "_sender"), rows.drop("_now"), retention_s=retention_s, senders=True)
+    counts = sender_counts(met, "_id").withColumn(order, F.col("_id").cast(messages.schema[order].dataType)).drop("_id")
     return messages.select(order).join(counts, order, "left").fillna(0, ["unique_senders"])
 
 

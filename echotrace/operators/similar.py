@@ -1,8 +1,10 @@
-"""Best earlier matches by vector or by perceptual hash, within a group.
+"""Best earlier matches by vector or by perceptual hash, within a group and a retention.
 
-All pairs of a group are asked for, so they are compared in blocks: a group's rows are dealt by a hash into blocks of about ``BLOCK`` rows, each
-pair of blocks is one Arrow batch of bounded size, and only what may win leaves it.  Hashes that must be near to match go by
-bands instead where that leaves few pairs."""
+All pairs of a group that the retention allows are asked for, so they are compared in blocks: a group's time is cut into spans of a retention, a
+span's rows are dealt by a hash into blocks of about ``BLOCK`` rows, and each pair of blocks of the same or of neighbouring spans is one Arrow batch of
+bounded size; only what may win leaves it.  Stored rows have blocks of their own, and two of these never meet: a new batch is compared
+with itself and with what is stored.  Without a retention a group is one span.  Hashes that must be near to match go by bands instead
+where that leaves few pairs."""
 
 from __future__ import annotations
 
@@ -10,28 +12,41 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrace.functions.similarity import EPSILON
+from echotrace.operators.sliding import SECOND, moment, with_history
 
 BLOCK = 2048
 
 
-def block_pairs(rows: DataFrame, group: str, by: str, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *, size: int = BLOCK) -> DataFrame:
-    """``kernel(left, right)`` of every pair of blocks of a group, also of a block and itself; both orders of two blocks are left to the kernel."""
-    blocks = rows.groupBy(F.col(group).alias("_group")).agg(F.ceil(F.count("*") / size).cast("int").alias("_blocks"))
-    own = F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")
-    dealt = rows.join(blocks, F.col(group).eqNullSafe(F.col("_group"))).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumns({"_x": F.least("_own", "_other"), "_y": F.greatest("_own", "_other")}).drop("_other", "_blocks")
+def blocks_that_meet(rows: DataFrame, by: str, *, size: int = BLOCK, window: int | None = None) -> DataFrame:
+    """A row (_g, _at, _now, ...) for each pair of blocks (_x, _y) that it is part of; _left: of the first block; a block meets itself once."""
+    span = F.floor(F.col("_at") / window) if window is not None else F.lit(0).cast("long")
+    rows = rows.withColumn("_span", span)
+    sizes = rows.groupBy("_g", "_span", "_now").agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
+    own = sizes.select(F.col("_g").alias("_og"), F.col("_span").alias("_os"), F.col("_now").alias("_on"), F.col("_n").alias("_own"))
+    rows = rows.join(own, F.col("_g").eqNullSafe(F.col("_og")) & (F.col("_span") == F.col("_os")) & (F.col("_now") == F.col("_on"))).drop("_og", "_os", "_on")
+    near = sizes.select(F.col("_g").alias("_og"), F.explode(F.sequence(F.col("_span") - 1, F.col("_span") + 1)).alias("_os"), F.col("_span").alias("_other"), F.col("_now").alias("_on"), F.col("_n").alias("_others"))
+    met = rows.join(near, F.col("_g").eqNullSafe(F.col("_og")) & (F.col("_span") == F.col("_os")) & (F.col("_now") | F.col("_on")))
+    met = met.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_others") - 1)))
+    name = lambda span, now, k: F.concat_ws("/", span, now.cast("string"), k)
+    mine, other = name(F.col("_span"), F.col("_now"), F.pmod(F.xxhash64(by), F.col("_own"))), name(F.col("_other"), F.col("_on"), F.col("_k"))
+    return met.withColumns({"_x": F.least(mine, other), "_y": F.greatest(mine, other), "_left": mine <= other}).drop("_own", "_og", "_os", "_other", "_on", "_others", "_k", "_span")
+
+
+def block_pairs(rows: DataFrame, by: str, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *, size: int = BLOCK, window: int | None = None) -> DataFrame:
+    """``kernel(left, right)`` of every pair of blocks that meet, also of a block and itself; both orders of two blocks are left to the kernel."""
 
     def meet(table: pa.Table) -> pa.Table:
-        x, own = table.column("_x")[0], table.column("_own").to_numpy()
-        first = pa.array(own == x.as_py())
-        left = table.filter(first)
-        return kernel(left, left if table.column("_y")[0] == x else table.filter(pa.array(own != x.as_py())))
+        left = table.filter(table.column("_left"))
+        if table.column("_x")[0] == table.column("_y")[0]:
+            return kernel(left, left)
+        return kernel(left, table.filter(pa.compute.invert(table.column("_left"))))
 
-    return dealt.groupBy("_group", "_x", "_y").applyInArrow(meet, schema)
+    return blocks_that_meet(rows, by, size=size, window=window).groupBy("_g", "_x", "_y").applyInArrow(meet, schema)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -52,68 +67,98 @@ def _cosines(a: pa.Table, b: pa.Table, digits: int) -> np.ndarray:
     return np.nan_to_num(out, nan=0.0)
 
 
-def _vectors(rows: DataFrame, group: str | None, order: str, vector: str, *more: str) -> DataFrame:
+def _rows(messages: DataFrame, history: DataFrame | None, group: str | None, order: str, ts: str | None, *more: Column) -> DataFrame:
+    return with_history(messages, history, [(F.col(group) if group else F.lit(0)).alias("_g"), (moment(ts, order) if ts else F.lit(0).cast("long")).alias("_at"), F.col(order).cast("long").alias("_id"), *more])
+
+
+def _vectors(messages: DataFrame, history: DataFrame | None, group: str | None, order: str, ts: str | None, vector: str, *more: str) -> DataFrame:
     own = F.col(vector).cast("array<double>")
-    return rows.select((F.col(group) if group else F.lit(0)).alias("_g"), F.col(order).cast("long").alias("_id"), own.alias("_vector"), F.coalesce(F.size(own), F.lit(0)).alias("_size"), *[F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate(more)])
+    return _rows(messages, history, group, order, ts, own.alias("_vector"), F.coalesce(F.size(own), F.lit(0)).alias("_size"), *[F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate(more)])
+
 
+def _window(ts: str | None, retention_s: int | None) -> int | None:
+    if retention_s is not None and ts is None:
+        raise ValueError("a retention needs the time of rows")
+    return None if retention_s is None else retention_s * SECOND
 
-def _best(scores: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows a: their best score among the b before them, above 0, and the least id that has it."""
-    open_ = np.where(b[None] < a[:, None], scores, 0.0)
-    top = open_.max(1, initial=0.0)
-    least = np.where(open_ == top[:, None], b[None], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
-    keep = top > 0
-    return a[keep], least[keep], top[keep]
 
+def _places(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The places of both tables' rows in order of time, then id, from 0."""
+    at, ids = (np.concatenate([t.column(c).to_numpy() for t in (a, b)]) for c in ("_at", "_id"))
+    place = np.empty(len(ids), np.int64)
+    place[np.lexsort((ids, at))] = np.arange(len(ids))
+    return place[: a.num_rows], place[a.num_rows :]
 
-def _best_of(pairs: DataFrame, order: str, threshold: float) -> DataFrame:
-    best = pairs.groupBy("id").agg(F.max(F.struct("s", (-F.col("m")).alias("back"))).alias("best"))
-    return best.select(F.col("id").alias(order), (-F.col("best.back")).alias("matched_id"), F.col("best.s").alias("similarity"), (F.col("best.s") >= threshold).alias("matched"))
 
+def _open(a: pa.Table, b: pa.Table, window: int | None) -> np.ndarray:
+    """Whether a row of a asks, and a row of b is less than the window older."""
+    asks = a.column("_now").to_numpy()[:, None]
+    if window is None:
+        return np.broadcast_to(asks, (a.num_rows, b.num_rows))
+    return asks & (b.column("_at").to_numpy()[None] > a.column("_at").to_numpy()[:, None] - window)
 
-def _each_way(score: Callable[[pa.Table, pa.Table], np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The best earlier row of each row of both blocks."""
+
+def _best_of(pairs: DataFrame, messages: DataFrame, order: str, threshold: float) -> DataFrame:
+    kind = messages.schema[order].dataType
+    best = pairs.groupBy("id").agg(F.max(F.struct("s", (-F.col("at")).alias("back"), (-F.col("m")).alias("last"))).alias("best"))
+    return best.select(F.col("id").cast(kind).alias(order), (-F.col("best.last")).cast(kind).alias("matched_id"), F.col("best.s").alias("similarity"), (F.col("best.s") >= threshold).alias("matched"))
+
+
+def _each_way(score: Callable[[pa.Table, pa.Table], np.ndarray], window: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best earlier row, above 0, of each asking row of both blocks; of equal ones the earliest."""
 
     def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
-        s, ids = score(a, b), [t.column("_id").to_numpy() for t in (a, b)]
-        found = [_best(s, *ids)] if a is b else [_best(s, *ids), _best(s.T, *ids[::-1])]
-        return pa.table({"id": pa.array(np.concatenate([x[0] for x in found])), "m": pa.array(np.concatenate([x[1] for x in found])), "s": pa.array(np.concatenate([x[2] for x in found]))})
+        s, (x, y), out = score(a, b), _places(a, b), []
+        if a is b:
+            y = x
+        for scores, here, there, p, q in ((s, a, b, x, y), (s.T, b, a, y, x))[: 1 if a is b else 2]:
+            scores = np.where((q[None] < p[:, None]) & _open(here, there, window), scores, 0.0)
+            top = scores.max(1, initial=0.0)
+            keep = np.flatnonzero(top > 0)
+            best = np.where(scores[keep] == top[keep, None], q[None], np.iinfo(np.int64).max).argmin(1) if len(keep) else keep
+            out.append(pa.table({"id": here.column("_id").take(pa.array(keep)), "m": there.column("_id").take(pa.array(best)), "at": there.column("_at").take(pa.array(best)), "s": pa.array(top[keep])}))
+        return pa.concat_tables(out)
 
     return kernel
 
 
-def _senders_each_way(near: Callable[[pa.Table, pa.Table], np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """(id, sender) of both blocks: the senders of near rows at or before each row; a sender is sent once for a row."""
+def _senders_each_way(near: Callable[[pa.Table, pa.Table], np.ndarray], window: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """(id, sender) of both blocks: the senders of near rows at or before each asking row; a sender is sent once for a row."""
 
     def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
-        hits, ids, out = near(a, b), [t.column("_id").to_numpy() for t in (a, b)], []
-        for h, x, y, t in ((hits, *ids, b), (hits.T, *ids[::-1], a))[: 1 if a is b else 2]:
-            names = t.column("_0").combine_chunks().dictionary_encode()
+        hits, (x, y), out = near(a, b), _places(a, b), []
+        if a is b:
+            y = x
+        for h, here, there, p, q in ((hits, a, b, x, y), (hits.T, b, a, y, x))[: 1 if a is b else 2]:
+            names = there.column("_0").combine_chunks().dictionary_encode()
             codes = names.indices.fill_null(-1).to_numpy()
-            i, j = np.nonzero(h & (y[None] <= x[:, None]))
+            i, j = np.nonzero(h & (q[None] <= p[:, None]) & _open(here, there, window))
             pair = np.unique(np.stack([i, codes[j]]), axis=1)
             pair = pair[:, pair[1] >= 0]
-            out.append(pa.table({"id": pa.array(x[pair[0]], pa.int64()), "sender": names.dictionary.take(pa.array(pair[1], pa.int64())).cast(pa.string())}))
+            out.append(pa.table({"id": here.column("_id").take(pa.array(pair[0], pa.int64())), "sender": names.dictionary.take(pa.array(pair[1], pa.int64())).cast(pa.string())}))
         return pa.concat_tables(out)
 
     return kernel
 
 
-def _count_senders(pairs: DataFrame, rows: DataFrame, order: str) -> DataFrame:
-    counts = pairs.filter("sender <> ''").distinct().groupBy("id").agg(F.count("*").alias("unique_senders"))
-    return rows.select(F.col(order).cast("long").alias("id")).join(counts, "id", "left").fillna(0, ["unique_senders"]).withColumnRenamed("id", order)
+def _count_senders(pairs: DataFrame, messages: DataFrame, order: str) -> DataFrame:
+    counts = pairs.filter("sender <> ''").distinct().groupBy(F.col("id").cast(messages.schema[order].dataType).alias(order)).agg(F.count("*").alias("unique_senders"))
+    return messages.select(order).join(counts, order, "left").fillna(0, ["unique_senders"])
 
 
-def best_cosine(rows: DataFrame, *, order: str, vector: str, group: str | None = None, threshold: float, digits: int = 9, size: int = BLOCK) -> DataFrame:
-    """(order, matched_id, similarity, matched): the most similar earlier row of the group; ties go to the earliest, and nothing at or under 0 wins.
-    Similarities are rounded before they are ranked; null and empty vectors match nothing."""
-    return _best_of(block_pairs(_vectors(rows, group, order, vector), "_g", "_id", _each_way(lambda a, b: _cosines(a, b, digits)), "id long, m long, s double", size=size), order, threshold)
+def best_cosine(messages: DataFrame, history: DataFrame | None = None, *, order: str, vector: str, group: str | None = None, threshold: float, digits: int = 9, size: int = BLOCK, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
+    """(order, matched_id, similarity, matched): the most similar earlier row of the group within the retention; ties go to the earliest, and nothing at or
+    under 0 wins.  Similarities are rounded before they are ranked; null and empty vectors match nothing.  Rows of ``history`` are matched with, but match nothing themselves."""
+    window = _window(ts, retention_s)
+    rows = _vectors(messages, history, group, order, ts, vector)
+    return _best_of(block_pairs(rows, "_id", _each_way(lambda a, b: _cosines(a, b, digits), window), "id long, m long, at long, s double", size=size, window=window), messages, order, threshold)
 
 
-def senders_by_cosine(rows: DataFrame, *, order: str, vector: str, sender: str, group: str | None = None, threshold: float, digits: int = 9, size: int = BLOCK) -> DataFrame:
-    """(order, unique_senders): distinct senders, null and empty ones left out, of rows at or before this one that are similar enough, itself included."""
-    pairs = block_pairs(_vectors(rows, group, order, vector, sender), "_g", "_id", _senders_each_way(lambda a, b: _cosines(a, b, digits) >= threshold), "id long, sender string", size=size)
-    return _count_senders(pairs, rows, order)
+def senders_by_cosine(messages: DataFrame, history: DataFrame | None = None, *, order: str, vector: str, sender: str, group: str | None = None, threshold: float, digits: int = 9, size: int = BLOCK, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
+    """(order, unique_senders): distinct senders, null and empty ones left out, of rows at or before this one, within the retention, that are similar enough, itself included."""
+    window = _window(ts, retention_s)
+    rows = _vectors(messages, history, group, order, ts, vector, sender)
+    return _count_senders(block_pairs(rows, "_id", _senders_each_way(lambda a, b: _cosines(a, b, digits) >= threshold, window), "id long, sender string", size=size, window=window), messages, order)
 
 
 def bits_of(hexadecimal: Column) -> Column:
@@ -128,13 +173,17 @@ def _distances(a: pa.Table, b: pa.Table) -> np.ndarray:
     for n in np.intersect1d(*sizes):
         rows = [np.flatnonzero(s == n) for s in sizes]
         if n > 0:
-            x, y = (np.frombuffer(b"".join(t.column("_bits").take(pa.array(r)).to_pylist()), np.uint8).reshape(len(r), n) for t, r in zip((a, b), rows, strict=True))
-            out[np.ix_(*rows)] = sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(int) for k in range(n))
+            word = np.dtype("u8" if n % 8 == 0 else "u1")
+            x, y = (np.frombuffer(b"".join(t.column("_bits").take(pa.array(r)).to_pylist()), word).reshape(len(r), -1) for t, r in zip((a, b), rows, strict=True))
+            total = np.zeros((len(x), len(y)), np.int64)
+            for k in range(x.shape[1]):
+                total += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+            out[np.ix_(*rows)] = total
     return out
 
 
-def _hashes(rows: DataFrame, group: str | None, order: str, bits: str, *more: str) -> DataFrame:
-    return rows.filter(F.col(bits).isNotNull()).select((F.col(group) if group else F.lit(0)).alias("_g"), F.col(order).cast("long").alias("_id"), F.col(bits).alias("_bits"), F.octet_length(bits).alias("_size"), *[F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate(more)])
+def _hashes(messages: DataFrame, history: DataFrame | None, group: str | None, order: str, ts: str | None, bits: str, *more: str) -> DataFrame:
+    return _rows(messages, history, group, order, ts, F.col(bits).alias("_bits"), F.octet_length(bits).alias("_size"), *[F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate(more)]).filter("_bits is not null")
 
 
 def _alike(a: pa.Table, b: pa.Table) -> np.ndarray:
@@ -142,15 +191,18 @@ def _alike(a: pa.Table, b: pa.Table) -> np.ndarray:
     return np.where(d < 0, 0.0, 1 - d / (8.0 * np.maximum(a.column("_size").to_numpy(), 1))[:, None])
 
 
-def best_hash(rows: DataFrame, *, order: str, bits: str, group: str | None = None, threshold: float, size: int = BLOCK) -> DataFrame:
+def best_hash(messages: DataFrame, history: DataFrame | None = None, *, order: str, bits: str, group: str | None = None, threshold: float, size: int = BLOCK, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
     """As best_cosine, by the share of equal bits of binary hashes."""
-    return _best_of(block_pairs(_hashes(rows, group, order, bits), "_g", "_id", _each_way(_alike), "id long, m long, s double", size=size), order, threshold)
+    window = _window(ts, retention_s)
+    rows = _hashes(messages, history, group, order, ts, bits)
+    return _best_of(block_pairs(rows, "_id", _each_way(_alike, window), "id long, m long, at long, s double", size=size, window=window), messages, order, threshold)
 
 
-def senders_by_hash(rows: DataFrame, *, order: str, bits: str, sender: str, group: str | None = None, threshold: float, size: int = BLOCK) -> DataFrame:
+def senders_by_hash(messages: DataFrame, history: DataFrame | None = None, *, order: str, bits: str, sender: str, group: str | None = None, threshold: float, size: int = BLOCK, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
     """As senders_by_cosine, by the share of equal bits of binary hashes."""
-    pairs = block_pairs(_hashes(rows, group, order, bits, sender), "_g", "_id", _senders_each_way(lambda a, b: _alike(a, b) >= threshold), "id long, sender string", size=size)
-    return _count_senders(pairs, rows, order)
+    window = _window(ts, retention_s)
+    rows = _hashes(messages, history, group, order, ts, bits, sender)
+    return _count_senders(block_pairs(rows, "_id", _senders_each_way(lambda a, b: _alike(a, b) >= threshold, window), "id long, sender string", size=size, window=window), messages, order)
 
 
 def bands_for(width: int, most: int) -> int | None:
@@ -161,14 +213,16 @@ def bands_for(width: int, most: int) -> int | None:
     return n if bits >= 1 and n * (bits + 1) < 2.0**bits / 100 else None
 
 
-def near_hashes(rows: DataFrame, *, key: str, bits: str, width: int, most: int, group: str | None = None, size: int = BLOCK) -> DataFrame:
+def near_hashes(rows: DataFrame, *, key: str, bits: str, width: int, most: int, group: str | None = None, size: int = BLOCK, asking: str | None = None) -> DataFrame:
     """(g, a, b, distance) of all pairs a < b of binary hashes of a group (``width`` bits in whole bytes, the last ones unused) at most ``most``
-    bits apart; g is xxhash64 of the group.
+    bits apart; g is the group, xxhash64 of it unless it is a long.  Given ``asking``, only pairs of which one asks.
 
     Hashes are cut into bands of which one differs by a bit at most: one side sends its bands, the other also each with one bit turned.
     A pair counts in the first band that brings it together, so none comes twice."""
     n = bands_for(width, most)
-    own = _hashes(rows.withColumn("_hashed", F.xxhash64(group) if group else F.lit(0).cast("long")), "_hashed", key, bits)
+    hashed = F.lit(0).cast("long") if group is None else F.col(group) if rows.schema[group].dataType.simpleString() == "bigint" else F.xxhash64(group)
+    asks = F.lit(True) if asking is None else F.col(asking)
+    own = rows.filter(F.col(bits).isNotNull()).select(hashed.alias("_g"), F.lit(0).cast("long").alias("_at"), F.col(key).cast("long").alias("_id"), F.col(bits).alias("_bits"), F.octet_length(bits).alias("_size"), asks.alias("_now"))
     if n is None:
 
         def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -176,19 +230,20 @@ def near_hashes(rows: DataFrame, *, key: str, bits: str, width: int, most: int,
             i, j = np.nonzero((d >= 0) & (d <= most))
             x, y, d = ids[0][i], ids[1][j], d[i, j]
             keep = x < y if a is b else x != y
+            keep &= a.column("_now").to_numpy()[i] | b.column("_now").to_numpy()[j]
             x, y, d = x[keep], y[keep], d[keep]
-            return pa.table({"g": pa.array(np.full(len(x), a.column("_g")[0].as_py(), np.int64)), "a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y)), "distance": pa.array(d.astype(np.int64))})
+            return pa.table({"g": pa.array([a.column("_g")[0].as_py()] * len(x), pa.int64()), "a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y)), "distance": pa.array(d.astype(np.int64))})
 
-        return block_pairs(own, "_g", "_id", kernel, "g long, a long, b long, distance long", size=size)
+        return block_pairs(own, "_id", kernel, "g long, a long, b long, distance long", size=size)
     edges = [width * k // n for k in range(n + 1)]
     bit_text = F.array_join(F.transform(F.sequence(F.lit(1), F.col("_size")), lambda k: F.lpad(F.conv(F.hex(F.substring(F.col("_bits"), k, F.lit(1))), 16, 2), 8, "0")), "")
     bands = F.array(*[F.conv(F.substring(bit_text, F.lit(lo + 1), F.lit(hi - lo)), 2, 10).cast("long") for lo, hi in zip(edges, edges[1:])])
-    own = own.select("_g", "_id", "_size", bands.alias("bands"))
+    own = own.select("_g", "_id", "_size", "_now", bands.alias("bands"))
     turns = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(1 << t).cast("long") for t in range(hi - lo)]) for lo, hi in zip(edges, edges[1:])])
     asked = F.flatten(F.transform(F.arrays_zip(F.col("bands").alias("x"), turns.alias("m"), F.sequence(F.lit(0), F.lit(n - 1)).alias("k")), lambda z: F.transform(z["m"], lambda m: F.struct(z["k"].alias("k"), z["x"].bitwiseXOR(m).alias("x")))))
-    left = own.select("_g", "_size", F.col("_id").alias("a"), F.col("bands").alias("p"), F.posexplode("bands").alias("k", "x"))
-    right = own.select("_g", "_size", F.col("_id").alias("b"), F.col("bands").alias("q"), F.inline(asked).alias("k", "x"))
+    left = own.select("_g", "_size", F.col("_now").alias("_na"), F.col("_id").alias("a"), F.col("bands").alias("p"), F.posexplode("bands").alias("k", "x"))
+    right = own.select("_g", "_size", F.col("_now").alias("_nb"), F.col("_id").alias("b"), F.col("bands").alias("q"), F.inline(asked).alias("k", "x"))
     differ = F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    met = left.join(right, ["_g", "_size", "k", "x"]).filter("a < b").select("_g", "a", "b", "k", differ.alias("differ"))
+    met = left.join(right, ["_g", "_size", "k", "x"]).filter("a < b and (_na or _nb)").select("_g", "a", "b", "k", differ.alias("differ"))
     met = met.filter(F.array_position(F.transform("differ", lambda x: x <= 1), F.lit(True)) - 1 == F.col("k"))
     return met.select(F.col("_g").alias("g"), "a", "b", F.aggregate("differ", F.lit(0), lambda s, x: s + x).cast("long").alias("distance")).filter(F.col("distance") <= most)

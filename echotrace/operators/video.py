@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrace.functions.names import metadata_hash
-from echotrace.functions.similarity import FRAMES, frames_match
+from echotrace.functions.similarity import FRAMES, STRONG, STRONG_FRAMES, frames_match
 from echotrace.operators.similar import bits_of, near_hashes
+from echotrace.operators.sliding import meet, moment, sender_counts, with_history
+from echotrace.shared import saved
 
 # fixed values: the tiers of a match in their order, kinds of analysis, and sources that belong to the message itself
 TIERS = ("video_sha256", "video_frame_hash", "video_metadata")
@@ -68,62 +70,67 @@ def is_usable(videos: Column) -> Column:
     return F.coalesce(F.exists(videos, lambda v: F.coalesce(by(v), F.lit(False))), F.lit(False))
 
 
-def _each(messages: DataFrame, group: str, order: str, videos: str, *more: str) -> DataFrame:
-    return messages.select(F.col(group).alias("_g"), F.col(order).alias("_id"), F.explode(videos).alias("_v"), *[F.col(c).alias(f"_{c}") for c in more])
-
-
-def frame_links(messages: DataFrame, *, group: str, order: str, videos: str, threshold: float = 0.90) -> DataFrame:
-    """(_g, p, q): pairs of frame fingerprints (as their own key: frames and duration) of a group whose frames match.
-
-    Equal fingerprints are compared once for all their messages.  A mean at the threshold leaves some frame that is as near at least: frames of each
-    place are brought together by near_hashes, and pairs are then judged as a whole."""
-    each = _each(messages, group, order, videos).filter((F.size("_v.frame_hashes") == FRAMES) & (F.col("_v.duration_ms") > 0))
-    kinds = each.select("_g", F.col("_v.frame_hashes").alias("frames"), F.col("_v.duration_ms").alias("ms")).distinct().withColumn("key", F.xxhash64("frames", "ms"))
-    usable = F.transform("frames", bits_of)
-    parts = kinds.select("_g", "key", F.posexplode(usable).alias("at", "bits")).filter("bits is not null and octet_length(bits) = 32")
-    # every place is a group of its own; a hash that many keys share stands once
-    of = parts.select("_g", F.xxhash64(F.struct("_g", "at")).alias("g"), F.xxhash64("bits").alias("frame"), "bits", "key", F.struct("_g", "at").alias("place"))
-    places = of.select("place", "g", "bits", "frame").distinct()
-    near = near_hashes(places, key="frame", bits="bits", width=FRAME_BITS, most=int((1 - threshold) * FRAME_BITS + 1e-9), group="place")
-    both = near.select("g", "a", "b").union(near.select("g", "b", "a")).union(places.select("g", "frame", "frame"))
-    pairs = both.join(of.select("_g", "g", F.col("frame").alias("a"), F.col("key").alias("p")), ["g", "a"]).join(of.select("g", F.col("frame").alias("b"), F.col("key").alias("q")), ["g", "b"])
-    pairs = pairs.filter("p <= q").select("_g", "p", "q").distinct()
-    x = kinds.select("_g", F.col("key").alias("p"), F.col("frames").alias("f"), F.col("ms").alias("m"))
-    y = kinds.select("_g", F.col("key").alias("q"), F.col("frames").alias("h"), F.col("ms").alias("n"))
-    good = pairs.join(x, ["_g", "p"]).join(y, ["_g", "q"]).filter(frames_match(F.col("f"), F.col("h"), F.col("m"), F.col("n"), threshold)).select("_g", "p", "q")
-    return good.union(good.filter("p <> q").select("_g", "q", "p"))
-
-
-def _tier_keys(messages: DataFrame, group: str, order: str, videos: str, threshold: float, *more: str) -> tuple[DataFrame, DataFrame]:
-    """(tier, key) that current videos ask for and stored ones answer to.  By frames, a video asks for every fingerprint that matches its own."""
-    each = _each(messages, group, order, videos, *more)
-    columns = ["_g", "_id", *[f"_{c}" for c in more]]
-    key = lambda tier, c, when: each.filter(when & c.isNotNull() & (c.cast("string") != "")).select(*columns, F.lit(tier).alias("tier"), c.cast("string").alias("key"))
-    framed = each.filter((F.size("_v.frame_hashes") == FRAMES) & (F.col("_v.duration_ms") > 0)).withColumn("p", F.xxhash64("_v.frame_hashes", "_v.duration_ms"))
-    links = frame_links(messages, group=group, order=order, videos=videos, threshold=threshold)
-    always = F.lit(True)
-    stored = key(0, F.col("_v.sha256"), always).unionByName(framed.select(*columns, F.lit(1).alias("tier"), F.col("p").cast("string").alias("key"))).unionByName(key(2, F.col("_v.metadata_hash"), always))
-    asks = framed.join(links, ["_g", "p"]).select(*columns, F.lit(1).alias("tier"), F.col("q").cast("string").alias("key"))
-    current = key(0, F.col("_v.sha256"), always).unionByName(asks).unionByName(key(2, F.col("_v.metadata_hash"), F.col("_v.analysis") == "metadata"))
-    return current, stored
-
-
-def video_matches(messages: DataFrame, *, group: str, order: str, videos: str = "videos", threshold: float = 0.90) -> DataFrame:
-    """(order, matched_id, match_type): the earliest earlier message of the group with a video of the same file; else of matching frames; else of the
-    same metadata, where the current video is known by that alone.  One row a key answers, not all its messages."""
-    current, stored = _tier_keys(messages, group, order, videos, threshold)
-    first = stored.groupBy("_g", "tier", "key").agg(F.min("_id").alias("first"))
-    hits = current.join(first, ["_g", "tier", "key"]).filter(F.col("first") < F.col("_id")).groupBy("_id").agg(F.min(F.struct("tier", "first")).alias("hit"))
-    return hits.select(F.col("_id").alias(order), F.col("hit.first").alias("matched_id"), F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("hit.tier") + 1).alias("match_type"))
-
-
-def senders_by_video(messages: DataFrame, *, group: str, order: str, sender: str, videos: str = "videos", threshold: float = 0.90) -> DataFrame:
-    """(order, unique_senders): distinct senders, empty ones left out, of messages at or before each one that match by any tier."""
-    current, stored = _tier_keys(messages, group, order, videos, threshold, sender)
-    who = F.col(f"_{sender}")
-    firsts = stored.filter(who.isNotNull() & (who.cast("string") != "")).groupBy("_g", "tier", "key", who.alias("who")).agg(F.min("_id").alias("first"))
-    met = current.select("_g", "tier", "key", "_id").join(firsts, ["_g", "tier", "key"]).filter(F.col("first") <= F.col("_id")).select("_id", "who").distinct()
-    counts = met.groupBy(F.col("_id").alias(order)).agg(F.count("*").alias("unique_senders"))
+def _each(messages: DataFrame, history: DataFrame | None, group: str, order: str, videos: str, ts: str | None, sender: str | None) -> DataFrame:
+    """One row a video, written once: all that follows reads it several times."""
+    who = F.col(sender).cast("string") if sender else F.lit(None).cast("string")
+    rows = with_history(messages, history, [F.col(group).alias("_g"), moment(ts, order).alias("_at"), F.col(order).cast("long").alias("_id"), who.alias("_sender"), F.col(videos).alias("_videos")])
+    v = F.col("_v")
+    framed = F.coalesce((F.size(v["frame_hashes"]) == FRAMES) & (v["duration_ms"] > 0), F.lit(False))
+    each = rows.select("_g", "_at", "_id", "_sender", "_now", F.explode("_videos").alias("_v"))
+    return saved(each.select("_g", "_at", "_id", "_sender", "_now", v["sha256"].alias("sha"), v["metadata_hash"].alias("meta"), (v["analysis"] == "metadata").alias("by_meta"), F.when(framed, v["frame_hashes"]).alias("frames"), F.when(framed, v["duration_ms"]).alias("ms"), F.when(framed, F.xxhash64(v["frame_hashes"], v["duration_ms"])).alias("print")), "videos")
+
+
+def frame_links(each: DataFrame, *, threshold: float = 0.90) -> DataFrame:
+    """(_g, p, q): prints p of current rows, and all prints q of their group whose frames match; a print is told by its frames and duration.
+
+    Equal prints, and equal frames of a place, are compared once for all that have them.  Four of five frames must be strong, so of any two places
+    one is strong in every match: a print only looks for others at its two rarest places (its rarest, where one of its frames is unusable), and a frame that
+    all films share, black or a logo, brings no pair together."""
+    kinds = saved(each.filter("print is not null").groupBy("_g", F.col("print").alias("key")).agg(F.first("frames").alias("frames"), F.first("ms").alias("ms"), F.max("_now").alias("now")), "prints")
+    parts = kinds.select("_g", "key", "now", F.posexplode(F.transform("frames", bits_of)).alias("at", "bits")).filter("bits is not null and octet_length(bits) = 32")
+    # every place is a group of its own; a frame that many prints have stands once
+    parts = saved(parts.select("_g", F.xxhash64(F.struct("_g", "at")).alias("g"), F.xxhash64("bits").alias("frame"), "bits", "key", "now"), "frames")
+    places = parts.groupBy("g", "frame").agg(F.first("bits").alias("bits"), F.count("*").alias("n"), F.max("now").alias("now"))
+    near = near_hashes(places, key="frame", bits="bits", width=FRAME_BITS, most=int((1 - STRONG) * FRAME_BITS + 1e-9), group="g", asking="now")
+    same = places.select("g", F.col("frame").alias("a"), F.col("frame").alias("b"))
+    near = saved(near.select("g", "a", "b").unionByName(near.select("g", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same), "near-frames")
+    reach = near.join(places.select("g", F.col("frame").alias("b"), "n"), ["g", "b"]).groupBy("g", F.col("a").alias("frame")).agg(F.sum("n").alias("reach"))
+    current = parts.filter("now").join(reach, ["g", "frame"])
+    rarest = F.row_number().over(Window.partitionBy("_g", "key").orderBy("reach", "g"))
+    usable = F.count("*").over(Window.partitionBy("_g", "key"))
+    chosen = current.withColumns({"_rank": rarest, "_usable": usable}).filter(F.col("_rank") <= F.col("_usable") - (STRONG_FRAMES - 1)).select("_g", F.col("key").alias("p"), "g", F.col("frame").alias("a"))
+    pairs = chosen.join(near, ["g", "a"]).join(parts.select("g", F.col("frame").alias("b"), F.col("key").alias("q")), ["g", "b"]).select("_g", "p", "q").distinct()
+    known = kinds.dropDuplicates(["key"])
+    x = known.select(F.col("key").alias("p"), F.col("frames").alias("f"), F.col("ms").alias("m"))
+    y = known.select(F.col("key").alias("q"), F.col("frames").alias("h"), F.col("ms").alias("n"))
+    return pairs.join(x, "p").join(y, "q").filter(frames_match(F.col("f"), F.col("h"), F.col("m"), F.col("n"), threshold)).select("_g", "p", "q")
+
+
+def _asks_and_answers(each: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """What current videos ask for and all answer to, by tier.  By frames, a video asks for every print that matches its own."""
+    columns = ["_g", "_at", "_id", "_sender"]
+    tiers = [(0, F.col("sha")), (1, F.col("print").cast("string")), (2, F.col("meta"))]
+    keys = lambda of: F.inline(F.filter(F.array(*[F.struct(F.lit(t).alias("_kind"), c.alias("_key")) for t, c in of]), lambda x: x["_key"] != ""))
+    answers = each.select(*columns, keys(tiers))
+    now = each.filter("_now")
+    asks = now.select(*columns, keys([tiers[0], (2, F.when(F.col("by_meta"), F.col("meta")))]))
+    links = frame_links(each, threshold=threshold)
+    linked = now.filter("print is not null").join(links.withColumnRenamed("_g", "_of"), F.col("_g").eqNullSafe(F.col("_of")) & (F.col("print") == F.col("p")))
+    return asks.unionByName(linked.select(*columns, F.lit(1).alias("_kind"), F.col("q").cast("string").alias("_key"))).drop("_sender"), answers
+
+
+def video_matches(messages: DataFrame, history: DataFrame | None = None, *, group: str, order: str, videos: str = "videos", threshold: float = 0.90, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
+    """(order, matched_id, match_type): the earliest earlier message of the group, within the retention, with a video of the same file; else of matching
+    frames; else of the same metadata, where the current video is known by that alone.  Rows of ``history`` are matched with, but match nothing themselves."""
+    asks, answers = _asks_and_answers(_each(messages, history, group, order, videos, ts, None), threshold)
+    met = meet(asks, answers.drop("_sender"), retention_s=retention_s, senders=False).filter("first_id is not null")
+    best = met.groupBy("_id").agg(F.min(F.struct("_kind", "first_at", "first_id")).alias("hit"))
+    kind = messages.schema[order].dataType
+    return best.select(F.col("_id").cast(kind).alias(order), F.col("hit.first_id").cast(kind).alias("matched_id"), F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("hit._kind") + 1).alias("match_type"))
+
+
+def senders_by_video(messages: DataFrame, history: DataFrame | None = None, *, group: str, order: str, sender: str, videos: str = "videos", threshold: float = 0.90, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
+    """(order, unique_senders): distinct senders, empty ones left out, of messages within the retention, at or before each one, that match by any tier."""
+    asks, answers = _asks_and_answers(_each(messages, history, group, order, videos, ts, sender), threshold)
+    counts = sender_counts(meet(asks, answers, retention_s=retention_s, senders=True), "_id").withColumn(order, F.col("_id").cast(messages.schema[order].dataType)).drop("_id")
     return messages.select(order).join(counts, order, "left").fillna(0, ["unique_senders"])
-
-

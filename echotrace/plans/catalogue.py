@@ -81,9 +81,9 @@ def semantic_unique_senders(spark, d):
 
 
 def _hashes(spark, d):
-    bit = lambda x, k: F.when(F.element_at(x, k + 1) > F.element_at(x, k + 2), 1 << (62 - k)).otherwise(0).cast("bigint")
-    h = sum((bit(F.col("embedding"), k) for k in range(63)), F.lit(0).cast("bigint"))
-    return table(spark, d, "embeddings").select("vec_id", "label", similar.bits_of(F.lpad(F.hex(h), 16, "0")).alias("h"))
+    e = F.col("embedding")
+    bits = F.transform(F.sequence(F.lit(1), F.lit(63)), lambda k: F.when(F.element_at(e, k) > F.element_at(e, k + 1), "1").otherwise("0"))
+    return table(spark, d, "embeddings").select("vec_id", "label", similar.bits_of(F.lpad(F.conv(F.array_join(bits, ""), 2, 16), 16, "0")).alias("h"))
 
 
 def dhash_pairs(spark, d):
@@ -153,6 +153,44 @@ def routed(spark, d):
     return out.withColumn("embedding_content", routing.embedding_content(out))
 
 
+WEEK = 7 * DAY
+
+
+def forward_match_7d(spark, d):
+    events = table(spark, d, "events").select("event_id", "ts")
+    return forwards.forward_matches(_bundles(spark, d).join(events, "event_id"), group="event_type", order="event_id", ts="ts", retention_s=WEEK)
+
+
+def forward_senders_7d(spark, d):
+    events = table(spark, d, "events").select("event_id", "ts")
+    return forwards.senders_by_forward(_bundles(spark, d).join(events, "event_id"), group="event_type", order="event_id", sender="sender", ts="ts", retention_s=WEEK)
+
+
+def _hourly(rows):
+    """A message an hour."""
+    return rows.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("vec_id") * 3600))
+
+
+def semantic_match_7d(spark, d):
+    return similar.best_cosine(_hourly(table(spark, d, "embeddings")), order="vec_id", vector="embedding", threshold=0.45, ts="ts", retention_s=WEEK)
+
+
+def semantic_senders_7d(spark, d):
+    return similar.senders_by_cosine(_hourly(table(spark, d, "embeddings")), order="vec_id", vector="embedding", sender="label", threshold=0.30, ts="ts", retention_s=WEEK)
+
+
+def image_match_7d(spark, d):
+    return similar.best_hash(_hourly(_hashes(spark, d)), order="vec_id", bits="h", threshold=0.70, ts="ts", retention_s=WEEK)
+
+
+def video_match_7d(spark, d):
+    return video.video_matches(_hourly(_videos(spark, d)), group="label", order="vec_id", ts="ts", retention_s=WEEK)
+
+
+def video_senders_7d(spark, d):
+    return video.senders_by_video(_hourly(_videos(spark, d)), group="label", order="vec_id", sender="sender", ts="ts", retention_s=WEEK)
+
+
 def longest_run(spark, d):
     return repeats.longest_runs(table(spark, d, "events"), group="event_type", value="user_id", order=["ts", "event_id"])
 
@@ -178,9 +216,9 @@ def judge_contexts(spark, d):
 
 
 def never_seen_before(spark, d):
-    events = table(spark, d, "events").select("event_id", "event_type", "user_id", "ts")
+    events = table(spark, d, "events").select("event_id", "event_type", "user_id", "props", "ts")
     cut = F.lit("2024-01-20").cast("timestamp")
-    return repeats.never_seen_before(events.filter(F.col("ts") >= cut), events.filter(F.col("ts") < cut), key=["event_type", "user_id"]).select("event_id")
+    return repeats.never_seen_before(events.filter(F.col("ts") >= cut), events.filter(F.col("ts") < cut), key=["event_type", "user_id", "props"]).select("event_id")
 
 
 def store_status(spark, d):
@@ -334,6 +372,32 @@ h as (select a, arg_min(b, (t, b)) m, min(t) t from (select a, b, case when t0 t
 select a vec_id, m matched_id, ['video_sha256', 'video_frame_hash', 'video_metadata'][t + 1] match_type from h""",
     "video_unique_senders": f"""{_VIDEO_PAIRS}
 select a vec_id, count(distinct sender) filter (sender <> '' and (t0 or t1 or t2)) unique_senders from p group by a""",
+    "forward_match_7d": f"""
+with e as (select e.*, v.ts from ({_BUNDLES}) e join events v using (event_id)),
+p as (select a.event_id, b.event_id m, b.ts, case when a.forward_id = b.forward_id then 0 when a.forward_hash = b.forward_hash then 1 else 2 end r from e a join e b on a.event_type = b.event_type
+  and (a.forward_id = b.forward_id or a.forward_hash = b.forward_hash or (a.forward_text_hash = b.forward_text_hash and a.forward_text_hash <> '')) and (b.ts < a.ts or (b.ts = a.ts and b.event_id < a.event_id)) and b.ts > a.ts - interval '7' day),
+f as (select *, row_number() over (partition by event_id order by ts, m) n from p)
+select event_id, m matched_id, ['forward_id', 'forward_hash', 'forward_text_hash'][r + 1] match_type from f where n = 1""",
+    "forward_senders_7d": f"""
+with e as (select e.*, v.ts from ({_BUNDLES}) e join events v using (event_id))
+select a.event_id, count(distinct b.sender) filter (b.sender <> '') unique_senders from e a left join e b on a.event_type = b.event_type
+  and (a.forward_id = b.forward_id or a.forward_hash = b.forward_hash or (a.forward_text_hash = b.forward_text_hash and a.forward_text_hash <> '')) and (b.ts < a.ts or (b.ts = a.ts and b.event_id <= a.event_id)) and b.ts > a.ts - interval '7' day group by 1""",
+    "semantic_match_7d": """
+with e as (select vec_id, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings),
+p as (select a.vec_id, b.vec_id m, round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-9), 9) s from e a join e b on b.vec_id < a.vec_id and b.vec_id > a.vec_id - 168)
+select vec_id, m matched_id, s similarity, s >= 0.45 matched from (select *, row_number() over (partition by vec_id order by s desc, m) r from p where s > 0) z where r = 1""",
+    "semantic_senders_7d": """
+with e as (select vec_id, label, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings)
+select a.vec_id, count(distinct b.label) unique_senders from e a join e b on b.vec_id <= a.vec_id and b.vec_id > a.vec_id - 168 and round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-9), 9) >= 0.30 group by 1""",
+    "image_match_7d": f"""
+with e as ({_HASHES}),
+p as (select a.vec_id, b.vec_id m, 1 - bit_count(xor(a.h, b.h)) / 64 s from e a join e b on b.vec_id < a.vec_id and b.vec_id > a.vec_id - 168)
+select vec_id, m matched_id, s similarity, s >= 0.70 matched from (select *, row_number() over (partition by vec_id order by s desc, m) r from p where s > 0) z where r = 1""",
+    "video_match_7d": f"""{_VIDEO_PAIRS},
+h as (select a, arg_min(b, (t, b)) m, min(t) t from (select a, b, case when t0 then 0 when t1 then 1 when t2 then 2 end t from p where b < a and b > a - 168) z where t is not null group by a)
+select a vec_id, m matched_id, ['video_sha256', 'video_frame_hash', 'video_metadata'][t + 1] match_type from h""",
+    "video_senders_7d": f"""{_VIDEO_PAIRS}
+select a vec_id, count(distinct sender) filter (sender <> '' and (t0 or t1 or t2)) unique_senders from p where b > a - 168 group by a""",
     "size_diagnostics": """
 with p as (select p_partkey, case when p_size % 10 > 0 then p_size * 100 end d, case when p_size % 7 > 0 then p_size * 100 + (p_partkey % 3 - 1) * 7 end a from part)
 select p_partkey, coalesce(d <> a, false) size_mismatch, a - d size_delta_bytes, round(a / d, 6) size_ratio from p""",
@@ -368,7 +432,7 @@ m as (select event_id, event_type, ts, n, min(event_id) over (partition by event
 k as (select m.*, f.n fn, (select min(x.n) from e x where x.event_type = m.event_type and x.ts >= m.ts - interval '1' day) w from m join e f on f.event_id = m.matched_id where m.event_id % 50 = 0 and m.matched_id < m.event_id)
 select k.event_id mark, 'recent' part, e.event_id row_id from k join e using (event_type) where e.n between greatest(k.w, k.n - 12) and k.n - 1
 union all select k.event_id, 'history', e.event_id from k join e using (event_type) where k.fn < k.w and e.n between k.fn - 6 and least(k.fn + 5, k.n - 1)""",
-    "never_seen_before": "select event_id from events a where ts >= timestamp '2024-01-20' and not exists (select 1 from events b where b.ts < timestamp '2024-01-20' and a.event_type = b.event_type and a.user_id = b.user_id)",
+    "never_seen_before": "select event_id from events a where ts >= timestamp '2024-01-20' and not exists (select 1 from events b where b.ts < timestamp '2024-01-20' and a.event_type = b.event_type and a.user_id = b.user_id and a.props = b.props)",
     "store_status": """
 select event_type group_id, count(*) messages, count(*) filter (event_id % 2 = 0) embedded, count(*) filter (event_id % 3 = 0) images, count(*) filter (event_id % 6 = 0) image_hashes, count(*) filter (event_id % 4 = 0) video_messages,
   count(*) filter (event_id % 8 = 0) + count(*) filter (event_id % 12 = 0) video_files, count(*) filter (event_id % 4 = 0 and event_id % 3 = 1) video_frames, count(*) filter (event_id % 4 = 0 and event_id % 3 = 2) video_metadata,
