@@ -61,14 +61,25 @@ def forward_unique_senders(spark, d):
 
 
 def forward_canonical_hash(spark, d):
-    """Every conversation as a bundle, one more around it."""
+    """Every conversation as a bundle, one more around it; and with each, a bundle around an expired one, one of media and one around a bundle that isn't there."""
     turns = table(spark, d, "conversations")
     node = F.struct(F.struct(F.col("role").alias("user_id"), F.upper("role").alias("nickname")).alias("sender"), F.array(F.struct(F.lit("text").alias("type"), F.struct("text").alias("data"))).alias("message"))
     inner = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", node.alias("node")))), lambda x: x["node"]).alias("messages"))
     inner = inner.select(F.concat(F.lit("c"), "conv_id").alias("id"), F.to_json(F.struct(F.struct("messages").alias("data"))).alias("payload"), F.lit(False).alias("unavailable"))
     outer = turns.select("conv_id").distinct().select(F.concat(F.lit("o"), "conv_id").alias("id"), F.format_string('[{"user_id": 1, "name": " a  b ", "content": {"type": "forward", "data": {"id": "c%d"}}}]', "conv_id").alias("payload"), F.lit(False).alias("unavailable"))
+    node = lambda who, *parts: '{"user_id": %s, "message": [%s]}' % (who, ", ".join(parts))
+    forward = lambda name: '{"type": "forward", "data": {"id": "%s%%1$d"}}' % name
+    seen = node(2, '{"data": {"text": " enough  to be seen by all "}, "type": "Text"}')
+    more = {
+        "x": f"[{node(1, forward('gone'))}, {seen}]", "t": f'{{"nodes": [{node(1, forward("nowhere"))}, {seen}]}}',
+        "m": f"""{{"data": {{"nodeList": [{node(1, '{"type": "image", "data": {"file": "A%1$d.PNG?token=1"}}', '{"type": "video", "data": {"file_id": "F%1$d", "url": "u"}}', '{"type": "odd", "data": {"url": "u", "b": [1, {"Time": 2}], "a": null}}')}]}}}}""",
+    }
+    ids = turns.select("conv_id").distinct()
+    for kind, text in more.items():
+        outer = outer.unionByName(ids.select(F.concat(F.lit(kind), "conv_id").alias("id"), F.format_string(text, "conv_id").alias("payload"), F.lit(False).alias("unavailable")))
+    gone = ids.select(F.concat(F.lit("gone"), "conv_id").alias("id"), F.lit(None).cast("string").alias("payload"), F.lit(True).alias("unavailable"))
     payloads = inner.unionByName(outer)
-    out = forwards.expand_forwards(payloads.select(F.col("id").alias("forward_id")), payloads)
+    out = forwards.expand_forwards(payloads.select(F.col("id").alias("forward_id")), payloads.unionByName(gone))
     return out.select("forward_id", "forward_hash", "forward_text_hash", "forward_node_count", "forward_truncated")
 
 
@@ -349,7 +360,10 @@ c as (select conv_id, count(*) n, sum(length(role) * 2 + length(t)) chars, sum(l
   '[' || string_agg('{"segments":[{"text":' || to_json(t)::varchar || ',"type":"text"}],"sender_id":"' || role || '","sender_name":"' || upper(role) || '"}', ',' order by turn) || ']' nodes,
   '[' || string_agg('{"sender_id":"' || role || '","texts":[' || case when t = '' then '' else to_json(t)::varchar end || ']}', ',' order by turn) || ']' texts from t group by conv_id)
 select 'c' || conv_id forward_id, sha256(nodes) forward_hash, case when visible >= 20 and said >= 2 then sha256(texts) end forward_text_hash, n forward_node_count, false forward_truncated from c
-union all select 'o' || conv_id, sha256('[{"segments":[{"nodes":' || nodes || ',"type":"forward"}],"sender_id":"1","sender_name":"a b"}]'), null, n + 1, false from c""",
+union all select 'o' || conv_id, sha256('[{"segments":[{"nodes":' || nodes || ',"type":"forward"}],"sender_id":"1","sender_name":"a b"}]'), null, n + 1, false from c
+union all select 'x' || conv_id, sha256('[{"segments":[{"type":"forward","unreadable":true}],"sender_id":"1","sender_name":"1"},{"segments":[{"text":"enough to be seen by all","type":"text"}],"sender_id":"2","sender_name":"2"}]'), null, 2, false from c
+union all select 't' || conv_id, null, null, 2, true from c
+union all select 'm' || conv_id, sha256('[{"segments":[{"key":"file:a' || conv_id || '.png","type":"image"},{"key":"file_id:f' || conv_id || '","type":"video"},{"data_sha256":"' || sha256('{"a":null,"b":[1,{}]}') || '","type":"odd"}],"sender_id":"1","sender_name":"1"}]'), null, 1, false from c""",
     "semantic_best_match": """
 with e as (select vec_id, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings),
 p as (select a.vec_id, b.vec_id m, round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-9), 9) s from e a join e b on b.vec_id < a.vec_id)

@@ -110,9 +110,10 @@ def test_video_fingerprints(spark):
 
 def test_bundles(spark):
     image = lambda token, size: {"type": "video", "data": {"file": f"https://x.test/v.mp4?token={token}", "file_size": size}}
-    key = lambda *a: payloads.video_key(image(*a)["data"])
-    assert key("a", 9) == key("b", 9) != key("b", 10) and payloads.HASH_VERSION == 4
-    assert payloads.media_key({"file": "https://x/a?MD5=Q&t=1"}, by_name=False) == "file:x/a?md5=q" and payloads.media_key({"name": "N"}, by_name=False) is None and payloads.media_key({"name": "N"}, by_name=True) == "name:n"
+    key = lambda data, kind, named=True: one(spark, (payloads.video_key if kind == "video" else lambda v: payloads.media_key(v, F.lit(named)))(F.parse_json(F.lit(json.dumps(data)))).alias("k"))["k"]
+    assert key(image("a", 9)["data"], "video") == key(image("b", 9)["data"], "video") != key(image("b", 10)["data"], "video") and payloads.HASH_VERSION == 4
+    assert key({"url": "https://x/v?fileid=A%20b"}, "video") == "fileid:a b" and key({"size": 3}, "video") is None and key({"file_id": " Q "}, "video") == "file_id:q"
+    assert key({"file": "https://x/a?MD5=Q&t=1"}, "image", False) == "file:x/a?md5=q" and key({"name": "N"}, "image", False) is None and key({"name": "N"}, "file") == "name:n" and key({"file": "a.png?x"}, "image") == "file:a.png"
     text = lambda t: {"type": "text", "data": {"text": t}}
     node = lambda *parts, who="1": {"sender": {"user_id": who, "nickname": f"n{who}"}, "message": list(parts)}
     table = {
