@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+from datetime import date, timedelta
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +22,6 @@ MESSAGE = (
     f"videos array<struct<{VIDEO}>>, forward_id string, forward_hash string, forward_text_hash string, forward_text_hash_eligible boolean, forward_content string, forward_node_count bigint, forward_truncated boolean, "
     "forward_partial boolean, forward_hash_version int, url_only boolean, url_hash string, url_host string"
 )
-_BROKEN = "_corrupt_record"
 _DAY = r"(\d{4}-\d{2}-\d{2})\.json"
 
 
@@ -27,31 +30,50 @@ def event_date(ts: Column, now: Column | None = None) -> Column:
     return F.to_date(F.coalesce(ts, now if now is not None else F.current_timestamp()))
 
 
-def _json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).option("ignoreCorruptFiles", True).option("columnNameOfCorruptRecord", _BROKEN).schema(f"{MESSAGE}, {_BROKEN} string").json(path)
+def _shards(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
+    """(path, messages) of the files under ``path`` whose names fit ``names``; messages are null where a file can't be decompressed or isn't JSON.
+
+    A file is read by one task, whole: shards hold a group's day."""
+
+    @F.pandas_udf("string")
+    def text(contents: pd.Series) -> pd.Series:
+        def plain(content: bytes) -> str | None:
+            try:
+                return (gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content).decode()
+            except (OSError, EOFError, zlib.error, UnicodeDecodeError):
+                return None
+
+        return contents.map(plain)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = files.option("pathGlobFilter", names) if names else files
+    read = files.load(path).select(unquoted(F.col("_metadata.file_path")).alias("path"), text("content").alias("text"))
+    # a gzip file by name that doesn't begin as one is no JSON either
+    return read.select("path", F.from_json("text", f"array<struct<{MESSAGE}>>").alias("messages"))
 
 
 def read_shards(spark: SparkSession, path: str, *, today: str | None = None, days: int = 7) -> DataFrame:
     """Day shards ``{group}/{YYYY-MM-DD}.json[.gz]``, each an array of messages; absent fields are null.  Given ``today``, only the shards of that
-    day and the ``days`` before.  Shards that aren't JSON are left out: broken_shards() lists them.
+    day and the ``days`` before are opened.  Shards that can't be read are left out: broken_shards() lists them.
 
-    A compressed shard is read by one task: a store that stays is better written once by write_messages()."""
-    name = unquoted(F.col("_metadata.file_path"))
-    rows = _json(spark, path).select("*", F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("group_id"), F.to_date(F.regexp_extract(name, _DAY, 1)).alias("event_date"))
+    A shard is read by one task: a store that stays is better written once by write_messages()."""
+    names = None
     if today is not None:
-        rows = rows.filter(F.col("event_date").between(F.date_sub(F.lit(today).cast("date"), days), F.lit(today).cast("date")))
-    return rows.filter(F.col(_BROKEN).isNull()).drop(_BROKEN)
+        last = date.fromisoformat(today)
+        names = "{" + ",".join((last - timedelta(days=n)).isoformat() for n in range(days + 1)) + "}.json*"
+    rows = _shards(spark, path, names).filter("messages is not null")
+    return rows.select(F.inline("messages"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("group_id"), F.to_date(F.regexp_extract("path", _DAY, 1)).alias("event_date"))
 
 
 def broken_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(path) of the shards that can't be read."""
-    return _json(spark, path).select(_BROKEN, "id", unquoted(F.col("_metadata.file_path")).alias("path")).filter(F.col(_BROKEN).isNotNull() & F.col("id").isNull()).select("path").distinct()
+    """(path) of the shards that can't be read: cut off, not compressed as they say, or not JSON."""
+    return _shards(spark, path).filter("messages is null").select("path")
 
 
 def read_legacy(spark: SparkSession, path: str) -> DataFrame:
     """Single files ``{group}_messages.json`` of the oldest stores, with group and day, as read_shards() gives them; days are of each message's time."""
-    name = F.regexp_extract(unquoted(F.col("_metadata.file_path")), r"([^/]+)_messages\.json[^/]*$", 1)
-    return _json(spark, path).filter(F.col(_BROKEN).isNull()).select("*", name.alias("group_id"), event_date(F.timestamp_seconds("timestamp")).alias("event_date")).drop(_BROKEN)
+    rows = _shards(spark, path).filter("messages is not null").select(F.inline("messages"), F.regexp_extract("path", r"([^/]+)_messages\.json[^/]*$", 1).alias("group_id"))
+    return rows.withColumn("event_date", event_date(F.timestamp_seconds("timestamp")))
 
 
 def in_order(messages: DataFrame) -> DataFrame:

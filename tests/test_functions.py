@@ -196,6 +196,18 @@ def test_shards(spark, tmp_path):
     assert M.expire(spark, f"{tmp_path}/days", before="2024-01-03") == 2 and [r["id"] for r in spark.read.parquet(f"{tmp_path}/days").collect()] == [2]
 
 
+def test_broken_shards_are_listed_and_counted(spark, tmp_path):
+    whole = gzip.compress(json.dumps([{"id": str(k), "content": "x" * 50} for k in range(5000)]).encode())
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g/2024-01-01.json.gz").write_bytes(whole)
+    (tmp_path / "g/2024-01-02.json.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "g/2024-01-03.json.gz").write_bytes(b"\x1f\x8bnot compressed at all")
+    (tmp_path / "g/2024-01-04.json").write_text('[{"id": "1"}, {"id"')
+    (tmp_path / "g/2024-01-05.json").write_bytes(b"[\xff]")
+    assert M.read_shards(spark, str(tmp_path)).count() == 5000
+    assert sorted(r["path"][-18:].split("/")[-1] for r in M.broken_shards(spark, str(tmp_path)).collect()) == ["2024-01-02.json.gz", "2024-01-03.json.gz", "2024-01-04.json", "2024-01-05.json"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "event_type", "props", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     options = dict(key=["event_type", "props"], order="event_id", ts="ts", sender="user_id", cooldown_s=86400)
