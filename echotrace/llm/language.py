@@ -216,25 +216,27 @@ class Model:
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = SAMPLE_CHARS, keep: float = KEEP) -> Model:
-    """Learn a model from texts with a language.  Sizes are summed over all rows; then a hash of the key picks about ``sample_chars``
-    characters a language: four fifths to learn from, the others to calibrate on."""
+    """Learn a model from texts with a language.  Sizes are summed over all rows; then a hash of key and text picks about ``sample_chars``
+    characters a language: four fifths to learn from, the others to calibrate on.  Of every language, the text with the least hash is learnt from, however few it has."""
     known = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy("lang").limit(1001).collect()
+    known = known.withColumn("draw", F.pmod(F.xxhash64("k", "text", F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    spoken = F.length(F.trim("text")) > 0
+    sizes = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.coalesce(F.min(F.when(spoken, F.col("draw"))), F.min("draw")).alias("least")).orderBy("lang").limit(1001).collect()
     if len(sizes) > 1000:
         raise ValueError("over 1000 languages")
     spark = docs.sparkSession
     langs = sorted(r["lang"] for r in sizes)
-    shares = spark.createDataFrame([(r["lang"], min(1.0, sample_chars / max(r["chars"], 1)), langs.index(r["lang"])) for r in sizes], "lang string, share double, l int")
-    draw = F.pmod(F.xxhash64("k", F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    known = known.join(F.broadcast(shares), "lang").withColumn("draw", draw)  # at most 1000 rows
-    counts = known.filter(F.col("draw") < F.col("share") * 0.8).select("l", "text")
+    shares = spark.createDataFrame([(r["lang"], min(1.0, sample_chars / max(r["chars"], 1)), r["least"], langs.index(r["lang"])) for r in sizes], "lang string, share double, least double, l int")
+    known = known.join(F.broadcast(shares), "lang")  # at most 1000 rows
+    learnt = (F.col("draw") < F.col("share") * 0.8) | (F.col("draw") == F.col("least"))
+    counts = known.filter(learnt).select("l", "text")
     grams = [f"c{j}" for j in range(ORDER)]
     counts = counts.mapInArrow(_count, "l int, c0 int, c1 int, c2 int, c3 int, n int").groupBy("l", *grams).agg(F.sum("n").cast("int").alias("n"))
     counts = counts.toPandas()
     seen = sorted(counts["l"].unique().tolist())
     model = Model(counts.assign(l=np.searchsorted(seen, counts["l"]).astype(np.int32)), [langs[k] for k in seen])
     del counts
-    calibration = known.filter((F.col("draw") >= F.col("share") * 0.8) & (F.col("draw") < F.col("share"))).select("lang", "text").toPandas()
+    calibration = known.filter(~learnt & (F.col("draw") < F.col("share"))).select("lang", "text").toPandas()
     model.calibrate(calibration["text"].tolist(), calibration["lang"].tolist(), keep)
     return model
 

@@ -4,7 +4,7 @@ Each source's documents, in an order drawn by a hash, make up one long run of wo
 Slot j of the mix belongs to the source whose stretch of the cumulative target weights holds the j-th golden-ratio point
 ``frac((j + 1/2) / phi)``; the slots of a source are ranked, and rank r takes block ``r mod blocks`` of it.  Every stretch of the
 schedule holds the sources close to their weights; what the points give a source more or less than its target is left out or added at
-the end, so that it takes its target to within a block, and one block at least.
+the end, so that it takes its target to within half a block (the last block of a round has what is left of the source), and one block at least.
 
 Targets: ``ratio`` times all words, shared by weight; a source stops at ``limit`` times its size and its excess is shared again.
 Ranks past ``limit`` rounds are left out, so no document is taken more than ``limit`` times.
@@ -88,8 +88,19 @@ def plan_sources(sized: DataFrame, source: str = "source", weights: tuple[float,
     return spark.createDataFrame(listed, "number int, source string, source_size long, docs long, target double, blocks long")
 
 
+def blocks_wanted(target: float, words: int, blocks: int, block_words: int = BLOCK_WORDS, limit: int = LIMIT) -> int:
+    """How many blocks, round after round, come nearest to the target; the last block of a round holds what is left of the source's words.  One at least, of a source with words."""
+    if not blocks:
+        return 0
+    rounds = min(int(target // words), limit)
+    left = target - rounds * words
+    n = min(int(left // block_words), blocks)
+    nearest = min((n, min(n + 1, blocks)), key=lambda k: abs(min(k * block_words, words) - left))
+    return max(1, min(rounds * blocks + nearest, limit * blocks))
+
+
 def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, limit: int = LIMIT) -> DataFrame:
-    """The slots: slot long (their order), number int (the source's), rank long, block long, round long.  A source gets as many as come nearest to its target, one at least."""
+    """The slots: slot long (their order), number int (the source's), rank long, block long, round long.  A source gets blocks_wanted()."""
     spark = sources.sparkSession
     rows = sorted(sources.collect(), key=lambda r: r["number"])
     goal = np.array([r["target"] for r in rows], float)
@@ -127,7 +138,7 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, limit: int = LI
     ranked = gathered.mapInArrow(rank, "slot long, number int, rank long")
     # the points give a source a few slots more or less than its target takes: more are left out, and the last ranks get slots after the others
     got = {r["number"]: r["n"] for r in counts.groupBy("number").agg(F.sum("n").alias("n")).collect()}  # at most MAX_SOURCES rows
-    own = [(r["number"], r["blocks"], min(max(round(r["target"] / block_words), 1), limit * r["blocks"]) if r["blocks"] else 0, got.get(r["number"], 0)) for r in rows]
+    own = [(r["number"], r["blocks"], blocks_wanted(r["target"], r["source_size"], r["blocks"], block_words, limit), got.get(r["number"], 0)) for r in rows]
     sizes = spark.createDataFrame(own, "number int, blocks long, wanted long, got long")
     late = sizes.filter("got < wanted").select("number", F.explode(F.sequence("got", F.col("wanted") - 1)).alias("rank"))
     late = late.select((total + F.col("number") + F.col("rank") * len(own)).alias("slot"), "number", "rank")

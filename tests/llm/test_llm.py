@@ -282,13 +282,14 @@ def test_mixing_equals_a_loop_over_slots(spark, docs):
     n, total = mixing.BLOCK_WORDS, sum(goal.values())
     words = {x: [r[0] for r in sorted((r for r in rows if r[1] == x and r[2]), key=lambda r: r[3]) for _ in range(r[2])] for x in names}  # each word's document
     blocks = {x: [words[x][k : k + n] for k in range(0, len(words[x]), n)] for x in names}
-    wanted = {x: min(max(round(goal[x] / n), 1), 2 * len(blocks[x])) for x in names}
+    upto = {x: [0, *np.cumsum([len(b) for b in blocks[x] * 2]).tolist()] for x in names}
+    wanted = {x: min(range(1, 2 * len(blocks[x]) + 1), key=lambda k: abs(upto[x][k] - goal[x])) for x in names}  # noqa: B023
     phi, taken, order, rank = (Decimal(5).sqrt() + 1) / 2, Counter(), [], Counter()
     for j in range(math.ceil(total / n)):
-        point, upto = ((j + Decimal("0.5")) / phi) % 1, 0.0
+        point, edge = ((j + Decimal("0.5")) / phi) % 1, 0.0
         for x in names:
-            upto += goal[x] / total
-            if point < upto or x == names[-1]:
+            edge += goal[x] / total
+            if point < edge or x == names[-1]:
                 break
         if rank[x] < wanted[x]:
             order.append(x)
@@ -316,6 +317,21 @@ def test_small_sources_are_taken(spark):
     mixed, _ = mixing.mix_sources(mixing.with_sizes(spark.createDataFrame(rows, "doc_id long, source string, text string")))
     by = {r["source"]: r["taken"] for r in mixed.selectExpr("source", "rounds[0] + rounds[1] as t").groupBy("source").agg({"t": "sum"}).withColumnRenamed("sum(t)", "taken").collect()}
     assert len(by) == 301 and all(n > 0 for n in by.values())
+    # a source's last block is as long as it is: targets are met to within half a block
+    rows = [(10 * k + n, f"s{k}", "w " * (size // 2 if n else size - size // 2)) for k, size in enumerate((10, 40, 65, 70, 129, 1000)) for n in (0, 1)]
+    mixed, sources = mixing.mix_sources(mixing.with_sizes(spark.createDataFrame(rows, "doc_id long, source string, text string")), weights=(3.0, 3.0, 3.0, 3.0, 3.0, 1.0))
+    by = {r["source"]: r["taken"] for r in mixed.selectExpr("source", "rounds[0] + rounds[1] as t").groupBy("source").agg({"t": "sum"}).withColumnRenamed("sum(t)", "taken").collect()}
+    goal = {r["source"]: r["target"] for r in sources.collect()}
+    assert [goal[f"s{k}"] for k in range(5)] == [20, 80, 130, 140, 258] and all(abs(by[x] - goal[x]) <= mixing.BLOCK_WORDS / 2 for x in goal)
+
+
+@pytest.mark.parametrize("words", [1, 10, 63, 64, 65, 130, 700])
+def test_blocks_wanted_come_nearest(words):
+    blocks = -(-words // 64)
+    upto = [0, *np.cumsum([min(64, words - 64 * k) for k in range(blocks)] * 2).tolist()]
+    for target in np.linspace(0, 2 * words, 57):
+        k = mixing.blocks_wanted(float(target), words, blocks)
+        assert 1 <= k <= 2 * blocks and abs(upto[k] - target) <= min(abs(x - target) for x in upto[1:]) + 1e-9
 
 
 def test_mixing(spark, docs, odd, none):
@@ -452,6 +468,15 @@ def test_spotsigs_cover_texts_without_bare_common_words():
     assert [x.tolist() for x in sets] == [spotsigs.spot_sets([t])[0].tolist() for t in ["x y z", "x y w", "", "x", "%% !", "the"]]
 
 
+def test_every_language_is_learnt(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(100 + k % 7)}ot {chr(98 + k % 24)}uri " * 20, f"l{k:02d}", "s") for k in range(30)] + [(100 + k, "the cat sat on the mat " * 9, "en", "s") for k in range(20)] + [(None, "the dog", "en", "s")] * 5 + [(200, " ", "l00", "s")]
+    table = spark.createDataFrame(rows, SCHEMA)
+    model = language.fit(table)
+    assert sorted(model.langs) == sorted({r[2] for r in rows})
+    told = {r["doc_id"]: r["lang_pred"] for r in language.identify(table, model).collect()}
+    assert sum(told[k] == f"l{k:02d}" for k in range(30)) >= 28
+
+
 def test_language(spark, odd, none):
     big = "/root/testdata/sf0.01"
     held = language.op9_language_id(spark, big).filter("held_out").join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
