@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from echotrace.functions import names
 from echotrace.functions import text as X
 from echotrace.functions.urls import fingerprint, normalised
-from echotrace.operators import context, filters, forwards, judging, repeats, routing, search, similar, video
+from echotrace.operators import cells, context, filters, forwards, judging, repeats, routing, search, similar, video
 from echotrace.operators import status as stored
 
 DAY = repeats.DAY
@@ -190,6 +190,14 @@ def semantic_senders_7d(spark, d):
     return similar.senders_by_cosine(_hourly(table(spark, d, "embeddings")), order="vec_id", vector="embedding", sender="label", threshold=0.30, ts="ts", retention_s=WEEK)
 
 
+def semantic_match_by_cells(spark, d):
+    return cells.matches_by_cosine(table(spark, d, "embeddings"), order="vec_id", vector="embedding", threshold=0.40)
+
+
+def semantic_senders_by_cells(spark, d):
+    return cells.senders_by_cosine(_hourly(table(spark, d, "embeddings")), order="vec_id", vector="embedding", sender="label", threshold=0.30, ts="ts", retention_s=WEEK)
+
+
 def image_match_7d(spark, d):
     return similar.best_hash(_hourly(_hashes(spark, d)), order="vec_id", bits="h", threshold=0.70, ts="ts", retention_s=WEEK)
 
@@ -402,6 +410,13 @@ p as (select a.vec_id, b.vec_id m, round(list_dot_product(a.v, b.v) / (a.n * b.n
 select vec_id, m matched_id, s similarity, s >= 0.45 matched from (select *, row_number() over (partition by vec_id order by s desc, m) r from p where s > 0) z where r = 1""",
     "semantic_senders_7d": """
 with e as (select vec_id, label, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings)
+select a.vec_id, count(distinct b.label) unique_senders from e a join e b on b.vec_id <= a.vec_id and b.vec_id > a.vec_id - 168 and round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-9), 9) >= 0.30 group by 1""",
+    "semantic_match_by_cells": """
+with e as (select vec_id, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings),
+p as (select a.vec_id, b.vec_id m, round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-9), 9) s from e a join e b on b.vec_id < a.vec_id)
+select vec_id, m matched_id, s similarity from (select *, row_number() over (partition by vec_id order by s desc, m) r from p where s >= 0.40) z where r = 1""",
+    "semantic_senders_by_cells": """
+with e as (select vec_id, label, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings)
 select a.vec_id, count(distinct b.label) unique_senders from e a join e b on b.vec_id <= a.vec_id and b.vec_id > a.vec_id - 168 and round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-9), 9) >= 0.30 group by 1""",
     "image_match_7d": f"""
 with e as ({_HASHES}),

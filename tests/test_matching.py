@@ -4,11 +4,12 @@ import datetime as dt
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from echotrace.functions.similarity import FRAMES
-from echotrace.operators import forwards, repeats, similar, video
+from echotrace.operators import cells, forwards, repeats, similar, video
 from echotrace.streaming.matches import stream_matches
 
 START = dt.datetime(2024, 1, 1)
@@ -143,6 +144,30 @@ def test_stream_equals_batch(spark, kind, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, match(spark.createDataFrame(rows, SCHEMA), None, options).select(*got.columns).collect()))
 
 
+@pytest.mark.parametrize("retention", [None, 30 * HOUR])
+def test_cells_leave_nothing_out(spark, retention, monkeypatch):
+    monkeypatch.setattr(cells, "ROWS_A_PIVOT", 9)
+    rows = drawn(150, seed=11)
+    cut = START + dt.timedelta(hours=200)
+    for now, old in ((rows, []), ([r for r in rows if r[2] >= cut], [r for r in rows if r[2] < cut])):
+        a, b = (spark.createDataFrame(x, SCHEMA) for x in (now, old))
+        match, who = by_score(rows, now, retention, cosine, 7, 0.9)
+        options = {"group": "g", "order": "id", "vector": "v", "threshold": 0.9, "size": 20, "ts": "ts", "retention_s": retention}
+        assert {r[0]: (r[1], r[2]) for r in cells.matches_by_cosine(a, b if old else None, **options).collect()} == {k: v for k, v in match.items() if v[1] >= 0.9}
+        assert {r[0]: r[1] for r in cells.senders_by_cosine(a, b if old else None, sender="who", **options).collect()} == who
+
+
+def test_cells_compare_a_tenth_of_clustered_vectors(spark):
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(40, 24))
+    x = centres[draw.integers(0, 40, 4000)] + 0.15 * draw.normal(size=(4000, 24))
+    table = spark.createDataFrame([(k, v.tolist(), str(k % 7)) for k, v in enumerate(x)], "id long, v array<double>, who string")
+    asks, answers = cells.in_cells(similar._vectors(table, None, None, "id", None, "v"), 0.9, pivots=128)
+    assert cells.comparisons(*cells.meeting(asks, answers, window=None, size=500)) < 4000 * 4000 / 10
+    whole = similar.best_cosine(table, order="id", vector="v", threshold=0.9).filter("matched").drop("matched")
+    assert sorted(map(tuple, cells.matches_by_cosine(table, order="id", vector="v", threshold=0.9).collect())) == sorted(map(tuple, whole.collect()))
+
+
 def _pairs(spark, days, stored=0):
     """How many pairs of blocks rows of so many days make, and how many of two stored blocks."""
     rows = spark.range(days * 100).select(F.lit("g").alias("_g"), (F.col("id") * (864 * repeats.SECOND)).alias("_at"), F.col("id").alias("_id"), (F.col("id") >= stored).alias("_now"))
