@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from echotrace.functions import names
 from echotrace.functions import text as X
 from echotrace.functions.urls import fingerprint, normalised
-from echotrace.operators import cells, context, filters, forwards, judging, repeats, routing, search, similar, video
+from echotrace.operators import cells, context, filters, forwards, judging, prompts, repeats, routing, search, similar, video
 from echotrace.operators import status as stored
+from echotrace.plans import flow
 
 DAY = repeats.DAY
 
@@ -234,6 +235,26 @@ def judge_contexts(spark, d):
     return judging.judge_contexts(events, first, group="event_type", order="event_id", ts="ts", window_s=DAY).drop("place")
 
 
+def judge_lines(spark, d):
+    """What the judge is shown of each marked event's contexts, within 300 characters a part."""
+    events = table(spark, d, "events").select("event_id", "event_type", "user_id", "ts", "props")
+    first = repeats.any_key_match(events, group="event_type", keys=["user_id"], order="event_id").filter("event_id % 50 = 0").drop("match_type")
+    contexts = judging.judge_contexts(events, first, group="event_type", order="event_id", ts="ts", window_s=DAY)
+    return prompts.context_lines(events, contexts, order="event_id", ts="ts", sender="user_id", content="props", most_chars=300)
+
+
+def reminders(spark, d):
+    """Events as messages with addresses, bundles, videos, or images with and without vectors: which of them come again, and is that worth flagging?"""
+    n, none = F.col("event_id"), lambda kind: F.lit(None).cast(kind)
+    part = lambda k, value: F.when(n % 4 == k, value)
+    clip = F.struct(F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string")).alias("sha256"), F.array().cast("array<string>").alias("frame_hashes"), F.lit(0).cast("long").alias("duration_ms"), none("string").alias("metadata_hash"), F.lit("sha256").alias("analysis"))
+    messages = table(spark, d, "events").select(
+        n.alias("id"), F.col("event_type").alias("group_id"), "ts", F.col("user_id").cast("string").alias("sender_id"), F.col("props").alias("content"), part(0, F.sha2("props", 256)).alias("url_hash"), part(1, F.concat_ws("-", "user_id", "props")).alias("forward_id"),
+        none("string").alias("forward_hash"), none("string").alias("forward_text_hash"), part(2, F.array(clip)).alias("videos"), part(3, F.unhex(F.substr(F.sha2("props", 256), F.lit(1), F.lit(4)))).alias("image_bits"), F.when(n % 8 == 7, F.array(F.lit(1.0), F.col("value") % 1.0)).alias("embedding"),
+    )
+    return flow.reminders(messages, semantic_from=0.9, min_senders=2)
+
+
 def never_seen_before(spark, d):
     events = table(spark, d, "events").select("event_id", "event_type", "user_id", "props", "ts")
     cut = F.lit("2024-01-20").cast("timestamp")
@@ -336,6 +357,12 @@ with v as ({_VIDEOS}),
 s as (select a.vec_id a, b.vec_id b, b.sender, coalesce(a.sha = b.sha, false) t0, a.kind = 0 and coalesce(a.meta = b.meta, false) t2, a.kind > 1 and b.kind > 1 and abs(a.ms - b.ms) <= greatest(1000, floor(greatest(a.ms, b.ms) * 0.03)) near, {_SIMILAR} x
   from v a join v b on a.label = b.label and b.vec_id <= a.vec_id),
 p as (select *, near and x[1] + x[2] + x[3] + x[4] + x[5] >= 4.5 - 1e-9 and len([y for y in x if y >= 0.85]) >= 4 t1 from s)"""
+_CONTEXTS = """
+with e as (select *, row_number() over (partition by event_type order by ts, event_id) n from events),
+m as (select event_id, event_type, ts, n, min(event_id) over (partition by event_type, user_id) matched_id from e),
+k as (select m.*, f.n fn, (select min(x.n) from e x where x.event_type = m.event_type and x.ts >= m.ts - interval '1' day) w from m join e f on f.event_id = m.matched_id where m.event_id % 50 = 0 and m.matched_id < m.event_id)
+select k.event_id mark, 'recent' part, e.event_id row_id from k join e using (event_type) where e.n between greatest(k.w, k.n - 12) and k.n - 1
+union all select k.event_id, 'history', e.event_id from k join e using (event_type) where k.fn < k.w and e.n between k.fn - 6 and least(k.fn + 5, k.n - 1)"""
 SQL = {
     "repeat_verdict": f"""
 with p as (select a.event_id, a.user_id, a.ts, b.event_id mid, b.user_id mu, b.ts mts from events a join events b on a.event_type = b.event_type and a.props = b.props and {_EARLIER} and b.ts > a.ts - interval '7' day),
@@ -455,12 +482,24 @@ with p as (select a.event_id, b.event_id bid, a.ts ats, b.ts, b.user_id, b.props
 i as (select *, row_number() over (partition by event_id order by ts, bid) - row_number() over (partition by event_id, same order by ts, bid) island from p),
 r as (select event_id, max(c) longest from (select event_id, count(*) c from i where same group by event_id, island) z group by 1)
 select event_id, count(*) messages_in_window, count(*) filter (same) exact_repeat_count, count(distinct user_id) filter (same) exact_unique_senders, date_diff('microsecond', min(ts) filter (same), any_value(ats)) // 1000000 exact_span_seconds, any_value(longest) longest_consecutive_exact from p join r using (event_id) group by 1""",
-    "judge_contexts": """
-with e as (select *, row_number() over (partition by event_type order by ts, event_id) n from events),
-m as (select event_id, event_type, ts, n, min(event_id) over (partition by event_type, user_id) matched_id from e),
-k as (select m.*, f.n fn, (select min(x.n) from e x where x.event_type = m.event_type and x.ts >= m.ts - interval '1' day) w from m join e f on f.event_id = m.matched_id where m.event_id % 50 = 0 and m.matched_id < m.event_id)
-select k.event_id mark, 'recent' part, e.event_id row_id from k join e using (event_type) where e.n between greatest(k.w, k.n - 12) and k.n - 1
-union all select k.event_id, 'history', e.event_id from k join e using (event_type) where k.fn < k.w and e.n between k.fn - 6 and least(k.fn + 5, k.n - 1)""",
+    "judge_contexts": _CONTEXTS,
+    "judge_lines": f"""
+with c as ({_CONTEXTS}),
+x as (select mark, part, row_number() over (partition by mark, part order by ts, event_id) k, strftime(ts, '%m-%d %H:%M:%S') || ' ' || user_id || ': ' || props line from c join events on event_id = row_id),
+y as (select *, sum(length(line) + 1) over (partition by mark, part order by k desc) <= 300 kept from x)
+select mark, coalesce(string_agg(line, chr(10) order by k) filter (kept and part = 'recent'), '') recent, coalesce(string_agg(line, chr(10) order by k) filter (kept and part = 'history'), '') history, count(*) filter (not kept) left_out from y group by 1""",
+    "reminders": """
+with e as (select event_id id, event_type g, ts, user_id::varchar s, case when event_id % 4 = 0 then sha256(props) end u, case when event_id % 4 = 1 then user_id || '-' || props end f, case when event_id % 4 = 2 then 'f' || user_id % 40 end v,
+  case when event_id % 4 = 3 then ('0x' || substr(sha256(props), 1, 4))::int end h, case when event_id % 8 = 7 then value % 1.0 end x from events),
+p as (select a.id, b.id b, b.ts, b.s who, b.id <> a.id other, a.u = b.u u, a.f = b.f f, a.v = b.v v, 1 - bit_count(xor(a.h, b.h)) / 16 i, round((1 + a.x * b.x) / (sqrt(1 + a.x * a.x) * sqrt(1 + b.x * b.x) + 1e-9), 9) c
+  from e a join e b on a.g = b.g and a.id % 4 = b.id % 4 and (b.ts < a.ts or (b.ts = a.ts and b.id <= a.id)) and b.ts > a.ts - interval '7' day),
+k as (select id, b, ts, who, other, 'url_hash' kind, 1.0 score from p where u union all select id, b, ts, who, other, 'forward_id', 1.0 from p where f union all select id, b, ts, who, other, 'video_sha256', 1.0 from p where v
+  union all select id, b, ts, who, other, 'image_hash', i from p where i >= 0.9 union all select id, b, ts, who, other, 'embedding', c from p where c >= 0.9),
+m as (select id, kind, b, ts from (select *, row_number() over (partition by id, kind order by score desc, ts, b) r from k where other) z where r = 1),
+n as (select id, kind, count(distinct who) senders from k group by 1, 2),
+w as (select l.id, case when t.kind is null or (t.kind = 'embedding' and i.ts < t.ts) then i.kind else t.kind end kind from (select distinct id from m) l left join (select * from m where kind <> 'embedding' and kind <> 'image_hash' union all select * from m where kind = 'embedding') t on t.id = l.id left join (select * from m where kind = 'image_hash') i on i.id = l.id)
+select e.id, m.b matched_id, m.kind match_type, coalesce(n.senders, 0) unique_senders, case when m.b is null then 'no_match' when o.s = e.s then 'same_sender' when n.senders < 2 then 'few_senders' when e.ts < o.ts + interval '1' hour then 'cooldown' else 'remind' end verdict
+from e left join w on w.id = e.id left join m on m.id = w.id and m.kind = w.kind left join n on n.id = w.id and n.kind = w.kind left join e o on o.id = m.b""",
     "never_seen_before": "select event_id from events a where ts >= timestamp '2024-01-20' and not exists (select 1 from events b where b.ts < timestamp '2024-01-20' and a.event_type = b.event_type and a.user_id = b.user_id and a.props = b.props)",
     "store_status": """
 select event_type group_id, count(*) messages, count(*) filter (event_id % 2 = 0) embedded, count(*) filter (event_id % 3 = 0) images, count(*) filter (event_id % 6 = 0) image_hashes, count(*) filter (event_id % 4 = 0) video_messages,
