@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echotrace.functions.pixels import decoded, resized
+
 #: fixed values: a grey image of this size gives 256 bits
 WIDTH, HEIGHT = 17, 16
 
@@ -21,3 +27,28 @@ def dhash(pixels: Column) -> Column:
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, sha256, md5) of files; md5 stands in for an image hash where there are no pixels."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+
+
+def image_hash(content: Column) -> Column:
+    """The perceptual hash of an encoded image (PNG or BMP); the MD5 of what can't be decoded, null for null."""
+
+    @F.pandas_udf("string")
+    def each(contents: pd.Series) -> pd.Series:
+        def one(data: bytes | None) -> str | None:
+            if data is None:
+                return None
+            grey = decoded(data)
+            if grey is None:
+                return hashlib.md5(data, usedforsecurity=False).hexdigest()
+            small = resized(grey, WIDTH, HEIGHT)
+            return np.packbits(small[:, :-1] > small[:, 1:]).tobytes().hex()
+
+        return contents.map(one)
+
+    return each(content)
+
+
+def image_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, image_hash) of the files under ``path``, decoded where they are read; Spark has no rows for empty files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("size"), image_hash(F.col("content")).alias("image_hash"))
