@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 from typing import Any
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
@@ -82,7 +84,7 @@ def probe_files(spark: SparkSession, path: str) -> DataFrame:
             out: list[dict[str, Any]] = []
             for uri, size in zip(frame["path"], frame["size"], strict=True):
                 try:
-                    place, name = pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+                    place, name = pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", quote(uri, safe="/:")))
                     with place.open_input_file(name) as file:
                         found = probe(lambda at, n: file.read_at(n, at), size)  # noqa: B023 - called at once
                 except (OSError, pa.ArrowInvalid):
