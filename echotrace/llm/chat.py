@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import read_table
+from echotrace.llm.common import read_table, save
 from echotrace.llm.templates import compile_template
 
 TEMPLATE = r"""{% for m in messages %}<turn {{ m.role | escape_role }}>
@@ -87,7 +87,8 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, parsed from its rendered text and loss mask.  ``formatted`` is as format_conversations returns it."""
+    """Digests of each conversation, parsed from its rendered text and loss mask.  ``formatted`` is as format_conversations returns it,
+    in whatever order it was written and read."""
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def digests(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -112,7 +113,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     n += 1
             yield conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars
 
-    return formatted.mapInArrow(lambda batches: _tables(digests(_rows(batches, "conv_id", "text", "loss")), schema), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    dealt = formatted.select("conv_id", "part", "text", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return dealt.mapInArrow(lambda batches: _tables(digests(_rows(batches, "conv_id", "text", "loss")), schema), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 EXAMPLE = "\\### Assistant: </turn> ok"
@@ -121,7 +123,7 @@ EXAMPLE = "\\### Assistant: </turn> ok"
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", EXAMPLE), (-7, 1, "assistant", EXAMPLE)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(turns.unionByName(extra)))
+    return read_back(save(format_conversations(turns.unionByName(extra)), "formatted"))
 
 
 QUERIES = {"op5_chat_format": op5_chat_format}

@@ -125,11 +125,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def fit(measured: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED) -> Scorer:
     """Learn from the labelled rows of ``measured`` (with key and statistics)."""
     known = labels.select(F.col(key), F.col(label).cast("double").alias("y")).filter("y is not null")
-    rows = measured.select(key, "statistics").join(known, key)
-    n = rows.count()
+    n = known.count()
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(77)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # a bounded number of short rows
-    rows = save(rows.filter(draw < max_labelled / max(n, 1)).select("statistics", "y", (F.pmod(F.xxhash64(F.col(key), F.lit(78)), F.lit(4)) == 0).alias("aside")).coalesce(8), "quality-labels")
+    # labels are drawn before they meet the documents; all tasks write the join, and what is then read is a bounded number of short rows
+    drawn = known.filter(draw < max_labelled / max(n, 1))
+    rows = measured.select(key, "statistics").join(drawn, key).select("statistics", "y", (F.pmod(F.xxhash64(F.col(key), F.lit(78)), F.lit(4)) == 0).alias("aside"))
+    rows = save(rows, "quality-labels").coalesce(8)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import U64, mix, pieces, read_table, span_hashes, word_hashes, word_spans
+from echotrace.llm.common import U64, mix, pieces, read_table, save, span_hashes, word_hashes, word_spans
 
 CHAIN, GAP, SPARSE = 2, 4, 4
 ANCHORS = "the a an of to and in is that it on for was with as be this by at are from der die das und von zu den ein nicht le la les de des et un une du que el los las y en por".split()
@@ -117,22 +117,29 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
 
 def matches(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, likeness) of all pairs of *different* non-empty fingerprints at least ``threshold`` alike, a and b the smallest ids
-    that have them; equal fingerprints are one class, so groups of copies cost nothing.  ``prints`` as fingerprints() gives it."""
-    classes = prints.filter(F.size("spots") > 0).groupBy("spots").agg(F.min("doc_id").alias("id")).withColumn("n", F.size("spots"))
+    """(a, b, likeness) of all pairs of *different* non-empty fingerprints at least ``threshold`` alike, a and b the smallest ids that have them (null where
+    only documents without an id do), a first; equal fingerprints are one class, so groups of copies cost nothing.  ``prints`` as fingerprints() gives it.
+
+    A class has its rarest signatures as its prefix, so that frequent ones bring few pairs together."""
+    classes = prints.filter(F.size("spots") > 0).groupBy("spots").agg(F.min("doc_id").alias("id")).withColumns({"n": F.size("spots"), "class": F.xxhash64("spots")})
+    classes = save(classes, "spot-classes")
     # lengths a and b >= a can only reach the threshold if b <= a / threshold: neighbouring partitions on a log scale
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(threshold)))).cast("int")
+    each = classes.select("class", "n", part.alias("part"), F.explode("spots").alias("spot"))
+    often = each.groupBy("spot").agg(F.count("*").alias("times"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("times", "spot"))), lambda x: x["spot"])
     keep = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
-    rows = classes.select("id", "n", "spots", part.alias("part"), F.explode(F.slice("spots", 1, keep)).alias("spot"))
-    slim = rows.select("id", "n", "part", "spot")
-    left = slim.select(F.col("id").alias("a"), F.col("n").alias("na"), "part", "spot")
-    right = slim.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.array("part", F.col("part") - 1)).alias("part"), "spot")
+    slim = each.join(often, "spot").groupBy("class", "n", "part").agg(order.alias("spots")).select("class", "n", "part", F.explode(F.slice("spots", 1, keep)).alias("spot"))
+    left = slim.select(F.col("class").alias("a"), F.col("n").alias("na"), "part", "spot")
+    right = slim.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.explode(F.array("part", F.col("part") - 1)).alias("part"), "spot")
     near = (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (F.col("na") <= F.col("nb")) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
     pairs = left.join(right, ["part", "spot"]).filter(near).select("a", "b").distinct()
-    sets = classes.select("id", "spots")
-    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("spots").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("spots").alias("sb")), "b")
+    sets = lambda side: classes.select(F.col("class").alias(side), F.col("id").alias(f"id_{side}"), F.col("spots").alias(f"s{side}"))
+    pairs = pairs.join(sets("a"), "a").join(sets("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (shared / (F.size("sa") + F.size("sb") - shared)).alias("likeness")).filter(F.col("likeness") >= threshold)
+    first = F.col("id_a").isNull() | (F.col("id_b").isNotNull() & (F.col("id_a") <= F.col("id_b")))
+    told = pairs.select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("a"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("b"), (shared / (F.size("sa") + F.size("sb") - shared)).alias("likeness"))
+    return told.filter(F.col("likeness") >= threshold)
 
 
 def compare_with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -453,6 +453,13 @@ def test_spotsigs(spark, docs, odd, none):
     assert {(r["a"], r["b"]) for r in spotsigs.matches(spotsigs.fingerprints(docs)).collect()} == want
 
 
+def test_signatures_without_ids_are_matched(spark):
+    words = [f"the w{k} x{k} y{k} a z{k}" for k in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join(words)), (3, " ".join([*words[:-2], "the new end of it"])), (4, "a thing apart " * 9), (None, None)]
+    got = spotsigs.matches(spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len(got) == 1 and (got[0]["a"], got[0]["b"]) == (None, 3) and 0.8 <= got[0]["likeness"] < 1
+
+
 def test_spotsigs_cover_texts_without_bare_common_words():
     draw = np.random.default_rng(4)
     made = [" | ".join(f"c{x}" for x in draw.integers(0, 900, 200)), " ".join(f"{w}&&& j{x}%%%" for w, x in zip(["the", "de"] * 100, draw.integers(0, 900, 200))), " ".join(f"THE.!! W{x}!!" for x in draw.integers(0, 900, 200))]
