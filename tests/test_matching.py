@@ -115,19 +115,23 @@ KINDS = {
 }
 
 
+def split(spark, rows, retention):
+    """All rows at once without a retention; else the later half against the earlier one."""
+    cut = START + dt.timedelta(hours=200)
+    now = rows if retention is None else [r for r in rows if r[2] >= cut]
+    return now, spark.createDataFrame(now, SCHEMA), None if retention is None else spark.createDataFrame([r for r in rows if r[2] < cut], SCHEMA)
+
+
 @pytest.mark.parametrize("retention", [None, 30 * HOUR])
 @pytest.mark.parametrize("kind", KINDS)
 def test_matcher_equals_all_pairs(spark, kind, retention):
     rows = drawn(150, seed=len(kind))
     brute, match, senders = KINDS[kind]
     options = {"ts": "ts", "retention_s": retention}
-    cut = START + dt.timedelta(hours=200)
-    for now, old in ((rows, []), ([r for r in rows if r[2] >= cut], [r for r in rows if r[2] < cut])):
-        a, b = (spark.createDataFrame(x, SCHEMA) for x in (now, old))
-        want_match, want_who = brute(rows, now, retention)
-        history = b if old else None
-        assert {r[0]: (r[1], r[2]) for r in match(a, history, options).collect()} == want_match
-        assert {r[0]: r[1] for r in senders(a, history, options).collect()} == want_who
+    now, a, history = split(spark, rows, retention)
+    want_match, want_who = brute(rows, now, retention)
+    assert {r[0]: (r[1], r[2]) for r in match(a, history, options).collect()} == want_match
+    assert {r[0]: r[1] for r in senders(a, history, options).collect()} == want_who
 
 
 @pytest.mark.parametrize("kind", KINDS)
@@ -136,8 +140,8 @@ def test_stream_equals_batch(spark, kind, tmp_path):
     _, match, _ = KINDS[kind]
     options = {"ts": "ts", "retention_s": 60 * HOUR}
     source = f"{tmp_path}/in"
-    for k in (0, 40, 80):
-        spark.createDataFrame(rows[k : k + 40], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    for k in (0, 60):
+        spark.createDataFrame(rows[k : k + 60], SCHEMA).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(SCHEMA).parquet(source)
         stream_matches(stream, lambda now, old: match(now, old, options), f"{tmp_path}/store", f"{tmp_path}/out", f"{tmp_path}/checkpoint", ts="ts", retention_s=60 * HOUR).awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").drop("batch")
@@ -148,13 +152,11 @@ def test_stream_equals_batch(spark, kind, tmp_path):
 def test_cells_leave_nothing_out(spark, retention, monkeypatch):
     monkeypatch.setattr(cells, "ROWS_A_PIVOT", 9)
     rows = drawn(150, seed=11)
-    cut = START + dt.timedelta(hours=200)
-    for now, old in ((rows, []), ([r for r in rows if r[2] >= cut], [r for r in rows if r[2] < cut])):
-        a, b = (spark.createDataFrame(x, SCHEMA) for x in (now, old))
-        match, who = by_score(rows, now, retention, cosine, 7, 0.9)
-        options = {"group": "g", "order": "id", "vector": "v", "threshold": 0.9, "size": 20, "ts": "ts", "retention_s": retention}
-        assert {r[0]: (r[1], r[2]) for r in cells.matches_by_cosine(a, b if old else None, **options).collect()} == {k: v for k, v in match.items() if v[1] >= 0.9}
-        assert {r[0]: r[1] for r in cells.senders_by_cosine(a, b if old else None, sender="who", **options).collect()} == who
+    now, a, history = split(spark, rows, retention)
+    match, who = by_score(rows, now, retention, cosine, 7, 0.9)
+    options = {"group": "g", "order": "id", "vector": "v", "threshold": 0.9, "size": 20, "ts": "ts", "retention_s": retention}
+    assert {r[0]: (r[1], r[2]) for r in cells.matches_by_cosine(a, history, **options).collect()} == {k: v for k, v in match.items() if v[1] >= 0.9}
+    assert {r[0]: r[1] for r in cells.senders_by_cosine(a, history, sender="who", **options).collect()} == who
 
 
 def test_cells_compare_a_tenth_of_clustered_vectors(spark):

@@ -22,7 +22,7 @@ def indexed(spark, tmp_path_factory):
     return table, path
 
 
-@pytest.mark.parametrize("query", ["橙色 猫", "猫", "night SKY", "strasse", "fish", "re er", "xyz", " ", "a", "窗台猫", "night sky red"])
+@pytest.mark.parametrize("query", ["橙色 猫", "猫", "STRASSE", "re er", " ", "night sky red"])
 @pytest.mark.parametrize("fuzzy_from", [None, 0.65])
 def test_search_by_index_equals_search_of_all(spark, indexed, query, fuzzy_from):
     table, path = indexed
