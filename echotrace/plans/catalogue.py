@@ -11,6 +11,7 @@ from echotrace.functions.urls import fingerprint, normalised
 from echotrace.operators import cells, context, filters, forwards, judging, prompts, repeats, routing, search, similar, video
 from echotrace.operators import status as stored
 from echotrace.plans import flow
+from echotrace.streaming import sessions
 
 DAY = repeats.DAY
 
@@ -24,6 +25,12 @@ def repeat_verdict(spark, d):
     return repeats.repeat_verdicts(events, key=["event_type", "props"], order="event_id", ts="ts", sender="user_id", cooldown_s=DAY)
 
 
+def repeat_sessions(spark, d):
+    """Runs of a content's events with less than six hours between them."""
+    found = sessions.repeat_sessions(table(spark, d, "events"), key=["event_type", "props"], ts="ts", sender="user_id", gap_s=6 * 3600)
+    return found.filter("times > 1")
+
+
 def repeat_first_seen(spark, d):
     return repeats.first_seen(table(spark, d, "events"), key=["event_type", "props"], order="event_id", ts="ts")
 
@@ -370,6 +377,10 @@ g as (select event_id, count(distinct mu) senders from p group by event_id),
 f as (select * from (select p.*, row_number() over (partition by event_id order by mts, mid) rn from p where mid <> event_id) z where rn = 1)
 select g.event_id, f.mid matched_id, g.senders unique_senders, case when f.mid is null then 'no_match' when f.mu = f.user_id then 'same_sender' when g.senders < 3 then 'few_senders' when f.ts < f.mts + interval '1' day then 'cooldown' else 'remind' end verdict
 from g left join f on g.event_id = f.event_id""",
+    "repeat_sessions": """
+with b as (select *, coalesce(ts >= lag(ts) over (partition by event_type, props order by ts, event_id) + interval '6' hour, true) fresh from events),
+s as (select *, sum(fresh::int) over (partition by event_type, props order by ts, event_id) n from b)
+select event_type, props, epoch_us(min(ts)) started, epoch_us(max(ts)) + 21600000000 ended, count(*) times, count(distinct user_id) senders from s group by event_type, props, n having count(*) > 1""",
     "repeat_first_seen": "select event_type, props, arg_min(event_id, (ts, event_id)) event_id, count(*) times from events group by event_type, props",
     "text_exact_groups": f"select lang, sha256({_NORMAL}) text_hash, count(*) times, count(distinct source) senders, min(doc_id) first_id from documents group by all having count(*) > 1",
     "url_exact_groups": """
