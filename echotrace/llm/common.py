@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
+#: text that is hashed at once where memory counts: the arrays of it take some 40 bytes a byte
+HASHED_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -120,17 +122,19 @@ _EXACT = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
+    """At least ``n`` powers of the base and of its inverse, hardly more: a worker holds them as long as it lives."""
+    if n > len(_powers.get("base", ())):
+        size = -(-int(n) // (1 << 16)) << 16
         _powers.clear()
-        a, b = np.full(size, U64(_BASE)), np.full(size, U64(_INVERSE))
-        a[0] = b[0] = 1
-        _powers[size] = np.cumprod(a), np.cumprod(b)
-    return _powers[size]
+        for name, x in (("base", _BASE), ("inverse", _INVERSE)):
+            made = np.full(size, U64(x))
+            made[0] = 1
+            _powers[name] = np.cumprod(made, out=made)
+    return _powers["base"], _powers["inverse"]
 
 
 def word_spans(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,8 +175,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, exact
     if not len(starts):
         return np.zeros(0, U64)
     up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((_EXACT if exact else _BYTE)[data] * up[: len(data)], out=total[1:])
+    total = np.empty(len(data) + 1, U64)
+    total[0] = 0
+    np.take(_EXACT if exact else _BYTE, data, out=total[1:], mode="clip")
+    total[1:] *= up[: len(data)]
+    np.cumsum(total[1:], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 

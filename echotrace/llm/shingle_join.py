@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echotrace.llm.common import U64, Scratch, distinct_by_row, mix, packed, pieces, read_table, shingles, unpacked, word_hashes
+from echotrace.llm.common import HASHED_BYTES, U64, Scratch, distinct_by_row, mix, packed, pieces, read_table, shingles, unpacked, word_hashes
 from echotrace.llm.components import components
 
 RATIO = 1.4
@@ -184,7 +184,7 @@ def with_class(docs: DataFrame, words: int, threshold: Fraction | None = None) -
     """``docs`` (with text, and no columns of these names) with n_shingles long, class long (null without words) and, given a threshold, needs array<long>."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=HASHED_BYTES):
             values, first = document_sets(batch.column(batch.schema.get_field_index("text")), words)
             n = np.diff(first)
             new = {"n_shingles": pa.array(n, pa.int64()), "class": pa.array(class_of(values, first), pa.int64(), mask=n == 0)}
@@ -203,7 +203,7 @@ def _tiles(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=HASHED_BYTES):
             values, first = document_sets(batch.column(0), words)
             names = class_of(values, first)
             rows, keys = segment_keys(values, first, threshold)
@@ -253,7 +253,7 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal rows with the same id meet in one task, so this is no more than its share of classes
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=HASHED_BYTES):
             values, first = document_sets(batch.column(2), words)
             names = class_of(values, first)
             keep = [int(x) == y and y not in seen and not seen.add(y) for x, y in zip(names, batch.column(0).to_pylist(), strict=True)]

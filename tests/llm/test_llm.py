@@ -3,9 +3,11 @@
 import hashlib
 import io
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
+from unittest.mock import MagicMock
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,24 @@ def test_words_and_shingles():
     assert common.word_hashes(sliced)[0].tolist() == common.word_hashes(pa.array(["a b", "c"]))[0].tolist()
 
 
+def test_hashing_holds_little_at_once():
+    """A batch of 4 MB, as Arrow hands it to tasks."""
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in draw.integers(0, 9000, 700)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    docs = MagicMock()
+    docs.schema.fields = []
+    shingle_join.with_class(docs, 5, Fraction(4, 5))
+    shingle_join._tiles(docs, 5, Fraction(4, 5))
+    for call in docs.mapInArrow.call_args_list:
+        tracemalloc.start()
+        assert sum(1 for _ in call.args[0](iter([batch]))) > 1
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+        tracemalloc.stop()
+    held = sum(x.nbytes for x in common._power(600_000))
+    assert held == sum(x.nbytes for x in common._power(500_000)) < 12e6
+
+
 def test_decontaminate(spark, odd, none):
     items = spark.createDataFrame([(1, "the cat sat on the mat the cat"), (2, None), (3, ""), (4, "word"), (1, "the cat sat on the mat the cat")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(odd, items).filter("doc_id is not null").collect())
