@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import U64, mix, pieces, read_table, save, span_hashes, word_hashes, word_spans
+from echotrace.llm.common import HASHED_BYTES, U64, mix, pieces, read_table, save, span_hashes, word_hashes, word_spans
 
 CHAIN, GAP, SPARSE = 2, 4, 4
 ANCHORS = "the a an of to and in is that it on for was with as be this by at are from der die das und von zu den ein nicht le la les de des et un une du que el los las y en por".split()
@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     """(doc_id, spots array<long>) of every document."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=HASHED_BYTES):
             sets = spot_sets([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "spots"])
 
@@ -142,6 +142,26 @@ def matches(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     return told.filter(F.col("likeness") >= threshold)
 
 
+def runs(rows: Iterator[tuple[tuple, int]]) -> Iterator[list[tuple]]:
+    """Of sorted ((range, whether it is the next range's first, ...), bytes): lists of a range's documents, each with one more that only follows, so
+    that a list and its edits are hashed at once."""
+    held, size = [], 0
+    for row, n in rows:
+        if held and (held[-1][1] or held[-1][0] != row[0]):  # the range is over, or more of its tail follows
+            if held[-1][0] == row[0]:
+                continue
+            if len(held) > 1:
+                yield held
+            held, size = [], 0
+        held.append(row)
+        size += n
+        if size > HASHED_BYTES // 2 and len(held) > 1:
+            yield held
+            held, size = held[-1:], n
+    if len(held) > 1:
+        yield held
+
+
 def compare_with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint beside that of its edit (its latter half replaced by the beginning of the next document) and the next's.
 
@@ -171,8 +191,9 @@ def compare_with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for b, tail, i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield b, tail, i, unpack(data).decode()
+            for b, tail, i, data in zip(*batch.columns, strict=True):
+                text = unpack(data.as_py())
+                yield (b.as_py(), tail.as_py(), i.as_py(), text.decode()), len(text)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
@@ -188,21 +209,7 @@ def compare_with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for row in texts(batches):
-            if held and (held[-1][1] or held[-1][0] != row[0]):  # the range is over, or more of its tail follows
-                if held[-1][0] == row[0]:
-                    continue
-                if len(held) > 1:
-                    yield compared(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
-            if size > 2 << 20 and len(held) > 1:
-                yield compared(held)
-                held, size = held[-1:], len(row[3])
-        if len(held) > 1:
-            yield compared(held)
+        return map(compared, runs(texts(batches)))
 
     dealt = rows.mapInArrow(deal, "bucket long, tail boolean, id long, packed binary").repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "tail", "id", "packed")
     return dealt.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

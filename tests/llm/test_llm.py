@@ -473,6 +473,18 @@ def test_spotsigs(spark, docs, odd, none):
     assert {(r["a"], r["b"]) for r in spotsigs.matches(spotsigs.fingerprints(docs)).collect()} == want
 
 
+def test_spotsigs_hash_few_bytes_at_once():
+    """Runs are cut by bytes, not by characters; every document is in one, with the next after it."""
+    sizes = [90_000] * 40 + [3_000_000] + [9] * 300
+    rows = [((k // 150, False, k), n) for k, n in enumerate(sizes)]
+    rows[300:300] = [((1, True, 300), 9)]
+    rows[150:150] = [((0, True, 150), 9), ((0, True, 150), 9)]
+    got = list(spotsigs.runs(iter(rows)))
+    assert [x[2] for run in got for x in run[:-1]] == list(range(len(sizes) - 1))
+    assert all(b[2] == a[2] + 1 for run in got for a, b in zip(run, run[1:]))
+    assert all(sum(sizes[x[2]] for x in run) <= common.HASHED_BYTES for run in got if all(x[2] != 40 for x in run))
+
+
 def test_signatures_without_ids_are_matched(spark):
     words = [f"the w{k} x{k} y{k} a z{k}" for k in range(60)]
     rows = [(None, " ".join(words)), (None, " ".join(words)), (3, " ".join([*words[:-2], "the new end of it"])), (4, "a thing apart " * 9), (None, None)]
