@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import held_out, pieces, read_table, save, word_hashes, word_spans
+from echotrace.llm.common import held_out, pieces, read_table, save, span_hashes, word_spans
 
 HEAD, HEAD_CLASSES, TAIL_CLASSES, HIDDEN = 1024, 32, 32, 32
 WINDOW, LANES, SAMPLE_TOKENS, EPOCHS, RATE = 16, 64, 600_000, 2, 0.004
@@ -50,7 +50,7 @@ def tail_classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 def _read(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and tail classes of all tokens, with an end after each row's words, and where rows begin."""
     data, starts, ends, first = word_spans(text)
-    hashes, _ = word_hashes(text)
+    hashes = span_hashes(data, starts, ends)
     n = len(first) - 1
     out = np.full(len(hashes) + n, END)
     kinds = np.zeros(len(out), np.int64)
@@ -181,31 +181,44 @@ class Model:
         return np.where(x < n, x // self.words, HEAD_CLASSES + x - n)
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        return self.gates(self.p["x"][x], h)
-
-    def gates(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The state after ``h`` and rows ``a`` of the input weights, with what gradients need."""
-        u = h @ self.p["u"]
-        rz = _sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        n = r * u[:, 2 * HIDDEN :]
-        n += a[:, 2 * HIDDEN :]
+        return self.gates([self.p["x"][x, k : k + HIDDEN] for k in range(0, 3 * HIDDEN, HIDDEN)], h, self.recurrent())
+
+    def recurrent(self) -> np.ndarray:
+        """The recurrent weights of each gate, one after the other: gates are arrays of their own, as numpy is slow on parts of rows."""
+        return np.ascontiguousarray(self.p["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+
+    def gates(self, a: list[np.ndarray] | np.ndarray, h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after ``h`` and the gates' rows ``a`` of the input weights, with what gradients need."""
+        r, z, un = np.matmul(h, weights)
+        r += a[0]
+        z += a[1]
+        r, z = _sigmoid(r), _sigmoid(z)
+        n = r * un
+        n += a[2]
         np.tanh(n, out=n)
         new = h - n
         new *= z
         new += n
-        return new, r, z, n, u[:, 2 * HIDDEN :]
+        return new, r, z, n, un
+
+    def _sorted(self, h: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """The places of head tokens in order of their classes, their states, the logits of their classes' words, and which of them each class has."""
+        order = np.argsort(c.astype(np.uint8), kind="stable")
+        edges = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
+        order = order[: edges[-1]]
+        parts = [(k, a, b) for k, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if a < b]
+        own, w = h[order], self.p["w"]
+        logits = np.take(self.p["wb"], c[order], axis=0)
+        for k, a, b in parts:
+            logits[a:b] += own[a:b] @ w[k]
+        return order, own, logits, parts
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithm of what the model says of tokens y after states h; a tail token's share of its class isn't in it."""
         c = self._class(y)
         out = _log_softmax_at(h @ self.p["c"] + self.p["cb"], c)
-        order = np.argsort(c.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
-        for k in range(HEAD_CLASSES):
-            own = order[edges[k] : edges[k + 1]]
-            if len(own):
-                out[own] += _log_softmax_at(h[own] @ self.p["w"][k] + self.p["wb"][k], y[own] % self.words)
+        order, _, logits, _ = self._sorted(h, y, c)
+        out[order] += _log_softmax_at(logits, y[order] % self.words)
         return out
 
     def score(self, x: np.ndarray, first: np.ndarray, window: int = 1 << 14) -> np.ndarray:
@@ -217,9 +230,9 @@ class Model:
         total, h = np.zeros(len(n)), np.zeros((len(n), HIDDEN), np.float32)
         last = np.full(len(n), end)
         states, targets, held = [], [], 0
-        for t in range(int(length.max(initial=0))):
-            live = int(np.searchsorted(-length, -t, "left"))  # rows longer than t
-            h[:live] = self.step(last[:live], h[:live])[0]
+        weights, inputs = self.recurrent(), [np.ascontiguousarray(self.p["x"][:, k : k + HIDDEN]) for k in range(0, 3 * HIDDEN, HIDDEN)]
+        for t, live in enumerate(np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left").tolist()):  # rows longer than t
+            h[:live] = self.gates([g.take(last[:live], 0) for g in inputs], h[:live], weights)[0]
             last[:live] = x[start[:live] + t]
             states.append(h[:live].copy())
             targets.append(last[:live].copy())
@@ -259,11 +272,11 @@ class Model:
     def _gradients(self, came: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
         """Of the mean loss of the tokens that are ``live`` (all if None), and the states to go on with."""
         p, kept, states, lanes = self.p, [], [], came.shape[1]
-        inputs = p["x"][came]
+        weights, inputs = self.recurrent(), [np.ascontiguousarray(p["x"][:, k : k + HIDDEN]).take(came, 0) for k in range(0, 3 * HIDDEN, HIDDEN)]
         for t in range(len(came)):
             if fresh[t].any():
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            new, r, z, n, un = self.gates(inputs[t], h)
+            new, r, z, n, un = self.gates([g[t] for g in inputs], h, weights)
             kept.append((h, r, z, n, un))
             states.append(new)
             h = new
@@ -278,41 +291,47 @@ class Model:
         d *= scale
         g = {"c": states.T @ d, "cb": d.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"]), "x": np.zeros_like(p["x"])}
         dh = d @ p["c"].T
-        order = np.argsort(c.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
-        for k in range(HEAD_CLASSES):
-            own = order[edges[k] : edges[k + 1]]
-            if len(own):
-                mine = states[own]
-                e = _softmax(mine @ p["w"][k] + p["wb"][k])
-                e[np.arange(len(own)), flat[own] % self.words] -= 1
-                e *= scale if np.ndim(scale) == 0 else scale[own]
-                g["w"][k], g["wb"][k] = mine.T @ e, e.sum(0)
-                dh[own] += e @ p["w"][k].T
+        order, own, e, parts = self._sorted(states, flat, c)
+        _softmax(e)
+        e[np.arange(len(order)), flat[order] % self.words] -= 1
+        e *= scale if np.ndim(scale) == 0 else scale[order]
+        back = np.empty_like(own)
+        for k, a, b in parts:
+            g["w"][k], g["wb"][k] = own[a:b].T @ e[a:b], _ones(b - a, e.dtype.str) @ e[a:b]
+            np.matmul(e[a:b], p["w"][k].T, out=back[a:b])
+        dh[order] += back
         after = np.zeros((lanes, HIDDEN), p["u"].dtype)
-        da, du = np.empty(inputs.shape, p["u"].dtype), np.empty(inputs.shape, p["u"].dtype)
+        da, du = np.empty((3, *came.shape, HIDDEN), p["u"].dtype), np.empty((3, *came.shape, HIDDEN), p["u"].dtype)
+        turned = np.ascontiguousarray(weights.transpose(0, 2, 1))
         for t in range(len(kept) - 1, -1, -1):
             hp, r, z, n, un = kept[t]
             dt = dh[t * lanes : (t + 1) * lanes] + after
-            rest = 1 - z
             kept_on = dt * z
-            dn = n * n
+            dn = da[2, t]
+            np.multiply(n, n, out=dn)
             np.subtract(1, dn, out=dn)
-            dn *= rest
+            dt -= kept_on
             dn *= dt
-            own = du[t]
-            own[:, 2 * HIDDEN :] = dn * r
-            own[:, :HIDDEN] = own[:, 2 * HIDDEN :] * un * (1 - r)
-            own[:, HIDDEN : 2 * HIDDEN] = kept_on * (hp - n) * rest
-            da[t, :, : 2 * HIDDEN], da[t, :, 2 * HIDDEN :] = own[:, : 2 * HIDDEN], dn
-            after = own @ p["u"].T
+            ur, uz, un_ = du[0, t], du[1, t], du[2, t]
+            np.multiply(dn, r, out=un_)
+            np.multiply(un_, un, out=ur)
+            ur *= 1 - r
+            np.subtract(hp, n, out=uz)
+            uz *= kept_on
+            uz *= 1 - z
+            after = ur @ turned[0]
+            after += uz @ turned[1]
+            after += un_ @ turned[2]
             after += kept_on
             if fresh[t].any():
                 after *= ~fresh[t][:, None]
-        g["u"] = np.concatenate([x[0] for x in kept]).T @ du.reshape(-1, 3 * HIDDEN)
+        da[:2] = du[:2]
+        before = np.concatenate([x[0] for x in kept]).T
+        g["u"] = np.concatenate([before @ x.reshape(-1, HIDDEN) for x in du], 1)
         order = np.argsort(came.ravel().astype(np.uint16), kind="stable")
         tokens, at = np.unique(came.ravel()[order], return_index=True)
-        g["x"][tokens] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], at, axis=0)
+        for k in range(3):
+            g["x"][tokens, k * HIDDEN : (k + 1) * HIDDEN] = np.add.reduceat(da[k].reshape(-1, HIDDEN).take(order, 0), at, axis=0)
         return g, h
 
 
@@ -328,11 +347,21 @@ class Adam:
         self.count += 1
         fit, first, second = np.float32(min(1.0, 1.0 / (norm + 1e-9))), np.float32(self.rate / (1 - 0.9**self.count)), np.float32(1 / (1 - 0.999**self.count))
         for k, g in grads.items():
-            g = g * fit
             m, v = self.moment[k]
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.001) * (g * g - v)
-            p[k] -= first * m / (np.sqrt(v * second) + np.float32(1e-8))
+            g = g * fit
+            part = g - m
+            part *= np.float32(0.1)
+            m += part
+            g *= g
+            g -= v
+            g *= np.float32(0.001)
+            v += g
+            np.multiply(v, second, out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= first
+            p[k] -= g
 
 
 def learn_all(model: Model, adam: Adam, training: DataFrame, *, key: str = "doc_id", text: str = "text") -> int:

@@ -253,6 +253,17 @@ def test_language_model_learns_from_all_training_documents(spark, docs, none, mo
         assert all(np.isfinite(x).all() for x in model.p.values())
 
 
+def test_language_model_reads_once_and_keeps_gates_apart(monkeypatch):
+    calls, spans = [], common.word_spans
+    for module in (common, language_model):
+        monkeypatch.setattr(module, "word_spans", lambda text: calls.append(len(text)) or spans(text))
+    token, _, first = language_model._read(pa.array(["a B", None, "b a"]))
+    assert calls == [3] and first.tolist() == [0, 3, 4, 7] and token[0] == token[5] and token[1] == token[4]
+    model = language_model.Model(np.array([5, 7, int(language_model.END)]), np.array([3.0, 2, 2]), np.full(language_model.TAIL_CLASSES, 4.0), np.full(language_model.TAIL_CLASSES, 3.0))
+    gates = model.step(np.array([0, 1, 2, 9]), np.zeros((4, language_model.HIDDEN), np.float32))
+    assert all(x.flags.c_contiguous and x.shape == (4, language_model.HIDDEN) for x in gates)
+
+
 def test_gradients_match_differences():
     model = language_model.Model(np.array([5, 7, int(language_model.END)]), np.array([3.0, 2, 2]), np.full(language_model.TAIL_CLASSES, 4.0), np.full(language_model.TAIL_CLASSES, 3.0))
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
