@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echotrace.operators.sliding import SECOND, meet, moment, sender_counts, with_history
+from echotrace.operators.sliding import SECOND, coded, meet, moment, sender_counts, with_history
 from echotrace.shared import saved
 
 DAY = 86_400
@@ -85,9 +85,10 @@ def equal_groups(messages: DataFrame, *, key: list[str], sender: str, order: str
 
 
 def _under_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each key that a message has: _kind is the key's place among ``keys``."""
+    """A row for each key that a message has: _kind is the key's place among ``keys``; _alone: it has no other."""
     each = F.filter(F.array(*[F.struct(F.lit(n).alias("_kind"), F.col(k).cast("string").alias("_key")) for n, k in enumerate(keys)]), lambda x: x["_key"] != "")
-    return rows.select("_g", "_at", "_id", *[c for c in ("_sender", "_now") if c in rows.columns], F.inline(each))
+    kept = rows.withColumn("_each", each).withColumn("_alone", F.size("_each") == 1)
+    return kept.select("_g", "_at", "_id", F.col("_now").alias("_asks"), "_alone", *[c for c in ("_code",) if c in rows.columns], F.inline("_each"))
 
 
 def any_key_match(messages: DataFrame, history: DataFrame | None = None, *, group: str, keys: list[str], order: str, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
@@ -96,7 +97,7 @@ def any_key_match(messages: DataFrame, history: DataFrame | None = None, *, grou
     Rows of ``history`` are matched with, but match nothing themselves.  ``order`` is a whole number; null and empty keys match nothing; see operators.sliding."""
     columns = [F.col(group).alias("_g"), moment(ts, order).alias("_at"), F.col(order).cast("long").alias("_id"), *[F.col(k) for k in keys]]
     rows = saved(_under_keys(with_history(messages, history, columns), keys), "keys")
-    met = meet(rows.filter("_now").drop("_now"), rows.drop("_now"), retention_s=retention_s, senders=False).filter("first_id is not null")
+    met = meet(rows, retention_s=retention_s, senders=False, some=history is not None).filter("first_id is not null")
     best = met.groupBy("_id").agg(F.min(F.struct("first_at", "first_id", "_kind")).alias("hit"))
     kind = messages.schema[order].dataType
     return best.select(F.col("_id").cast(kind).alias(order), F.col("hit.first_id").cast(kind).alias("matched_id"), F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("hit._kind") + 1).alias("match_type"))
@@ -105,10 +106,10 @@ def any_key_match(messages: DataFrame, history: DataFrame | None = None, *, grou
 def senders_by_any_key(messages: DataFrame, history: DataFrame | None = None, *, group: str, keys: list[str], order: str, sender: str, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
     """(order, unique_senders): distinct senders, empty ones left out, of the rows within the retention, at or before each one, that share any key with it.
 
-    A row's senders are bitmaps, one a key; no sender or row is joined with a row.  Rows of ``history`` count, but have no counts themselves."""
+    A row's senders are sets, one a key; no sender or row is joined with a row.  Rows of ``history`` count, but have no counts themselves."""
     columns = [F.col(group).alias("_g"), moment(ts, order).alias("_at"), F.col(order).cast("long").alias("_id"), F.col(sender).cast("string").alias("_sender"), *[F.col(k) for k in keys]]
-    rows = saved(_under_keys(with_history(messages, history, columns), keys), "keys")
-    met = meet(rows.filter("_now").drop("_now", "_sender"), rows.drop("_now"), retention_s=retention_s, senders=True)
+    rows = saved(_under_keys(coded(with_history(messages, history, columns)), keys), "keys")
+    met = meet(rows, retention_s=retention_s, senders=True, some=history is not None)
     counts = sender_counts(met, "_id").withColumn(order, F.col("_id").cast(messages.schema[order].dataType)).drop("_id")
     return messages.select(order).join(counts, order, "left").fillna(0, ["unique_senders"])
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrace.functions.names import metadata_hash
-from echotrace.functions.similarity import FRAMES, STRONG, STRONG_FRAMES, frames_match
-from echotrace.operators.similar import bits_of, near_hashes
-from echotrace.operators.sliding import meet, moment, sender_counts, with_history
+from echotrace.functions.similarity import FRAMES, SLACK_MS, SLACK_SHARE, STRONG, STRONG_FRAMES
+from echotrace.operators.sliding import MET, SECOND, coded, meet, moment, packed, sender_counts, with_history
+from echotrace.operators.sweep import BLOCK, TILE, before, dealt, swept, times
 from echotrace.shared import saved
 
 # fixed values: the tiers of a match in their order, kinds of analysis, and sources that belong to the message itself
@@ -17,6 +20,8 @@ BOUND_SOURCES = ("component_path", "get_file_local", "get_file_http")
 VERSION = 1
 FRAME_BITS = 256
 MEGABYTE = 1 << 20
+#: pairs of a video and a sender that a task holds before it sends them
+MOST = 1 << 22
 
 
 def size_diagnostics(declared: Column, actual: Column) -> Column:
@@ -74,56 +79,182 @@ def _each(messages: DataFrame, history: DataFrame | None, group: str, order: str
     """One row a video, written once: all that follows reads it several times."""
     who = F.col(sender).cast("string") if sender else F.lit(None).cast("string")
     rows = with_history(messages, history, [F.col(group).alias("_g"), moment(ts, order).alias("_at"), F.col(order).cast("long").alias("_id"), who.alias("_sender"), F.col(videos).alias("_videos")])
+    rows = coded(rows) if sender else rows.drop("_sender").withColumn("_code", F.lit(None).cast("int"))
     v = F.col("_v")
     framed = F.coalesce((F.size(v["frame_hashes"]) == FRAMES) & (v["duration_ms"] > 0), F.lit(False))
-    each = rows.select("_g", "_at", "_id", "_sender", "_now", F.explode("_videos").alias("_v"))
-    return saved(each.select("_g", "_at", "_id", "_sender", "_now", v["sha256"].alias("sha"), v["metadata_hash"].alias("meta"), (v["analysis"] == "metadata").alias("by_meta"), F.when(framed, v["frame_hashes"]).alias("frames"), F.when(framed, v["duration_ms"]).alias("ms"), F.when(framed, F.xxhash64(v["frame_hashes"], v["duration_ms"])).alias("print")), "videos")
+    each = rows.select("_g", "_at", "_id", "_code", "_now", (F.size("_videos") == 1).alias("_single"), F.explode("_videos").alias("_v"))
+    return saved(each.select("_g", "_at", "_id", "_code", "_now", "_single", v["sha256"].alias("sha"), v["metadata_hash"].alias("meta"), (v["analysis"] == "metadata").alias("by_meta"), F.when(framed, v["frame_hashes"]).alias("frames"), F.when(framed, v["duration_ms"].cast("long")).alias("ms"), F.when(framed, F.xxhash64(v["frame_hashes"], v["duration_ms"])).alias("print")), "videos")
+
+
+class _Prints:
+    """The frames of videos as words of eight bytes, and how many digits each has (0: not hexadecimal)."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.table = table
+        self.at, self.id = times(table)
+        self.code = table.column("_code").fill_null(-1).to_numpy()
+        self.print, self.row = np.unique(table.column("print").to_numpy(), return_inverse=True)
+        kept = table.take(pa.array(np.unique(self.row, return_index=True)[1]))  # equal prints are compared once
+        self.ms = kept.column("ms").to_numpy()
+        self.digits = kept.column("_digits").combine_chunks().flatten().to_numpy().reshape(-1, FRAMES)
+        frames = kept.column("_bits").combine_chunks().flatten().to_pylist()
+        width = max(8, -(-max(map(len, frames), default=0) // 8) * 8)
+        self.words = np.frombuffer(b"".join(f.ljust(width, b"\0") for f in frames), np.uint64).reshape(len(self.ms), FRAMES, width // 8)
+
+
+def _alike(a: _Prints, p: np.ndarray, b: _Prints, q: np.ndarray, place: int) -> np.ndarray:
+    """Likeness of a place of prints p and q, indices that numpy broadcasts."""
+    n = min(a.words.shape[2], b.words.shape[2])
+    x, y, m, k = a.words[:, place], b.words[:, place], a.digits[p, place], b.digits[q, place]
+    apart = sum(np.bitwise_count(x[p, w] ^ y[q, w]).astype(np.uint16) for w in range(n))
+    return np.where((m == k) & (m > 0), 1 - apart / (4 * np.maximum(m, 1)), 0.0)
+
+
+def _links(a: _Prints, b: _Prints, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The prints (of a, of b) that match and aren't equal.
+
+    Of five frames four must be strong, so where all have the usual length a pair with two frames that aren't is left out; places are compared one by one for all pairs
+    until few are left, and then for those alone."""
+    longest = np.maximum(a.ms[:, None], b.ms[None])
+    open_ = (np.abs(a.ms[:, None] - b.ms[None]) <= np.maximum(SLACK_MS, (longest * SLACK_SHARE).astype(np.int64))) & (a.print[:, None] != b.print[None])
+    usual = a.words.shape[2] == b.words.shape[2] == FRAME_BITS // 64 and (a.digits == FRAME_BITS // 4).all() and (b.digits == FRAME_BITS // 4).all()
+    if usual:
+        weak, most = np.zeros(open_.shape, np.uint8), int((1 - STRONG) * FRAME_BITS + 1e-9)
+        for place in range(FRAMES):
+            apart = np.zeros(open_.shape, np.uint16)
+            for w in range(FRAME_BITS // 64):
+                apart += np.bitwise_count(a.words[:, place, w][:, None] ^ b.words[:, place, w][None])
+            weak += apart > most
+            if place and (weak <= FRAMES - STRONG_FRAMES).mean() < 0.1:
+                break
+        open_ &= weak <= FRAMES - STRONG_FRAMES
+    p, q = np.nonzero(open_)
+    total, strong = np.zeros(len(p)), np.zeros(len(p), np.int8)
+    for place in range(FRAMES):
+        each = _alike(a, p, b, q, place)
+        total += each
+        strong += each >= STRONG
+    keep = (total / FRAMES >= threshold) & (strong >= STRONG_FRAMES)
+    return p[keep], q[keep]
+
+
+class _Near:
+    """What the videos of a block meet by frames: the first (``senders`` False), or the senders."""
+
+    def __init__(self, asks: pa.Table, window: int | None, threshold: float, senders: bool, most: int) -> None:
+        self.tiles = [_Prints(asks.slice(k, TILE)) for k in range(0, asks.num_rows, TILE)]
+        self.window, self.threshold, self.senders, self.most = window, threshold, senders, most
+        self.first = [np.full((2, len(t.id)), -1) for t in self.tiles]
+        self.found = [np.zeros(len(t.id), bool) for t in self.tiles]
+        self.pairs: list[np.ndarray] = []
+        self.held = 0
+
+    def _rows(self, a: _Prints, b: _Prints, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (of a that are open, of b) whose prints match, where a's sees b's."""
+        p, q = _links(a, b, self.threshold)
+        linked = np.zeros((len(a.print), len(b.print)), bool)
+        linked[p, q] = True
+        mine, theirs = np.flatnonzero(linked.any(1)[a.row] & open_), np.flatnonzero(linked.any(0)[b.row])
+        seen = before((a.at[mine], a.id[mine]), (b.at[theirs], b.id[theirs]), self.window, self.senders) & linked[np.ix_(a.row[mine], b.row[theirs])]
+        i, j = np.nonzero(seen)
+        return mine[i], theirs[j]
+
+    def add(self, answers: pa.Table) -> pa.Table | None:
+        for k in range(0, answers.num_rows, TILE):
+            b = _Prints(answers.slice(k, TILE))
+            for n, a in enumerate(self.tiles):
+                if self.found[n].all() or b.at[0] > a.at.max() or (self.window is not None and b.at[-1] <= a.at.min() - self.window):
+                    continue
+                i, j = self._rows(a, b, ~self.found[n])
+                if not len(i):
+                    continue
+                if self.senders:
+                    known = b.code[j] >= 0
+                    self.pairs.append(np.unique((n * TILE + i[known]).astype(np.int64) << 32 | b.code[j[known]]))
+                    self.held += len(self.pairs[-1])
+                else:  # answers come in order: the first is the earliest
+                    i, at = np.unique(i, return_index=True)
+                    self.found[n][i], self.first[n][:, i] = True, (b.at[j[at]], b.id[j[at]])
+        if self.held > self.most:
+            self.pairs = [np.unique(np.concatenate(self.pairs))]
+            self.held = len(self.pairs[0])
+            if self.held > self.most // 2:
+                return self.end()
+        return None
+
+    def end(self) -> pa.Table | None:
+        at, ids = (np.concatenate([getattr(t, c) for t in self.tiles]) for c in ("at", "id"))
+        if self.senders:
+            pairs = np.unique(np.concatenate([*self.pairs, np.zeros(0, np.int64)]))
+            self.pairs, self.held = [], 0
+            i, edge = np.unique(pairs >> 32, return_index=True)
+            sets = [packed(c.tolist()) for c in np.split(pairs & 0xFFFFFFFF, edge[1:])] if len(i) else []
+            first = np.full((2, len(i)), -1)
+        else:
+            i, sets, first = np.flatnonzero(np.concatenate(self.found)), None, np.concatenate(self.first, 1)
+            first = first[:, i]
+        none = pa.array(np.full(len(i), self.senders))
+        hit = [pa.compute.if_else(none, pa.scalar(None, pa.int64()), pa.array(c, pa.int64())) for c in first]
+        return pa.table({"_id": ids[i], "_at": at[i], "_kind": pa.array(np.ones(len(i)), pa.int32()), "first_at": hit[0], "first_id": hit[1], "n": pa.nulls(len(i), pa.int64()), "senders": pa.nulls(len(i), pa.binary()) if sets is None else pa.array(sets, pa.binary())})
+
+
+def _usable(frame: Column) -> Column:
+    return F.coalesce(frame.rlike("^[0-9a-fA-F]+$"), F.lit(False))
+
+
+def _like_itself(threshold: float) -> Column:
+    """Whether equal frames match; frames that aren't hexadecimal are like nothing."""
+    n = F.size(F.filter("frames", _usable))
+    return (n >= STRONG_FRAMES) & (n / FRAMES >= threshold) & ~F.exists("frames", lambda f: f.isNull())
+
+
+def _framed(each: DataFrame) -> DataFrame:
+    """Videos with frames, as binary."""
+    bits = lambda f: F.when(_usable(f), F.unhex(F.when(F.length(f) % 2 == 1, F.concat(F.lit("0"), f)).otherwise(f))).otherwise(F.unhex(F.lit("")))
+    rows = each.filter(F.col("print").isNotNull() & ~F.exists("frames", lambda f: f.isNull()))
+    return rows.select("_g", "_at", "_id", "_now", "_code", "print", "ms", F.transform("frames", bits).alias("_bits"), F.transform("frames", lambda f: F.when(_usable(f), F.length(f)).otherwise(0)).alias("_digits"))
+
+
+def _near(each: DataFrame, *, threshold: float, window: int | None, senders: bool, size: int = BLOCK, most: int = MOST) -> DataFrame:
+    """``MET`` of the current videos with others that have other frames, but match."""
+    return swept(*dealt(_framed(each), window=window, size=size), lambda asks: _Near(asks, window, threshold, senders, most), MET, order=["_at", "_id"])
 
 
 def frame_links(each: DataFrame, *, threshold: float = 0.90) -> DataFrame:
-    """(_g, p, q): prints p of current rows, and all prints q of their group whose frames match; a print is told by its frames and duration.
-
-    Equal prints, and equal frames of a place, are compared once for all that have them.  Four of five frames must be strong, so of any two places
-    one is strong in every match: a print only looks for others at its two rarest places (its rarest, where one of its frames is unusable), and a frame that
-    all films share, black or a logo, brings no pair together."""
-    kinds = saved(each.filter("print is not null").groupBy("_g", F.col("print").alias("key")).agg(F.first("frames").alias("frames"), F.first("ms").alias("ms"), F.max("_now").alias("now")), "prints")
-    parts = kinds.select("_g", "key", "now", F.posexplode(F.transform("frames", bits_of)).alias("at", "bits")).filter("bits is not null and octet_length(bits) = 32")
-    # every place is a group of its own; a frame that many prints have stands once
-    parts = saved(parts.select("_g", F.xxhash64(F.struct("_g", "at")).alias("g"), F.xxhash64("bits").alias("frame"), "bits", "key", "now"), "frames")
-    places = parts.groupBy("g", "frame").agg(F.first("bits").alias("bits"), F.count("*").alias("n"), F.max("now").alias("now"))
-    near = near_hashes(places, key="frame", bits="bits", width=FRAME_BITS, most=int((1 - STRONG) * FRAME_BITS + 1e-9), group="g", asking="now")
-    same = places.select("g", F.col("frame").alias("a"), F.col("frame").alias("b"))
-    near = saved(near.select("g", "a", "b").unionByName(near.select("g", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same), "near-frames")
-    reach = near.join(places.select("g", F.col("frame").alias("b"), "n"), ["g", "b"]).groupBy("g", F.col("a").alias("frame")).agg(F.sum("n").alias("reach"))
-    current = parts.filter("now").join(reach, ["g", "frame"])
-    rarest = F.row_number().over(Window.partitionBy("_g", "key").orderBy("reach", "g"))
-    usable = F.count("*").over(Window.partitionBy("_g", "key"))
-    chosen = current.withColumns({"_rank": rarest, "_usable": usable}).filter(F.col("_rank") <= F.col("_usable") - (STRONG_FRAMES - 1)).select("_g", F.col("key").alias("p"), "g", F.col("frame").alias("a"))
-    pairs = chosen.join(near, ["g", "a"]).join(parts.select("g", F.col("frame").alias("b"), F.col("key").alias("q")), ["g", "b"]).select("_g", "p", "q").distinct()
-    known = kinds.dropDuplicates(["key"])
-    x = known.select(F.col("key").alias("p"), F.col("frames").alias("f"), F.col("ms").alias("m"))
-    y = known.select(F.col("key").alias("q"), F.col("frames").alias("h"), F.col("ms").alias("n"))
-    return pairs.join(x, "p").join(y, "q").filter(frames_match(F.col("f"), F.col("h"), F.col("m"), F.col("n"), threshold)).select("_g", "p", "q")
-
-
-def _asks_and_answers(each: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """What current videos ask for and all answer to, by tier.  By frames, a video asks for every print that matches its own."""
-    columns = ["_g", "_at", "_id", "_sender"]
-    tiers = [(0, F.col("sha")), (1, F.col("print").cast("string")), (2, F.col("meta"))]
-    keys = lambda of: F.inline(F.filter(F.array(*[F.struct(F.lit(t).alias("_kind"), c.alias("_key")) for t, c in of]), lambda x: x["_key"] != ""))
-    answers = each.select(*columns, keys(tiers))
-    now = each.filter("_now")
-    asks = now.select(*columns, keys([tiers[0], (2, F.when(F.col("by_meta"), F.col("meta")))]))
-    links = frame_links(each, threshold=threshold)
-    linked = now.filter("print is not null").join(links.withColumnRenamed("_g", "_of"), F.col("_g").eqNullSafe(F.col("_of")) & (F.col("print") == F.col("p")))
-    return asks.unionByName(linked.select(*columns, F.lit(1).alias("_kind"), F.col("q").cast("string").alias("_key"))).drop("_sender"), answers
+    """(_g, p, q): prints p of current rows, and all prints q of their group whose frames match; a print is told by its frames and duration."""
+
+    class Links:
+        def __init__(self, asks: pa.Table) -> None:
+            self.g, self.tiles = asks.column("_g")[:1], [_Prints(asks.slice(k, TILE)) for k in range(0, asks.num_rows, TILE)]
+
+        def add(self, answers: pa.Table) -> pa.Table:
+            b = _Prints(answers)
+            found = [(a.print[p], b.print[q]) for a in self.tiles for p, q in [_links(a, b, threshold)]]
+            p, q = (np.concatenate(c) for c in zip(*found))
+            return pa.table({"_g": self.g.take(pa.array(np.zeros(len(p), np.int64))), "p": p, "q": q})
+
+        def end(self) -> None:
+            return None
+
+    kinds = _framed(each)
+    own = each.filter(F.col("_now") & F.col("print").isNotNull() & _like_itself(threshold)).select("_g", F.col("print").alias("p"), F.col("print").alias("q"))
+    return own.unionByName(swept(*dealt(kinds, window=None), Links, f"_g {each.schema['_g'].dataType.simpleString()}, p long, q long", order=["print"])).distinct()
+
+
+def _met(each: DataFrame, threshold: float, retention_s: int | None, senders: bool, some: bool) -> DataFrame:
+    """``MET`` of current videos by tier: keys are files, equal frames, and metadata, which current videos ask for where they are known by that alone; frames that aren't equal are compared."""
+    tiers = [(0, F.col("sha"), F.lit(True)), (1, F.when(_like_itself(threshold), F.col("print")).cast("string"), F.lit(True)), (2, F.col("meta"), F.coalesce("by_meta", F.lit(False)))]
+    keys = F.filter(F.array(*[F.struct(F.lit(t).alias("_kind"), c.alias("_key"), (F.col("_now") & asks).alias("_asks")) for t, c, asks in tiers]), lambda x: x["_key"] != "")
+    alone = F.col("_single") & F.col("print").isNull() & (F.size(F.filter("_keys", lambda x: x["_asks"])) == 1)
+    rows = each.withColumn("_keys", keys).select("_g", "_at", "_id", "_code", alone.alias("_alone"), F.inline("_keys"))
+    near = _near(each, threshold=threshold, window=None if retention_s is None else retention_s * SECOND, senders=senders)
+    return meet(rows, retention_s=retention_s, senders=senders, some=some).unionByName(near)
 
 
 def video_matches(messages: DataFrame, history: DataFrame | None = None, *, group: str, order: str, videos: str = "videos", threshold: float = 0.90, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
     """(order, matched_id, match_type): the earliest earlier message of the group, within the retention, with a video of the same file; else of matching
     frames; else of the same metadata, where the current video is known by that alone.  Rows of ``history`` are matched with, but match nothing themselves."""
-    asks, answers = _asks_and_answers(_each(messages, history, group, order, videos, ts, None), threshold)
-    met = meet(asks, answers.drop("_sender"), retention_s=retention_s, senders=False).filter("first_id is not null")
+    met = _met(_each(messages, history, group, order, videos, ts, None), threshold, retention_s, False, history is not None).filter("first_id is not null")
     best = met.groupBy("_id").agg(F.min(F.struct("_kind", "first_at", "first_id")).alias("hit"))
     kind = messages.schema[order].dataType
     return best.select(F.col("_id").cast(kind).alias(order), F.col("hit.first_id").cast(kind).alias("matched_id"), F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("hit._kind") + 1).alias("match_type"))
@@ -131,6 +262,6 @@ def video_matches(messages: DataFrame, history: DataFrame | None = None, *, grou
 
 def senders_by_video(messages: DataFrame, history: DataFrame | None = None, *, group: str, order: str, sender: str, videos: str = "videos", threshold: float = 0.90, ts: str | None = None, retention_s: int | None = None) -> DataFrame:
     """(order, unique_senders): distinct senders, empty ones left out, of messages within the retention, at or before each one, that match by any tier."""
-    asks, answers = _asks_and_answers(_each(messages, history, group, order, videos, ts, sender), threshold)
-    counts = sender_counts(meet(asks, answers, retention_s=retention_s, senders=True), "_id").withColumn(order, F.col("_id").cast(messages.schema[order].dataType)).drop("_id")
+    met = _met(_each(messages, history, group, order, videos, ts, sender), threshold, retention_s, True, history is not None)
+    counts = sender_counts(met, "_id").withColumn(order, F.col("_id").cast(messages.schema[order].dataType)).drop("_id")
     return messages.select(order).join(counts, order, "left").fillna(0, ["unique_senders"])
