@@ -1,11 +1,12 @@
 """Hot and plain keys, sets of senders, and blocks of asks against streams of answers: the same as all pairs, and no pair leaves a task."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_matching import HOUR, KINDS, drawn, split
 
 from echotrace.functions.similarity import FRAMES
-from echotrace.operators import repeats, sliding, video
+from echotrace.operators import cells, repeats, similar, sliding, video
 
 CLIP = "id long, g string, who string, videos array<struct<sha256:string,frame_hashes:array<string>,duration_ms:bigint,metadata_hash:string,analysis:string>>"
 
@@ -72,3 +73,16 @@ def test_one_key_sends_a_count(spark):
     rows = spark.createDataFrame([(k, "g", str(k % 3), "k") for k in range(9)], "id long, g string, who string, k string")
     got = repeats.senders_by_any_key(rows, group="g", keys=["k"], order="id", sender="who")
     assert {r[0]: r[1] for r in got.collect()} == {k: min(k + 1, 3) for k in range(9)}
+
+
+def test_asks_go_to_one_block_each_where_all_cells_reach_all(spark, monkeypatch):
+    monkeypatch.setattr(cells, "ROWS_A_PIVOT", 9)
+    draw = np.random.default_rng(5)
+    table = spark.createDataFrame([(k, v.tolist(), str(k % 7)) for k, v in enumerate(draw.normal(size=(900, 32)))], "id long, v array<double>, who string")
+    left, right = cells.meeting(*cells.in_cells(similar._vectors(table, None, None, "id", None, "v"), 0.3), window=None, size=300)
+    assert left.count() == 900 and left.select("_part").distinct().count() == 3
+    assert right.count() <= 3 * 900  # not as often as there are cells
+    whole = similar.best_cosine(table, order="id", vector="v", threshold=0.3).filter("matched").drop("matched")
+    assert sorted(map(tuple, cells.matches_by_cosine(table, order="id", vector="v", threshold=0.3, size=300).collect())) == sorted(map(tuple, whole.collect()))
+    mine, theirs = ({r[0]: r[1] for r in of(table, order="id", vector="v", sender="who", threshold=0.3, size=300).collect()} for of in (cells.senders_by_cosine, similar.senders_by_cosine))
+    assert mine == theirs and max(mine.values()) == 7
