@@ -34,7 +34,7 @@ def reminders(
     url, bundle, clip, vector, image = of("url_hash"), of(*forwards.KEYS), of("videos"), of("embedding"), of("image_bits")
     found = {
         "url": repeats.any_key_match(*url, keys=["url_hash"], **span).drop("match_type"), "forward": forwards.forward_matches(*bundle, **span), "video": video.video_matches(*clip, threshold=frames_from, **span),
-        "vector": similar.best_cosine(*vector, vector="embedding", threshold=semantic_from, **span).filter("matched").select(order, "matched_id"), "image": similar.best_hash(*image, bits="image_bits", threshold=image_from, **span).filter("matched").select(order, "matched_id"),
+        "vector": similar.best_cosine(*vector, vector="embedding", threshold=semantic_from, **span).filter("matched").select(order, "matched_id"), "image": similar.matches_by_hash(*image, bits="image_bits", threshold=image_from, **span).select(order, "matched_id"),
     }
     whole = kept.select(order, ts, sender) if history is None else kept.select(order, ts, sender).unionByName(history.select(order, ts, sender))
     match = saved(resolve(whole, order=order, ts=ts, **{k: saved(v, f"match-{k}") for k, v in found.items()}), "matches")

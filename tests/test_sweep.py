@@ -3,10 +3,10 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_matching import HOUR, KINDS, drawn, split
+from test_matching import HOUR, KINDS, alike, by_score, drawn, split
 
 from echotrace.functions.similarity import FRAMES
-from echotrace.operators import cells, repeats, similar, sliding, video
+from echotrace.operators import cells, repeats, similar, sliding, sweep, video
 
 CLIP = "id long, g string, who string, videos array<struct<sha256:string,frame_hashes:array<string>,duration_ms:bigint,metadata_hash:string,analysis:string>>"
 
@@ -30,7 +30,7 @@ def test_hot_keys_equal_all_pairs(spark, kind, retention, monkeypatch):
 
 
 def test_rows_of_keys_that_are_not_hot_go_to_one_place_each(spark):
-    rows = spark.range(3000).select(F.lit("g").alias("_g"), F.lit(0).alias("_kind"), (F.col("id") % 600).cast("string").alias("_key"), F.col("id").alias("_at"), F.col("id").alias("_id"), F.lit(True).alias("_asks"), F.lit(False).alias("_alone"), F.lit(1).alias("_code"))
+    rows = spark.range(3000).select(F.lit("g").alias("_g"), F.lit(0).alias("_kind"), (F.col("id") % 600).cast("string").alias("_key"), F.col("id").alias("_at"), F.col("id").alias("_id"), F.lit(True).alias("_asks"), F.lit(True).alias("_answers"), F.lit(False).alias("_alone"), F.lit(1).alias("_code"))
     assert sliding._events(rows, None, False).count() == 3000
     assert sliding._events(rows, 700, True).count() == 3000
 
@@ -86,3 +86,27 @@ def test_asks_go_to_one_block_each_where_all_cells_reach_all(spark, monkeypatch)
     assert sorted(map(tuple, cells.matches_by_cosine(table, order="id", vector="v", threshold=0.3, size=300).collect())) == sorted(map(tuple, whole.collect()))
     mine, theirs = ({r[0]: r[1] for r in of(table, order="id", vector="v", sender="who", threshold=0.3, size=300).collect()} for of in (cells.senders_by_cosine, similar.senders_by_cosine))
     assert mine == theirs and max(mine.values()) == 7
+
+
+@pytest.mark.parametrize("retention", [None, 30 * HOUR])
+def test_hashes_that_repeat_are_compared_as_values(spark, retention, monkeypatch):
+    rows = drawn(300, seed=31)
+    now, a, history = split(spark, rows, retention)
+    options = {"group": "g", "order": "id", "bits": "h", "threshold": 0.8, "ts": "ts", "retention_s": retention}
+    monkeypatch.setattr(similar, "REPEATED", 1)
+    monkeypatch.setattr(similar, "LINKED", 100)
+    monkeypatch.setattr(similar, "block_pairs", None)  # no rows are compared
+    match, who = by_score(rows, now, retention, alike, 8, 0.8)
+    assert {r[0]: (r[1], r[2]) for r in similar.matches_by_hash(a, history, **options).collect()} == {k: v for k, v in match.items() if v[1] >= 0.8}
+    assert {r[0]: r[1] for r in similar.senders_by_hash(a, history, sender="who", **options).collect()} == who
+
+
+def test_senders_of_vectors_leave_a_row_an_ask(spark):
+    """Equal vectors of many senders, some without one, in one group and block of time."""
+    rows = spark.range(3000).select("id", F.lit("g").alias("g"), F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("v"), F.when(F.col("id") % 7 > 0, (F.col("id") % 1000).cast("string")).alias("who"))
+    asks = similar._vectors(rows, None, "g", "id", None, "v", "who")
+    left, right = sweep.dealt(asks, window=None, size=500)
+    work = sweep.swept(left, right.filter("_0 <> ''"), lambda t: similar._Senders(t, None, 9, 0.99, False), "id long, n long", order=["_0"])
+    assert work.count() == 3000
+    got = {r[0]: r[1] for r in similar.senders_by_cosine(rows, group="g", order="id", vector="v", sender="who", threshold=0.99).collect()}
+    assert all(got[k] == len({x % 1000 for x in range(k + 1) if x % 7 and x % 3 == k % 3}) for k in (0, 1, 2, 50, 999, 1000, 2047, 2999))
